@@ -186,7 +186,7 @@ def best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS
     Partitions pack alone, so their number costs at most some part-filled sequences each; adaptive
     execution joins small ones.
     """
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.wider(pieces.schema, sequence_id="long", offset="long")
     dealt = pieces.repartition(F.xxhash64(id_col, "piece")).sortWithinPartitions(id_col, "piece")
     return dealt.mapInArrow(_pack(id_col, capacity, open_bins, window), schema)
 

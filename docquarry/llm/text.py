@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Bytes of text that one block gathers at most (a single longer document is a block of its own).
@@ -222,3 +223,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
+
+
+def wider(schema: StructType, **fields: str) -> StructType:
+    """A copy of a schema with more fields (a DataFrame's own schema object must not change)."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
