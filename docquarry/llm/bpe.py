@@ -2,7 +2,7 @@
 
 Texts are cut into pieces by the tokenizer's pattern, block by block, and each block keeps its
 distinct pieces once. Spark's higher-order functions then fold the ranked merges over the byte
-arrays of those distinct pieces: `aggregate` carries the token ids of a piece with the merge rank of
+arrays of those distinct pieces (bytes as the ids of single bytes): `aggregate` carries the token ids of a piece with the merge rank of
 every neighbouring pair, merges the lowest rank, and looks up only the two new pairs. The rank map is
 a literal: sparse rows of right ids by left id, laid over each other in one array, so a lookup is two
 array reads. Decoding concatenates the binary pieces of the ids.
@@ -32,6 +32,7 @@ from . import text as T
 
 #: Longest piece, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 160
+_EMPTY = 1 << 36
 
 
 @functools.cache
@@ -60,7 +61,7 @@ def pair_table(tokens: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
             if a is not None and b is not None:
                 rows.setdefault(a, {})[b] = i
     size = 1 << max(12, (4 * sum(map(len, rows.values()))).bit_length())
-    slots = np.full(size, -1, np.int64)
+    slots = np.full(size, _EMPTY, np.int64)
     base = np.zeros(len(tokens), np.int64)
     shifts = np.random.default_rng(0)
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
@@ -68,7 +69,7 @@ def pair_table(tokens: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
         tries = 4
         while True:
             at = shifts.integers(0, size, tries)
-            fits = (slots[(at[:, None] + rights) & (size - 1)] == -1).all(axis=1)
+            fits = (slots[(at[:, None] + rights) & (size - 1)] == _EMPTY).all(axis=1)
             if fits.any():
                 break
             tries = min(2 * tries, 512)
@@ -83,29 +84,28 @@ def _literal(values, kind: str) -> str:
 
 @functools.cache
 def merge_expression(words: str, tokens: tuple[bytes, ...]) -> str:
-    """SQL that turns `words` (array of byte arrays, each FOLD_BYTES at most) into arrays of ids.
+    """SQL that turns `words`, arrays of the ids of single bytes, into arrays of merged ids.
 
     While it folds, a part of a word is one number: the rank of the pair that it begins, its
-    place, and its token id (38, 8 and 16 bits), so that the least number is the next merge.
+    place, and its token id (at bits 24, 16 and 0), so that the least number is the next merge.
+    Words have 256 bytes at most.
     """
     base, slots = pair_table(tokens)
-    one = {t[0]: i for i, t in enumerate(tokens) if len(t) == 1}
     none = f"{1 << 61}L"
 
     def rank(a: str, b: str) -> str:
-        """The rank of a pair of ids, at its bits; a foreign slot gives a rank that is too high."""
-        return f"shiftleft(pmod(t.slots[cast((t.base[{a}] + {b}) & {len(slots) - 1}L as int)] - {a} * 65536L, {1 << 37}L), 24)"
+        """The rank of a pair of ids, at its bits; a slot of another row gives a rank that is too high."""
+        return f"shiftleft(slots[(base[{a}] + {b}) & {len(slots) - 1}] ^ shiftleft(cast({a} as bigint), 16), 24)"
 
-    least, right, left = "shiftright(m, 24)", "(a[p + 1] & 65535L)", "(a[p - 2] & 65535L)"
-    joined = f"(if(p + 1 < size(a), {rank('cast(' + least + ' as int)', right)}, {none}) | (m & 16711680L) | {least})"
-    before = f"({rank('cast(' + left + ' as int)', least)} | (a[p - 2] & 16777215L))"
+    new, right, left = "cast(shiftright(m, 24) as int)", "cast(a[p + 1] & 65535L as int)", "cast(a[p - 2] & 65535L as int)"
+    joined = f"(if(p + 1 < size(a), {rank(new, right)}, {none}) | (m & 16711680L) | shiftright(m, 24))"
+    before = f"({rank(left, new)} | (a[p - 2] & 16777215L))"
     rebuilt = f"transform(slice(a, 1, size(a) - 1), (x, i) -> if(i >= p, a[i + 1], if(i < p - 2, x, if(i = p - 1, {joined}, {before}))))"
     step = f"transform(array(array_min(a)), m -> if(m >= {65536 << 24}L, a, transform(array(1 + size(filter(a, x -> (x & 16711680L) < (m & 16711680L)))), p -> {rebuilt})[0]))[0]"
-    start = f"transform(w, (b, i) -> if(i + 1 < size(w), {rank('t.one[b]', 't.one[w[i + 1]]')}, {none}) | shiftleft(cast(i as bigint), 16) | cast(t.one[b] as bigint))"
+    start = f"transform(w, (b, i) -> if(i + 1 < size(w), {rank('b', 'w[i + 1]')}, {none}) | shiftleft(cast(i as bigint), 16) | cast(b as bigint))"
     fold = f"aggregate(sequence(1, greatest(size(w) - 1, 1)), {start}, (a, k) -> {step}, a -> transform(a, x -> cast(x & 65535L as int)))"
-    # The literals are bound once, as a lambda variable, so that the plan holds one copy of each.
-    literals = f"named_struct('base', {_literal(base, 'bigint')}, 'slots', {_literal(slots, 'bigint')}, 'one', {_literal([one[b] for b in range(256)], 'int')})"
-    return f"transform(array({literals}), t -> transform({words}, w -> {fold}))[0]"
+    # The literals are bound once, as lambda variables, so that the plan holds one copy of each.
+    return f"transform(array({_literal(base, 'int')}), base -> transform(array({_literal(slots, 'bigint')}), slots -> transform({words}, w -> {fold}))[0])[0]"
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
@@ -142,33 +142,38 @@ def merge_long(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]
 def _blocks(id_col: str, text_col: str, tokens: tuple[bytes, ...], block_bytes: int):
     ranks = {t: i for i, t in enumerate(tokens)}
     longest = max(map(len, tokens))
+    one = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, text_col, block_bytes):
-            data, offsets = T.raw(block.column(text_col))
-            bounds, first = T.pieces(data, offsets)
-            words = T.binary(data, bounds).dictionary_encode()
-            codes, distinct = words.indices.to_numpy(), words.dictionary
-            if not len(distinct):
-                flat, at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-            else:
-                _, at, flat = distinct.buffers()
-                at = np.frombuffer(at, np.int64)[: len(distinct) + 1]
-                flat = np.frombuffer(flat, np.uint8)
+            # Pieces are found in small slices, and shared over the whole block.
+            held, firsts, n = [], [np.zeros(1, np.int64)], 0
+            for part in T.slices(block, text_col, 1 << 20):
+                data, offsets = T.raw(part.column(text_col))
+                bounds, first = T.pieces(data, offsets)
+                held.append(T.binary(data, bounds).dictionary_encode())
+                firsts.append(first[1:] + n)
+                n += len(bounds) - 1
+            words = pa.chunked_array(held).unify_dictionaries()
+            codes = np.concatenate([c.indices.to_numpy() for c in words.chunks])
+            distinct = words.chunk(0).dictionary
+            _, at, flat = distinct.buffers() if len(distinct) else (None, bytes(8), b"")
+            at = np.frombuffer(at, np.int64)[: len(distinct) + 1]
+            flat = np.frombuffer(flat, np.uint8)
             sizes = np.diff(at)
             short = sizes <= FOLD_BYTES
             order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             kept = np.flatnonzero(short)
-            values = flat[T.ragged(at[kept], sizes[kept])].astype(np.int16)
+            values = one[flat[T.ragged(at[kept], sizes[kept])]]
             folded = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes[kept])).astype(np.int32), values)
             long = [merge_long(flat[at[i] : at[i + 1]].tobytes(), ranks, longest) for i in np.flatnonzero(~short)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column(id_col).combine_chunks().cast(pa.int64())),
-                    pa.array([first.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([place[codes].astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([np.concatenate(firsts).tobytes()], pa.binary()),
+                    pa.array([place[codes].tobytes()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), folded),
                     pa.array([long], pa.list_(pa.list_(pa.int32()))),
                 ],
@@ -198,15 +203,14 @@ def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
                 first = np.frombuffer(row.column("first")[0].as_py(), np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
                 token, at = _flat(row.column("tokens"))
-                n = np.diff(at)[codes]
-                ends = np.append(0, np.cumsum(n))[first]
-                ids = token[T.ragged(at[:-1][codes], n)]
+                sizes, starts_of = np.diff(at), at[:-1]
                 count, id_hash, text_hash, lists = [], [], [], []
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    own = ids[a:b]
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    own = codes[a:b]
+                    own = token[T.ragged(starts_of[own], sizes[own])]
                     size = lengths[own]
                     decoded = vocabulary[T.ragged(starts[own], size)].tobytes()
-                    count.append(b - a)
+                    count.append(len(own))
                     id_hash.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
                     text_hash.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
@@ -221,7 +225,7 @@ def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 32 << 20) -> DataFrame:
     """Encode every whole text, and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 (lowercase hex, of the ids as
@@ -231,7 +235,7 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     held = rows.mapInArrow(
         _blocks(id_col, text_col, tokens, block_bytes),
-        "ids_of_docs array<bigint>, first binary, codes binary, words array<array<smallint>>, long array<array<int>>",
+        "ids_of_docs array<bigint>, first binary, codes binary, words array<array<int>>, long array<array<int>>",
     )
     merged = held.select("ids_of_docs", "first", "codes", F.expr(f"concat({merge_expression('words', tokens)}, long)").alias("tokens"))
     return merged.mapInArrow(_documents(id_col, tokens, with_ids), f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, language, packing, quality, secrets
+from . import bpe, language, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_secret_scan, op8_language_id, op9_quality_classifier)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_secret_scan, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
 SQL: dict[str, str] = {}

@@ -35,7 +35,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `most` bytes of text each."""
     _, offsets = raw(batch.column(text))
     at, n = 0, batch.num_rows
