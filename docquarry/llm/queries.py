@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, language, packing, quality, secrets, substrings
+from . import bpe, jaccard, language, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -39,5 +43,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_secret_scan, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
 SQL: dict[str, str] = {}
