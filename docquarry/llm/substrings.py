@@ -240,6 +240,51 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return rows, found.where("kind = 0").select("doc", "place", "n").unionByName(tied.mapInArrow(_repeats, "doc bigint, place bigint, n bigint"))
 
 
+def _lost(marks, own: int, n: int, window: int) -> np.ndarray:
+    """Which of a text's n words are covered, from its decisions."""
+    if not marks.is_valid:
+        return np.zeros(n, bool)
+    place, count = (marks.values.field(k).to_numpy() for k in ("place", "n"))
+    mine = place >> _PLACE_BITS == own
+    at, count = place[mine] & (1 << _PLACE_BITS) - 1, count[mine]
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + count + window - 1, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _texts(text_col: str, window: int):
+    """Replace the texts that lose words by their kept words; other columns pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, text_col):
+                data, offsets = T.raw(part.column(text_col))
+                starts, ends, first = T.words(data, offsets)
+                out = []
+                for i in range(part.num_rows):
+                    a, b = first[i], first[i + 1]
+                    text = data[offsets[i] : offsets[i + 1]].tobytes()
+                    lost = _lost(part.column("__marks")[i], _print_of(text), b - a, window)
+                    if lost.any():
+                        stay = np.flatnonzero(~lost) + a
+                        out.append(b" ".join(data[x:y].tobytes() for x, y in zip(starts[stay], ends[stay], strict=True)))
+                    else:
+                        out.append(text if part.column(text_col)[i].is_valid else None)
+                names = [c for c in part.schema.names if c != "__marks"]
+                columns = [pa.array(out, pa.binary()).cast(pa.string()) if c == text_col else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with repeated passages cut from their texts; count_col, where present, follows the text."""
+    _, found = repeats(docs, id_col, text_col, window)
+    marks = found.groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("__marks")).withColumnRenamed("doc", "__doc")
+    held = docs.join(marks, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
+    out = held.mapInArrow(_texts(text_col, window), docs.schema)
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in docs.columns else out
+
+
 def _cut_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, "__text"):
@@ -248,14 +293,7 @@ def _cut_words(window: int):
             count, gone, kept = [], [], []
             for i in range(block.num_rows):
                 a, b = first[i], first[i + 1]
-                lost = np.zeros(b - a, bool)
-                marks = block.column("__marks")[i]
-                if marks.is_valid:
-                    place, n = (marks.values.field(k).to_numpy() for k in ("place", "n"))
-                    mine = place >> _PLACE_BITS == _print_of(data[offsets[i] : offsets[i + 1]].tobytes())
-                    at, n = place[mine] & (1 << _PLACE_BITS) - 1, n[mine]
-                    edge = np.bincount(at, minlength=b - a + 1) - np.bincount(at + n + window - 1, minlength=b - a + 1)
-                    lost = np.cumsum(edge[: b - a]) > 0
+                lost = _lost(block.column("__marks")[i], _print_of(data[offsets[i] : offsets[i + 1]].tobytes()), b - a, window)
                 stay = np.flatnonzero(~lost) + a
                 sizes = ends[stay] - starts[stay] + 1
                 text = data[np.minimum(T.ragged(starts[stay], sizes), len(data) - 1)] if len(stay) else np.zeros(0, np.uint8)
