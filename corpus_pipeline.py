@@ -1,10 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+1. quality: documents that the classifier rejects go.
+2. near_duplicates: of each group of linked documents the one with the smallest id stays.
+3. substrings: words of repeated 13-word windows go; texts that lose none stay as they are.
+4. secrets: spans that the scan finds are replaced by a mark.
+5. packing: the texts are tokenised and packed into sequences; one row per piece.
+
+All stages but the last return the columns of documents, with n_chars brought up to date.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.llm import jaccard, packing, quality, secrets, substrings
+from docquarry.session import materialize, ship
+
+
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text, and the columns that follow from it."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from the labelled documents of this stage's input that aren't held out."""
+    model = quality.train(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard.keep_first(docs)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.cut_text(docs).select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.redact(ship(spark) and docs)
+    return _with_text(found, F.col("text")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("substrings", repeated_substrings),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: The classifier, the byte-level merges and the packing can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result but the last is written and read again."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
