@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, jaccard, language, packing, quality, secrets, substrings
+from . import bpe, jaccard, language, neighbours, packing, quality, secrets, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
 
@@ -29,6 +34,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -43,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_nearest_neighbours, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_byte_sharding, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
 SQL: dict[str, str] = {}
