@@ -72,5 +72,5 @@ def wider(schema: StructType, **fields: str) -> StructType:
     """A copy of a schema with more fields (a DataFrame's own schema object must not change)."""
     out = StructType(list(schema.fields))
     for name, kind in fields.items():
-        out = out.add(name, kind)
+        out = out.add(StructType.fromDDL(f"`{name}` {kind}").fields[0])
     return out
