@@ -150,12 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"w": (w * ratio).astype(np.float32), "a": a, "b": float(a * bias + b)}
 
 
-def _score_rows(id_col: str, text_col: str, model: dict):
+def _score_rows(text_col: str, model: dict, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, text_col):
             margins = np.array([float(model["w"][x].sum(dtype=np.float64)) / np.sqrt(max(1, len(x))) for x in _block_features(block, text_col)])
             score = 1 / (1 + np.exp(-np.clip(model["a"] * margins + model["b"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(block.column(c).combine_chunks() for c in block.column_names), pa.array(score, pa.float64())], [*block.column_names, "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c).combine_chunks() for c in block.column_names), pa.array(score, pa.float64())], [*block.column_names, out])
 
     return run
 
@@ -163,11 +163,11 @@ def _score_rows(id_col: str, text_col: str, model: dict):
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id_col, held_out, score (0 to 1) and predicted (1 from threshold on)."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    found = rows.mapInArrow(_score_rows(id_col, text_col, model), T.wider(rows.schema, score="double"))
+    found = rows.mapInArrow(_score_rows(text_col, model, "score"), T.wider(rows.schema, score="double"))
     return found.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the model accepts, with all their columns."""
-    found = docs.mapInArrow(_score_rows("", text_col, model), T.wider(docs.schema, score="double"))
-    return found.where(F.col("score") >= threshold).drop("score")
+    found = docs.mapInArrow(_score_rows(text_col, model, "__score"), T.wider(docs.schema, __score="double"))
+    return found.where(F.col("__score") >= threshold).drop("__score")
