@@ -23,12 +23,17 @@ def word_count(x: Column | str) -> Column:
     return F.size(F.filter(F.split(_c(x), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def tokens(x: Column | str, fold: bool = False) -> Column:
-    """Analyzer: lower case, split at non-letters and non-digits, optionally without accents."""
+def tokens(x: Column | str, fold: bool = False, stem: bool = False) -> Column:
+    """Analyzer: lower case, split at non-letters and non-digits; optionally stems, without accents."""
     text = F.lower(_c(x))
     if fold:
         text = F.replace(F.translate(text, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    if stem:
+        from .stemmer import stemmed
+
+        words = stemmed(words)
+    return words
 
 
 def file_key(path: Column | str) -> Column:

@@ -22,15 +22,15 @@ K1, B, SLOP = 1.2, 0.75, 2
 SHARD_ROWS, QUERY_ROWS = 16_384, 512
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False, stem: bool = False) -> DataFrame:
     """The inverted index: term, doc, tf, dl, with partial counts before its one shuffle."""
-    each = _tokenised(docs, id_col, text_col, fold).select("doc", "dl", F.explode("ts").alias("term"))
+    each = _tokenised(docs, id_col, text_col, fold, stem).select("doc", "dl", F.explode("ts").alias("term"))
     return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
+def _tokenised(docs: DataFrame, id_col: str, text_col: str, fold: bool = False, stem: bool = False) -> DataFrame:
     """(doc, ts, dl). The tokens are a column of their own, below any generator: found once a row."""
-    return docs.select(F.col(id_col).alias("doc"), tokens(text_col, fold).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
+    return docs.select(F.col(id_col).alias("doc"), tokens(text_col, fold, stem).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
 
 
 def collection(docs: DataFrame, text_col: str = "text", fold: bool = False) -> DataFrame:
@@ -38,8 +38,8 @@ def collection(docs: DataFrame, text_col: str = "text", fold: bool = False) -> D
     return docs.select(F.size(tokens(text_col, fold)).cast("long").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def query_terms(questions: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
-    return questions.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(tokens(text_col, fold))).alias("term"))
+def query_terms(questions: DataFrame, id_col: str, text_col: str, fold: bool = False, stem: bool = False) -> DataFrame:
+    return questions.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(tokens(text_col, fold, stem))).alias("term"))
 
 
 def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, boost: float = 1.0) -> DataFrame:

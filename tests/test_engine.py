@@ -33,6 +33,18 @@ def test_text_functions(spark):
     assert column(spark, ["abc"], tx.preview) == ["abc..."]
 
 
+def test_stemmer(spark):
+    from docquarry.functions.stemmer import stem
+
+    pairs = "caresses:caress ties:tie cries:cri gas:gas agreed:agre hopping:hop hoping:hope consolation:consol generously:generous proceeding:proceed relational:relat happiness:happi adoption:adopt sky:sky cry:cri by:by bed:bed"
+    assert all(stem(a) == b for a, b in (x.split(":") for x in pairs.split()))
+    assert column(spark, ["Running RATINGS é"], lambda x: tx.tokens(x, stem=True)) == [["run", "rate", "é"]]
+    docs = spark.createDataFrame([(1, "voltage ratings"), (2, "other words")], "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "rating")], "qid long, q string")
+    got = search.bm25_scores(search.postings(docs, stem=True), search.collection(docs), search.query_terms(ask, "qid", "q", stem=True))
+    assert [r.doc for r in got.collect()] == [1]
+
+
 # --- blocks
 
 
@@ -162,6 +174,28 @@ def test_table_region_grid_and_rendering(spark):
     assert [x[0] for x in listed.select(tables.render_list(F.col("r"), F.col("h"))).collect()] == ["| a | b |\n|---|---|\n| 1 |  |\n|  | 2 |", "[Empty table]"]
 
 
+def test_tables_in_plain_text_stay_whole(spark):
+    from docquarry.operators import table_chunks as tc
+
+    markdown = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n"
+    ascii_table = "name      val       unit\n" + "foos      101       V\nbars      202       A\n" * 3
+    marked = "[Table with 2 rows x 3 columns]\nx y z\n1 2 3"
+    text = "Intro paragraph.\n\n" + markdown + "\nMiddle.\n\n" + ascii_table + "\nso:\n" + marked + "\n\nThe end."
+    assert [k for _, _, k in tc.table_spans(text)] == ["markdown", "ascii", "extracted"]
+    assert not tc.looks_aligned("plain text here\nmore of the text\nand still more of it")
+    rng = random.Random(3)
+    for _ in range(60):
+        body = "".join(rng.choice([markdown * rng.randint(1, 6), "word " * rng.randint(1, 60) + "\n\n", ascii_table + "\n", marked + "\n\n", "\n"]) for _ in range(rng.randint(0, 9)))
+        chunks = tc.chunk(body, 300, 60)
+        for a, b, _ in tc.table_spans(body):  # every table lies whole in one chunk
+            assert any(body[a:b].strip("\n") in t for _, t, k in chunks if k)
+        assert set("".join(body.split())) <= set("".join(t for _, t, _ in chunks)) | set("\n")
+        starts = [o for o, _, _ in chunks]
+        assert starts == sorted(starts)
+    got = tc.chunk_texts(spark.createDataFrame([("d", text), ("e", None)], "doc_id string, text string"), 120, 40).collect()
+    assert {r.doc_id for r in got} == {"d"} and sum(r.has_table for r in got) == 3 and [r.chunk_index for r in got] == list(range(len(got)))
+
+
 # --- search
 
 
