@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Groups that are differenced together; it bounds a task's memory.
+SLAB = 50_000
+
 
 def differencing(items: list[list[int]], shards: int) -> list[list[int]]:
     """Combine partial partitions until one is left.
@@ -68,6 +71,20 @@ def differencing(items: list[list[int]], shards: int) -> list[list[int]]:
     return out
 
 
+def subsets(sizes: list[int], shards: int, slab: int = SLAB) -> list[int]:
+    """The subset of each size, by slabs whose partial partitions are combined in turn."""
+    found, sums = [], []
+    for i in range(0, len(sizes), slab):
+        own = [row[0] for row in differencing([[n, *[0] * (shards - 1)] for n in sizes[i : i + slab]], shards)]
+        total = [0] * shards
+        for n, x in zip(sizes[i : i + slab], own, strict=True):
+            total[x] += n
+        found.append(own)
+        sums.append(total)
+    final = differencing(sums, shards)
+    return [final[i][x] for i, own in enumerate(found) for x in own]
+
+
 def _label(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -76,7 +93,7 @@ def _label(shards: int):
             return
         table = pa.Table.from_batches(held).sort_by([("bytes", "descending"), ("k1", "ascending"), ("k2", "ascending")])
         sizes = table.column("bytes").to_pylist()
-        found = [row[0] for row in differencing([[n, *[0] * (shards - 1)] for n in sizes], shards)]
+        found = subsets(sizes, shards)
         table = table.append_column("subset", pa.array(found, pa.int32()))
         table = table.append_column("part", pa.array([context.partitionId() if context else 0] * len(sizes), pa.int32()))
         yield from table.combine_chunks().to_batches()

@@ -306,6 +306,10 @@ def test_differencing_is_tight():
     for n, row in zip(sizes, final, strict=True):
         sums[row[0]] += n
     assert max(sums.values()) - min(sums.values()) <= 5
+    sums = Counter()
+    for n, x in zip(sizes, sharding.subsets(sizes, 4, slab=90), strict=True):
+        sums[x] += n
+    assert max(sums.values()) - min(sums.values()) <= 200
 
 
 # --- op8, op9
