@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answering, chunking, mining, search
+from ..operators import answering, blocks, chunking, mining, search, tables
 from ..session import wider
 from ..sources import sinks
 
@@ -48,6 +48,20 @@ def embed(rows: DataFrame, text_col: str, make: Callable[[], Embedder], out_col:
     return rows.mapInArrow(run, wider(rows.schema, **{out_col: "array<float>"}))
 
 
+def with_tables(parsed: DataFrame, found: DataFrame) -> DataFrame:
+    """Captions that have a table become table blocks: caption, then the cells as text.
+
+    parsed: doc_id, page_number, block_idx, text, block_type; found: doc_id, page_number, nth,
+    table_data. The i-th caption of a page takes that page's i-th table; each caption gives a block
+    of its own, whatever follows it.
+    """
+    held = blocks.nth_table(parsed, found.select("doc_id", "page_number", "nth", "table_data")).select("doc_id", "page_number", "block_idx", "table_data")
+    out = parsed.join(held, ["doc_id", "page_number", "block_idx"], "left")
+    has = F.col("table_data").isNotNull()
+    out = out.withColumn("text", F.when(has, tables.table_text(F.col("text"), F.col("table_data"))).otherwise(F.col("text")))
+    return out.withColumn("block_type", F.when(F.col("block_type") == "table_header", "table").otherwise(F.col("block_type"))).drop("table_data")
+
+
 def index_documents(spark: SparkSession, parsed: DataFrame, path: str, make: Callable[[], Embedder], size: int = 1000, overlap: int = 200, by_page: bool = False) -> DataFrame:
     """Blocks to a stored, embedded chunk dataset; returns what was written.
 

@@ -418,6 +418,13 @@ def test_documents_to_answers(spark, tmp_path):
     assert answers[2].query_type == "NONE"
 
 
+def test_captions_take_their_tables(spark):
+    parsed = spark.createDataFrame([("d", 1, 0, "Table 1 Volts", "table_header"), ("d", 1, 1, "Table 2 Amps", "table_header"), ("d", 1, 2, "body text", "body")], "doc_id string, page_number int, block_idx int, text string, block_type string")
+    found = spark.createDataFrame([("d", 1, 1, {"0,0": "a", "1,0": "b"})], "doc_id string, page_number int, nth int, table_data map<string,string>")
+    got = retrieval.with_tables(parsed, found).orderBy("block_idx").collect()
+    assert [(r.text, r.block_type) for r in got] == [("Table 1 Volts\na | b", "table"), ("Table 2 Amps", "table"), ("body text", "body")]
+
+
 def test_mining_job(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
