@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding (operator 4).
 
 Texts are cut into pieces by the tokenizer's pattern, block by block, and each block keeps its
-distinct pieces once. Spark's higher-order functions then fold the ranked merges over the byte
-arrays of those distinct pieces (bytes as the ids of single bytes): `aggregate` carries the token ids of a piece with the merge rank of
-every neighbouring pair, merges the lowest rank, and looks up only the two new pairs. The rank map is
-a literal: sparse rows of right ids by left id, laid over each other in one array, so a lookup is two
-array reads. Decoding concatenates the binary pieces of the ids.
+distinct pieces once. Spark's higher-order functions then fold the ranked merges over the byte arrays
+of those distinct pieces (each byte as the id of its token): `aggregate` carries the parts of a piece
+with the merge rank of every neighbouring pair, merges the lowest rank, and looks up only the two new
+pairs. The rank map is a literal: sparse rows of right ids by left id, laid over each other in one
+array, so a lookup is two array reads. Decoding concatenates the binary pieces of the ids.
 
-No row leaves its partition: there is no shuffle, and memory is bounded by a block (a longer
-document is a block of its own). Pieces longer than FOLD_BYTES, for which a fold would be quadratic,
-are merged by a heap instead, with the same result.
+No row leaves its partition: there is no shuffle, and memory is bounded by a block (a longer document
+is a block of its own), whose pieces travel in rows of ROW_WORDS. Pieces longer than FOLD_BYTES, for
+which a fold would be quadratic, are merged by a heap instead, with the same result.
 
 Edge cases: null text counts as empty; empty text has no tokens; repeated rows are encoded each by
 itself; extra columns are ignored; an empty table gives an empty result.
@@ -32,6 +32,8 @@ from . import text as T
 
 #: Longest piece, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 160
+#: Distinct pieces in a row of the fold.
+ROW_WORDS = 8192
 _EMPTY = 1 << 36
 
 
@@ -100,8 +102,8 @@ def merge_expression(words: str, tokens: tuple[bytes, ...]) -> str:
     new, right, left = "cast(shiftright(m, 24) as int)", "cast(a[p + 1] & 65535L as int)", "cast(a[p - 2] & 65535L as int)"
     joined = f"(if(p + 1 < size(a), {rank(new, right)}, {none}) | (m & 16711680L) | shiftright(m, 24))"
     before = f"({rank(left, new)} | (a[p - 2] & 16777215L))"
-    rebuilt = f"transform(slice(a, 1, size(a) - 1), (x, i) -> if(i >= p, a[i + 1], if(i < p - 2, x, if(i = p - 1, {joined}, {before}))))"
-    step = f"transform(array(array_min(a)), m -> if(m >= {65536 << 24}L, a, transform(array(1 + size(filter(a, x -> (x & 16711680L) < (m & 16711680L)))), p -> {rebuilt})[0]))[0]"
+    rebuilt = f"transform(slice(a, 1, greatest(size(a) - 1, 0)), (x, i) -> if(i >= p, a[i + 1], if(i < p - 2, x, if(i = p - 1, {joined}, {before}))))"
+    step = f"transform(array(coalesce(array_min(a), {none})), m -> if(m >= {65536 << 24}L, a, transform(array(1 + size(filter(a, x -> (x & 16711680L) < (m & 16711680L)))), p -> {rebuilt})[0]))[0]"
     start = f"transform(w, (b, i) -> if(i + 1 < size(w), {rank('b', 'w[i + 1]')}, {none}) | shiftleft(cast(i as bigint), 16) | cast(b as bigint))"
     fold = f"aggregate(sequence(1, greatest(size(w) - 1, 1)), {start}, (a, k) -> {step}, a -> transform(a, x -> cast(x & 65535L as int)))"
     # The literals are bound once, as lambda variables, so that the plan holds one copy of each.
@@ -144,66 +146,91 @@ def _blocks(id_col: str, text_col: str, tokens: tuple[bytes, ...], block_bytes:
     longest = max(map(len, tokens))
     one = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        words = pa.chunked_array([w for _, _, w in held]).unify_dictionaries()
+        distinct = words.chunk(0).dictionary
+        _, at, flat = distinct.buffers() if len(distinct) else (None, bytes(8), b"")
+        at = np.frombuffer(at, np.int64)[: len(distinct) + 1]
+        flat = np.frombuffer(flat, np.uint8)
+        sizes = np.diff(at)
+        for i in range(0, len(distinct), ROW_WORDS):
+            own = np.arange(i, min(i + ROW_WORDS, len(distinct)))
+            short = sizes[own] <= FOLD_BYTES
+            n = np.where(short, sizes[own], 0)
+            values = one[flat[T.ragged(at[own], n)]]
+            folded = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), values)
+            long = [merge_long(flat[at[j] : at[j + 1]].tobytes(), ranks, longest) for j in own[~short]]
+            yield row(None, None, None, folded, long, i == 0)
+        for (keys, first, _), codes in zip(held, words.chunks, strict=True):
+            yield row(keys, first, codes.indices.to_numpy(), None, None, False)
+
+    def row(keys, first, codes, words, long, begins) -> pa.RecordBatch:
+        wrap = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(1, pa.list_(pa.int64())) if keys is None else wrap(keys),
+                pa.array([None if keys is None else first.tobytes()], pa.binary()),
+                pa.array([None if keys is None else codes.astype(np.int32).tobytes()], pa.binary()),
+                pa.nulls(1, pa.list_(pa.list_(pa.int32()))) if words is None else wrap(words),
+                pa.array([long], pa.list_(pa.list_(pa.int32()))),
+                pa.array([begins], pa.bool_()),
+            ],
+            ["ids_of_docs", "first", "codes", "words", "long", "begins"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in T.blocks(batches, text_col, block_bytes):
-            # Pieces are found in small slices, and shared over the whole block.
-            held, firsts, n = [], [np.zeros(1, np.int64)], 0
-            for part in T.slices(block, text_col, 1 << 20):
+        held, size = [], 0
+        for batch in batches:
+            for part in T.slices(batch, text_col, 1 << 20):
                 data, offsets = T.raw(part.column(text_col))
                 bounds, first = T.pieces(data, offsets)
-                held.append(T.binary(data, bounds).dictionary_encode())
-                firsts.append(first[1:] + n)
-                n += len(bounds) - 1
-            words = pa.chunked_array(held).unify_dictionaries()
-            codes = np.concatenate([c.indices.to_numpy() for c in words.chunks])
-            distinct = words.chunk(0).dictionary
-            _, at, flat = distinct.buffers() if len(distinct) else (None, bytes(8), b"")
-            at = np.frombuffer(at, np.int64)[: len(distinct) + 1]
-            flat = np.frombuffer(flat, np.uint8)
-            sizes = np.diff(at)
-            short = sizes <= FOLD_BYTES
-            order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            kept = np.flatnonzero(short)
-            values = one[flat[T.ragged(at[kept], sizes[kept])]]
-            folded = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes[kept])).astype(np.int32), values)
-            long = [merge_long(flat[at[i] : at[i + 1]].tobytes(), ranks, longest) for i in np.flatnonzero(~short)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column(id_col).combine_chunks().cast(pa.int64())),
-                    pa.array([np.concatenate(firsts).tobytes()], pa.binary()),
-                    pa.array([place[codes].tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), folded),
-                    pa.array([long], pa.list_(pa.list_(pa.int32()))),
-                ],
-                ["ids_of_docs", "first", "codes", "words", "long"],
-            )
+                held.append((part.column(id_col).cast(pa.int64()), first.astype(np.int64), T.binary(data, bounds).dictionary_encode()))
+                size += len(data)
+                if size >= block_bytes:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of the single row of an array<array<int>> column."""
-    inner = column.values.slice(column.offsets[0].as_py(), column.offsets[1].as_py() - column.offsets[0].as_py())
-    offsets = inner.offsets.to_numpy().astype(np.int64)
-    return inner.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int32), offsets - offsets[0]
-
-
 def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
     lengths = np.array([len(t) for t in tokens], np.int64)
     starts = np.cumsum(lengths) - lengths
     vocabulary = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def merged(column: pa.Array, long: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of a row's words; the empty ones are the long ones, in order."""
+        inner = column.flatten()
+        sizes = inner.value_lengths().to_numpy().astype(np.int64)
+        flat = inner.flatten().to_numpy().astype(np.int32)
+        empty = np.flatnonzero(sizes == 0)
+        if len(empty):
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for i, ids in zip(empty, long.flatten().to_pylist(), strict=True):
+                parts[i] = np.array(ids, np.int32)
+            sizes, flat = np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
+        return flat, sizes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        block = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                docs = row.column("ids_of_docs").flatten()
+                if row.column("tokens")[0].is_valid:
+                    if row.column("begins")[0].as_py():
+                        parts, block = [], None
+                    parts.append(merged(row.column("tokens"), row.column("long")))
+                    continue
+                if block is None:
+                    token = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+                    sizes = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+                    block = (token, sizes, np.cumsum(sizes) - sizes)
+                token, sizes, starts_of = block
                 first = np.frombuffer(row.column("first")[0].as_py(), np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                token, at = _flat(row.column("tokens"))
-                sizes, starts_of = np.diff(at), at[:-1]
                 count, id_hash, text_hash, lists = [], [], [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     own = codes[a:b]
@@ -215,7 +242,7 @@ def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
                     text_hash.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         lists.append(own)
-                columns = [docs, pa.array(count, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
+                columns = [row.column("ids_of_docs").flatten(), pa.array(count, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
@@ -225,7 +252,7 @@ def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 24 << 20) -> DataFrame:
     """Encode every whole text, and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 (lowercase hex, of the ids as
@@ -235,9 +262,10 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     held = rows.mapInArrow(
         _blocks(id_col, text_col, tokens, block_bytes),
-        "ids_of_docs array<bigint>, first binary, codes binary, words array<array<int>>, long array<array<int>>",
+        "ids_of_docs array<bigint>, first binary, codes binary, words array<array<int>>, long array<array<int>>, begins boolean",
     )
-    merged = held.select("ids_of_docs", "first", "codes", F.expr(f"concat({merge_expression('words', tokens)}, long)").alias("tokens"))
+    folded = F.when(F.col("words").isNotNull(), F.expr(merge_expression("words", tokens)))
+    merged = held.select("ids_of_docs", "first", "codes", "long", "begins", folded.alias("tokens"))
     return merged.mapInArrow(_documents(id_col, tokens, with_ids), f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
