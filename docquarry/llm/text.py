@@ -7,7 +7,6 @@ with the offsets of each document.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
