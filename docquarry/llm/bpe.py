@@ -252,7 +252,7 @@ def _documents(id_col: str, tokens: tuple[bytes, ...], with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = 16 << 20) -> DataFrame:
     """Encode every whole text, and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 (lowercase hex, of the ids as
