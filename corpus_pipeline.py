@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from docquarry.llm import jaccard, packing, quality, secrets, substrings
 from docquarry.session import materialize, ship
 
+#: Words of a shingle and least similarity in hundredths of the near-duplicate stage.
+SHINGLE, PERCENT = 5, 80
+
 
 def _with_text(docs: DataFrame, text: Column) -> DataFrame:
     """docs with another text, and the columns that follow from it."""
@@ -34,8 +37,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Links are of five-word shingles and a similarity of 0.8; the values of operator 6 are its own."""
     ship(spark)
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

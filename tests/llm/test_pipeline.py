@@ -52,3 +52,23 @@ def test_run_equals_its_stages(spark, stages):
     rows = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
     assert rows(pipeline.run(spark, "/root/testdata/sf0.001")) == rows(stages["packing"][1])
     assert random.Random(0).random() < 1
+
+
+def test_near_duplicates_link_five_word_shingles_at_four_fifths(spark):
+    """Against a brute force of its own: five words, 0.8; some links lie under 0.85."""
+    rng, rows = random.Random(6), []
+    for family in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows.append((family * 10, " ".join(base)))
+        for copy, more in enumerate((60, 80, 90, 98, 110, 140), 1):
+            rows.append((family * 10 + copy, " ".join(base + [f"x{family}_{copy}_{i}" for i in range(more)])))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    first = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in near)
+    for _ in rows:
+        for a, b in near:
+            first[a] = first[b] = min(first[a], first[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {d for d, c in first.items() if d == c}
