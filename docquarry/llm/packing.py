@@ -15,6 +15,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -54,21 +56,61 @@ def merger(tokenizer_file: str):
     return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+@functools.cache
+def added_tokens(tokenizer_file: str) -> tuple[tuple[bytes, ...], dict[bytes, int]]:
+    """The file's added tokens, longest first, and their ids."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    odd = [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"added tokens that take their surroundings along: {odd}")
+    ids = {t["content"].encode(): t["id"] for t in found}
+    return tuple(sorted(ids, key=len, reverse=True)), ids
+
+
+def _added(data: np.ndarray, offsets: np.ndarray, tokens: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of added tokens in the documents, the leftmost and then the longest first."""
+    held = data.tobytes()
+    spans: list[tuple[int, int]] = []
+    if any(t in held for t in tokens):
+        pattern = re.compile(b"|".join(map(re.escape, tokens)))
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            spans += [m.span() for m in pattern.finditer(held, a, b)]
+    out = np.array(spans, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, tokens: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """T.pieces() of the texts between added tokens; each added token is a piece of its own."""
+    starts, ends = _added(data, offsets, tokens)
+    if not len(starts):
+        return T.pieces(data, offsets)
+    bounds, _ = T.pieces(data, np.sort(np.concatenate([offsets, starts, ends])))
+    at = np.searchsorted(starts, bounds, side="right") - 1
+    bounds = bounds[(at < 0) | (bounds == starts[at]) | (bounds >= ends[at])]
+    return bounds, np.searchsorted(bounds, offsets)
+
+
 @functools.cache
 def _memory(tokenizer_file: str) -> dict[bytes, list[int]]:
     return {}
 
 
-def block_ids(block: pa.Table, text_col: str, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all documents of a block, and where each document's ids begin (with the end)."""
+def block_ids(block: pa.Table, text_col: str, tokenizer_file: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all documents of a block, and where each document's ids begin (with the end).
+
+    With added, the file's added tokens are matched in the texts, as the tokenizer does when loaded.
+    """
     data, offsets = T.raw(block.column(text_col))
-    bounds, first = T.pieces(data, offsets)
+    tokens, special = added_tokens(tokenizer_file) if added else ((), {})
+    bounds, first = _pieces(data, offsets, tokens)
     words = T.binary(data, bounds).dictionary_encode()
     codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
     merge, memory = merger(tokenizer_file), _memory(tokenizer_file)
     found = []
     for w in distinct:
-        ids = memory.get(w)
+        # The pattern never cuts a piece like an added token, so such a piece is one.
+        ids = [special[w]] if w in special else memory.get(w)
         if ids is None:
             ids = merge(w)
             if len(w) <= 64:
@@ -83,10 +125,10 @@ def block_ids(block: pa.Table, text_col: str, tokenizer_file: str) -> tuple[np.n
     return ids, np.append(0, np.cumsum(n))[first]
 
 
-def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity: int, with_ids: bool, block_bytes: int):
+def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity: int, with_ids: bool, block_bytes: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, text_col, block_bytes):
-            ids, at = block_ids(block, text_col, tokenizer_file)
+            ids, at = block_ids(block, text_col, tokenizer_file, added)
             rows = []
             parts = []
             for key, a, b in zip(block.column(id_col).to_pylist(), at[:-1], at[1:], strict=True):
@@ -107,15 +149,16 @@ def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity:
     return run
 
 
-def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 24 << 20) -> DataFrame:
+def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 24 << 20, added: bool = False) -> DataFrame:
     """Tokenise whole texts, add end_id, and cut what is longer than capacity.
 
     Pieces are full but the first, which has the remainder. Columns: id_col, piece, start, length,
-    ids_crc32 and, with with_ids, ids.
+    ids_crc32 and, with with_ids, ids. added: match the file's added tokens in the texts; else they
+    are encoded as other text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(
-        _cut(id_col, text_col, tokenizer_file, end_id, capacity, with_ids, block_bytes),
+        _cut(id_col, text_col, tokenizer_file, end_id, capacity, with_ids, block_bytes, added),
         f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids,
     )
 

@@ -59,6 +59,27 @@ def test_packing_ids_cuts_and_places(spark, docs):
     assert got.sequence_id.nunique() <= 1.1 * math.ceil(got.length.sum() / 2048) + 8
 
 
+def test_packing_query_takes_the_tokenizer_as_loaded(spark, tmp_path):
+    import tokenizers
+
+    from docquarry.llm.queries import op1_best_fit_packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, mark = tokenizers.Tokenizer.from_file(path), "<|endoftext|>"
+    assert tokenizer.encode(f"hello {mark} world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    rng, parts = random.Random(4), [mark, mark, "hello", " ", "  ", "\n", "'ll", "'", "é中", "<|", "endoftext", "|>", "12", "!"]
+    texts = [None, "", mark, "no mark", "<|endof", "text|>", mark * 3, "x" + mark, mark + " x"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [f"a long {mark} text " * 900]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, TEXT).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op1_best_fit_packing(spark, str(tmp_path)).toPandas()
+    for i, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = got[got.doc_id == i]
+        assert own.length.sum() == len(ids), text
+        assert all(zlib.crc32(ids[x.start : x.start + x.length].tobytes()) == x.ids_crc32 for x in own.itertuples()), text
+
+
 def test_best_fit_is_bounded_and_tight():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 5, 5, 4)] == [(0, 0), (1, 0), (1, 5), (0, 6)]
