@@ -54,24 +54,42 @@ def hard_negatives(near: DataFrame, low: float = HARD_LOW, high: float = HARD_HI
     return _pick(held, "qid", seed).withColumn("label", F.lit(0.0))
 
 
-def easy_negatives(near: DataFrame, below: float = HARD_LOW, depth: int = DEPTH, tail: int = EASY_TAIL, seed: int = 43) -> DataFrame:
+def easy_negatives(near: DataFrame, below: float = HARD_LOW, depth: int = DEPTH, tail: int = EASY_TAIL, seed: int = 43, queries: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """One of the last `tail` of the top `depth` neighbours under the threshold; label 0.
 
-    Queries without one get a random chunk from fallback_negatives().
+    With all queries (qid, source) and chunks (doc), queries without one get a random chunk from
+    fallback_negatives(); made_up tells them apart.
     """
     held = near.where((F.col("rank") <= depth) & (F.col("rank") > depth - tail) & (F.col("score") < below))
-    return _pick(held, "qid", seed).withColumn("label", F.lit(0.0))
+    found = _pick(held, "qid", seed).withColumn("label", F.lit(0.0))
+    if queries is None or chunks is None:
+        return found
+    found = found.select("qid", "doc", "score", "label", F.lit(False).alias("made_up"))
+    alone = queries.select("qid", "source").distinct().join(found.select("qid"), "qid", "left_anti")
+    return found.unionByName(fallback_negatives(alone, chunks))
+
 
+def fallback_negatives(queries: DataFrame, chunks: DataFrame, seed: int = 44) -> DataFrame:
+    """For each query (qid, source) a chunk (doc) other than its source, flagged as made up (sim 0.1).
 
-def fallback_negatives(queries: DataFrame, n: int, seed: int = 44) -> DataFrame:
-    """A chunk place in [0, n) for each query by arithmetic on its id, flagged as made up (sim 0.1)."""
-    return queries.select("qid", F.pmod(F.col("qid") * 31 + seed, F.lit(n)).alias("doc"), F.lit(0.1).alias("score"), F.lit(0.0).alias("label"), F.lit(True).alias("made_up"))
+    The chunk's place in the order of ids follows from arithmetic on the query's id. Without another
+    chunk a query gets none.
+    """
+    placed = sequential_ids(chunks.select("doc").distinct(), "doc").select("doc", F.col("id").alias("place"))
+    own = queries.join(placed.select(F.col("doc").alias("source"), F.col("place").alias("own")), "source", "left")
+    others = F.lit(placed.count()) - F.when(F.col("own").isNull(), 0).otherwise(1)
+    drawn = own.where(others > 0).withColumn("place", F.pmod(F.col("qid") * 31 + seed, F.greatest(others, F.lit(1))))
+    drawn = drawn.withColumn("place", F.col("place") + F.when(F.col("place") >= F.col("own"), 1).otherwise(0))
+    return drawn.join(placed, "place").select("qid", "doc", F.lit(0.1).alias("score"), F.lit(0.0).alias("label"), F.lit(True).alias("made_up"))
 
 
-def pairs(near: DataFrame, positives: DataFrame | None = None) -> DataFrame:
-    """All pair types of a neighbour list: qid, doc, pair_type, label, semantic_similarity."""
+def pairs(near: DataFrame, positives: DataFrame | None = None, queries: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """All pair types of a neighbour list: qid, doc, pair_type, label, semantic_similarity.
+
+    queries (qid, source) and chunks (doc) give every query an easy negative, see easy_negatives().
+    """
     named = lambda df, kind: df.select("qid", "doc", F.lit(kind).alias("pair_type"), "label", F.col("score").alias("semantic_similarity"))
-    out = named(related(near), "related").unionByName(named(hard_negatives(near), "hard_negative")).unionByName(named(easy_negatives(near), "easy_negative"))
+    out = named(related(near), "related").unionByName(named(hard_negatives(near), "hard_negative")).unionByName(named(easy_negatives(near, queries=queries, chunks=chunks), "easy_negative"))
     if positives is not None:
         good = positives.where(F.col("score") >= VALID).withColumn("label", positive_label(F.col("score")))
         out = named(good, "positive").unionByName(out)

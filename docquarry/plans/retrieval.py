@@ -151,4 +151,4 @@ def mine_pairs(chunks: DataFrame, questions: DataFrame, depth: int = mining.DEPT
     src = chunks.select(F.col("id").alias("source"), F.col("doc").alias("src_file"))
     near = near.join(home, "doc").join(src, "source").withColumn("same", F.col("file") == F.col("src_file"))
     positives = good.select("qid", F.col("source").alias("doc"), F.col("sim").alias("score"))
-    return mining.pairs(near, positives)
+    return mining.pairs(near, positives, good.select("qid", "source"), chunks.select(F.col("id").alias("doc")))

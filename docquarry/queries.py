@@ -401,6 +401,13 @@ def _near(spark, d) -> DataFrame:
     return near.withColumn("same", F.col("ql") == F.col("label")).drop("ql", "label")
 
 
+def _easy(spark, d, near: DataFrame) -> DataFrame:
+    """Easy negatives, of queries without one a random vector: the SQL leaves those queries out."""
+    v = _vectors(spark, d)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("id").alias("source"))
+    return mining.easy_negatives(near, queries=asked, chunks=v.select(F.col("id").alias("doc")))
+
+
 @query(_NEAR + " " + _REL)
 def related_pairs(spark, d):
     return mining.related(_near(spark, d), 0.2).select("qid", "doc", "score", "label")
@@ -413,7 +420,7 @@ def hard_negatives(spark, d):
 
 @query(_NEAR + " " + _EASY)
 def easy_negatives(spark, d):
-    return mining.easy_negatives(_near(spark, d)).select("qid", "doc", "score", "label")
+    return _easy(spark, d, _near(spark, d)).select("qid", "doc", "score", "label")
 
 
 @query(f"select a.vec_id as id_a, round(least(1.0, 0.8 + (round({DOT}, 6) - 0.65) * 0.5), 2) as positive_label, round(0.5 + 0.3 * round({DOT}, 6), 2) as related_label from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -424,7 +431,7 @@ def pair_labels(spark, d):
 @query(_NEAR + f", p as (select 'related' as pair_type, score from ({_REL}) union all select 'hard_negative', score from ({_HARD}) union all select 'easy_negative', score from ({_EASY})) select pair_type, count(*) as n, round(avg(score), 6) as mean_similarity, round(100.0 * count(*) / sum(count(*)) over (), 4)::double as percent from p group by pair_type")
 def pair_statistics(spark, d):
     near = _near(spark, d)
-    parts = ((mining.related(near, 0.2), "related"), (mining.hard_negatives(near, 0.1, 0.3), "hard_negative"), (mining.easy_negatives(near), "easy_negative"))
+    parts = ((mining.related(near, 0.2), "related"), (mining.hard_negatives(near, 0.1, 0.3), "hard_negative"), (_easy(spark, d, near), "easy_negative"))
     rows = [p.select(F.lit(kind).alias("pair_type"), F.col("score").alias("semantic_similarity")) for p, kind in parts]
     return mining.statistics(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 

@@ -439,6 +439,38 @@ def test_mining_job(spark):
         retrieval.mine_pairs(chunks.limit(5), asked)
 
 
+def test_queries_in_a_hot_group_get_an_easy_negative(spark, tmp_path):
+    """All neighbours of the first 60 vectors are copies: no score is under the threshold."""
+    from docquarry import queries
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((120, 16))
+    v[:60] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(7 * i, [float(x) for x in r], i % 3) for i, r in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ids = {r[0] for r in rows}
+    asked = {i for i in ids if i % 50 == 0}
+    hot = {i for i in asked if i < 7 * 60}
+    got = {r.qid: r for r in queries.easy_negatives(spark, str(tmp_path)).collect()}
+    assert hot and set(got) == asked
+    assert all(got[q].score == 0.1 and got[q].label == 0.0 and got[q].doc in ids - {q} for q in hot)
+    counted = {r.pair_type: r.n for r in queries.pair_statistics(spark, str(tmp_path)).collect()}
+    assert counted["easy_negative"] == len(asked)
+    chunks = spark.createDataFrame([(7 * i, i % 3, [float(x) for x in r]) for i, r in enumerate(v)], "id long, doc long, v array<double>")
+    questions = chunks.where("id < 70").select(F.col("id").alias("qid"), F.col("id").alias("source"), F.lit(0.9).alias("sim"), "v")
+    easy = retrieval.mine_pairs(chunks, questions).where("pair_type = 'easy_negative'").collect()
+    assert {r.qid for r in easy} == {7 * i for i in range(10)} and all(r.doc != r.qid and r.doc in ids for r in easy)
+
+
+def test_made_up_negatives_are_never_the_source(spark):
+    chunks = spark.createDataFrame([(i,) for i in (3, 9, 27, 27)], "doc long")
+    asked = spark.createDataFrame([(i, s) for i, s in enumerate([3, 9, 27, 5] * 6)], "qid long, source long")
+    got = {r.qid: r.doc for r in mining.fallback_negatives(asked, chunks).collect()}
+    assert len(got) == 24 and all(got[r.qid] != r.source for r in asked.collect())
+    assert mining.fallback_negatives(asked.where("source = 3"), chunks.where("doc = 3")).count() == 0
+
+
 def test_streams(spark, tmp_path):
     rows = [(c, t, "user", f"m{t}") for c in (1, 2) for t in range(1, 15)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
