@@ -48,7 +48,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.redact(ship(spark) and docs)
+    found = secrets.redact(ship(spark) and docs, hex_runs=True)
     return _with_text(found, F.col("text")).select(docs.columns)
 
 

@@ -34,7 +34,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_table(spark, sf_dir, "documents"), hex_runs=True)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

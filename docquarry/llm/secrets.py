@@ -5,8 +5,10 @@ position function is needed. The method adds `entropy` spans: candidate strings
 character class (hex, or base64-like), a window slides over each, and the Shannon entropy of the
 window follows from incremental counts: one character leaves, one enters, and only their two terms of
 the sum of c * log2(c) change. The span runs from the first to the last window that reaches the
-threshold of its class. An allow-list suppresses added spans (plain words and paths, identifiers of
-fixed form, placeholders); it never removes base spans.
+threshold of its class. With hex_runs, runs of hex digits of either case are candidates of their own,
+wherever they stand, and are judged in lower case by the threshold of their class; of entropy spans
+inside each other the outermost stays. An allow-list suppresses added spans (plain words and paths,
+identifiers of fixed form, placeholders); it never removes base spans.
 
 Everything is a projection: no shuffle, no Python on the executors, memory bounded by one text.
 Prefix sums work by chunks, so a text with very many matches doesn't cost their square.
@@ -27,6 +29,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Candidate strings of the entropy scan, the window, and the least entropy (bits a character).
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+HEX_RUN = r"[0-9A-Fa-f]{20,}"
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "base64": 3.9}
 #: Candidates that are no secrets: no digit, digits alone, UUIDs, placeholders.
@@ -114,21 +117,42 @@ def entropy_windows(s: Column, window: int = WINDOW, thresholds: dict[str, float
     return F.when(F.length(s) < window, empty).otherwise(F.get(F.transform(F.array(letters), scan), F.lit(0)))
 
 
-def find(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+def _entropy_spans(runs: str, judged) -> Column:
+    """Spans of the windows that reach the threshold in the candidates of column `runs`; judged: the text of one."""
+    tried = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), entropy_windows(judged(x)).alias("w")))
+    tried = F.when(F.size(runs) > 0, F.filter(tried, lambda x: x["w"]["first"] >= 0)).otherwise(F.array())
+    return F.transform(
+        tried,
+        lambda x: F.struct((x["start"] + x["w"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["w"]["last"] + WINDOW).alias("end")),
+    )
+
+
+def _outermost(df: DataFrame, spans: str) -> DataFrame:
+    """Of a column of spans those that lie inside no other one; of equal ones the first."""
+    some = F.size("__order") > 0
+    df = df.withColumn("__order", F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind")))))
+    reach = _prefix(F.transform("__order", lambda x: -x["back"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    df = df.withColumn("__far", F.when(some, reach).otherwise(F.array().cast("array<int>")))
+    held = F.filter("__order", lambda x, i: -x["back"] > F.get(F.col("__far"), i))
+    plain = F.transform(held, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["back"]).alias("end")))
+    return df.withColumn(spans, plain).drop("__order", "__far")
+
+
+def find(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", hex_runs: bool = False) -> DataFrame:
     """Add `out`: all spans, an array of (start, kind index, end), by start, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = _spans(docs, "__assign", text, ASSIGN, 0, lambda x: F.length(x) >= 8, 2)
     df = _spans(df, "__access", text, ACCESS, 1)
     df = _spans(df, "__hex", text, HEX, 2)
     df = _spans(df, "__runs", text, CANDIDATE, 3, lambda s: ~_allowed(s))
-    tried = F.transform("__runs", lambda x: F.struct(x["start"].alias("start"), entropy_windows(F.substring(text, x["start"] + 1, x["end"] - x["start"])).alias("w")))
-    df = df.withColumn("__tried", F.when(F.size("__runs") > 0, F.filter(tried, lambda x: x["w"]["first"] >= 0)).otherwise(F.array()))
-    found = F.transform(
-        "__tried",
-        lambda x: F.struct((x["start"] + x["w"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["w"]["last"] + WINDOW).alias("end")),
-    )
-    every = F.array_sort(F.concat("__assign", "__access", "__hex", found))
-    return df.withColumn(out, every).drop("__assign", "__access", "__hex", "__runs", "__tried")
+    own = lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])
+    df = df.withColumn("__found", _entropy_spans("__runs", own))
+    if hex_runs:
+        df = _spans(df, "__runs", text, HEX_RUN, 3, lambda s: ~_allowed(s))
+        df = df.withColumn("__found", F.concat("__found", _entropy_spans("__runs", lambda x: F.lower(own(x)))))
+        df = _outermost(df, "__found")
+    every = F.array_sort(F.concat("__assign", "__access", "__hex", "__found"))
+    return df.withColumn(out, every).drop("__assign", "__access", "__hex", "__runs", "__found")
 
 
 def _allowed(s: Column) -> Column:
@@ -143,9 +167,9 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hex_runs: bool = False) -> DataFrame:
     """One row per document: counts by kind, hash of the base spans, and all spans."""
-    df = find(docs.select(id_col, text_col), text_col, "__spans")
+    df = find(docs.select(id_col, text_col), text_col, "__spans", hex_runs)
     n = lambda k: F.size(F.filter("__spans", lambda x: x["kind"] == k)).cast("long")
     return df.select(
         id_col,
@@ -158,9 +182,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", hex_runs: bool = False) -> DataFrame:
     """Replace every span, overlapping ones together, by `mark`; texts without spans stay as they are."""
-    df = find(docs, text_col, "__spans")
+    df = find(docs, text_col, "__spans", hex_runs)
     reach = _prefix(F.transform("__spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
     df = df.withColumn("__reach", F.when(F.size("__spans") > 0, reach).otherwise(F.array().cast("array<int>")))
     text = F.col(text_col)

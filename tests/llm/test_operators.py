@@ -230,6 +230,38 @@ def test_secrets_against_brute_force(spark):
         assert clean[i] == (out + text[done:] if spans else text)
 
 
+def test_secret_query_judges_hex_runs_by_their_class(spark, tmp_path):
+    from docquarry.llm.queries import op5_secret_scan
+
+    rng = random.Random(7)
+    lower_hex = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice((c, c.upper())) for c in lower_hex(n))
+    makes = [lambda: lower_hex(40).upper(), lambda: mixed(40), lambda: "key_" + lower_hex(24), lambda: "sk-" + lower_hex(28), lambda: "api/v2/" + mixed(31), lambda: lower_hex(24)]
+    rows, want = [], {}
+    for i in range(240):
+        secret = makes[i % len(makes)]()
+        at = secret.rfind(max(re.findall("[0-9A-Fa-f]{20,}", secret), key=len))
+        own, size = secret[at:].lower(), secrets.WINDOW
+        if any(re.search(p, secret[at:]) for p in secrets.ALLOWED):
+            continue
+        counts = [Counter(own[j : j + size]).values() for j in range(len(own) - size + 1)]
+        good = [j for j, c in enumerate(counts) if -sum(x / size * math.log2(x / size) for x in c) >= secrets.THRESHOLDS["hex"] - 1e-9]
+        rows.append((i, f"see {secret} here"))
+        want[i] = (4 + at + good[0], 4 + at + good[-1] + size) if good else None
+    rows += [(1000, "see 123E4567-E89B-12D3-A456-426614174000 here"), (1001, "00000000000000000000000000"), (1002, "ABCDEFABCDEFABCDEFABCDEF"), (1003, None)]
+    frame = spark.createDataFrame(rows, TEXT)
+    frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in op5_secret_scan(spark, str(tmp_path)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(frame, hex_runs=True).collect()}
+    assert sum(x is not None for x in want.values()) > 0.9 * len(want)
+    for i, span in want.items():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i].spans.split(",") if x.startswith("entropy")]
+        assert found[i].n_entropy == len(spans) and not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in spans for b in spans) and len(set(spans)) == len(spans)
+        assert span is None or any(a <= span[0] and span[1] <= b for a, b in spans), rows[i]
+        assert span is None or "[secret]" in clean[i]
+    assert all(found[i].n_entropy == 0 for i in range(1000, 1004))
+
+
 # --- op6
 
 
