@@ -128,6 +128,15 @@ def test_topk_against_brute_force(spark, docs):
         assert all(abs(-a - s) < 1e-6 for (a, _), (_, s) in zip(want, got[q], strict=True))
 
 
+def test_topk_keeps_matches_of_a_term_of_all_documents(spark):
+    """Beside a best score in the hundreds, the matches by one term of all documents are tiny."""
+    rare = " ".join(f"r{i}" for i in range(4000))
+    rows = [(0, f"the {rare}"), (1, f"the {rare}")] + [(i, "the " + " ".join(f"f{(i * 7 + j) % 300}" for j in range(30))) for i in range(2, 2000)]
+    frame = spark.createDataFrame(rows, TEXT).coalesce(1)
+    got = topk.search(frame, frame.where("doc_id = 0")).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(1, 11)) and got[0].score > 300 and 0 < got[1].score < 4e-4
+
+
 # --- op3
 
 
