@@ -120,6 +120,7 @@ df as (select term, count(distinct doc) as df from pos where term in (select ter
 rare as (select qid, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as idf from ask join df using (term), st group by qid),
 sc as (select qid, doc, 3.0 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as score from tf join rare using (qid) join lens using (doc), st) {TOP.format("sc", 50)}""")
 def phrase_slop(spark, d):
+    """Phrases are the first three tokens of each question, as in the SQL; hybrid_search() takes whole questions."""
     docs = read(spark, d, "documents")
     ask = _questions(spark, d).select("item_id", F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("text"))
     return search.top(search.phrase_scores(docs, search.collection(docs), ask, "item_id", "text"), search.BM25_SIZE)
