@@ -7,29 +7,48 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialize
 
+#: Nodes of so large a share of all edges (one of HUBS) are hubs: there are 2 * HUBS of them at most.
+HUBS = 5_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u.
+
+    A hub's edges don't meet in one task: minima are partial sums, and those of the hubs, which are
+    2 * HUBS at most whatever the graph, are broadcast; the other nodes' minima join by shuffle.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > F.lit(max(1000, n_edges // HUBS))).select("u", F.col("m").alias("hub_m"))
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
+    return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Each round groups by node with partial sums (minima), joins them back, and is written to the
-    shared folder. Edges converge to stars around the smallest nodes.
+    shared folder; rounds go on to the fixed point, where all edges are stars around the smallest nodes.
+
+    Edge cases: edges with a null end or from a node to itself are no edges; repeated edges count
+    once; extra columns are ignored; without edges the result is empty.
     """
-    held = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    plain = edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
+    held = materialize(plain.distinct(), "edges")
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = state(held)
+    while True:
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Large star: larger neighbours of u, and u itself, move to the least of u and its neighbours.
+        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.union(held.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # Small star: smaller neighbours of u, and u itself, move to the least of them.
+        small = _with_least(large, 2 * now[0])
+        moved = small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        new = materialize(moved.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
         discard(held)
-        held = new
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        held, before = new, now
+        now = state(held)
         if now == before:
             break
-        before = now
-    else:
-        raise RuntimeError("components did not converge")
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
