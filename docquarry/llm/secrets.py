@@ -3,22 +3,27 @@
 Base kinds are patterns; a match's place comes from the lengths of the gaps between matches, so no
 position function is needed. The method adds `entropy` spans: candidate strings are runs of one
 character class (hex, or base64-like), a window slides over each, and the Shannon entropy of the
-window follows from incremental counts: one character leaves, one enters, and only their two terms of
-the sum of c * log2(c) change. The span runs from the first to the last window that reaches the
-threshold of its class. With hex_runs, runs of hex digits of either case are candidates of their own,
-wherever they stand, and are judged in lower case by the threshold of their class; of entropy spans
-inside each other the outermost stays. An allow-list suppresses added spans (plain words and paths,
-identifiers of fixed form, placeholders); it never removes base spans.
-
-Everything is a projection: no shuffle, no Python on the executors, memory bounded by one text.
-Prefix sums work by chunks, so a text with very many matches doesn't cost their square.
-
-Edge cases: null text counts as empty; a text without spans has counts 0, spans '' and the hash of
-''; repeated rows are scanned each by itself; extra columns are ignored; empty tables stay empty.
+window follows from incremental counts: the counts of all symbols are carried along, packed in a few
+numbers; one symbol leaves, one enters, and only their two terms of the sum of c * log2(c) change.
+The span runs from the first to the last window that reaches the threshold of its class. With
+hex_runs, runs of hex digits of either case are candidates of their own, wherever they stand, and are
+judged in lower case by the threshold of their class; of entropy spans inside each other the outermost
+stays. An allow-list suppresses added spans (plain words and paths, identifiers of fixed form,
+placeholders); it never removes base spans.
+
+Everything is a projection: no shuffle, no Python on the executors, memory bounded by one text. Time
+is in proportion to a text's length: candidates are the matches themselves, never cut anew from the
+text; running sums work by chunks of chunks; redaction cuts from pieces of bounded length.
+
+Edge cases: null text counts as empty (and stays null when redacted); a text without spans has counts
+0, spans '' and the hash of ''; repeated rows are scanned each by itself; extra columns are ignored
+(scan) or kept (redact); empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +45,36 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|x{6}|0{6}|123456789|abcdefgh",
 )
 _CHUNK = 64
+#: Characters of the pieces that redaction cuts from.
+_PIECE = 4096
+#: Symbols are ASCII codes from `+` on; their counts take 5 bits each, 12 to a number.
+_FIRST, _SYMBOLS, _BITS, _EACH = 43, 80, 5, 12
 
 
-def _prefix(values: Column, joined, start: Column) -> Column:
-    """For each place of an array, the fold of all before it; by chunks, so nearly linear."""
-    n = F.size(values)
+def _prefix(values: Column, joined, start: Column, levels: int = 3) -> Column:
+    """For each place of an array, the fold of all before it; by chunks of chunks, so nearly linear."""
     fold = lambda xs: F.aggregate(xs, start, joined)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))
-    totals = F.transform(chunks, fold)
+    if not levels:
+        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def inside(chunk: Column, base: Column) -> Column:
+        return F.transform(chunk, lambda _, i: joined(base, fold(F.slice(chunk, F.lit(1), i))))
 
-    def inside(chunk: Column, c: Column) -> Column:
-        base = F.array(fold(F.slice(totals, F.lit(1), c)))
-        return F.flatten(F.transform(base, lambda b: F.transform(chunk, lambda _, i: joined(b, fold(F.slice(chunk, F.lit(1), i))))))
+    def every(cs: Column) -> Column:
+        return F.flatten(F.zip_with(cs, _prefix(F.transform(cs, fold), joined, start, levels - 1), inside))
 
-    return F.when(n > 0, F.flatten(F.transform(chunks, inside))).otherwise(F.slice(values, 1, 0))
+    # Bound as a lambda variable, so that the chunks are made once.
+    return F.when(F.size(values) > 0, F.get(F.transform(F.array(chunks), every), F.lit(0))).otherwise(F.slice(values, 1, 0))
 
 
 def _spans(df: DataFrame, out: str, text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> DataFrame:
-    """Add `out`: array of (start, kind, end) of the pattern's matches that keep(group's text) holds for."""
+    """Add `out`: array of (start, kind, end) of the pattern's matches that keep(group's text) holds for.
+
+    Candidates (kind 3) carry their text as well.
+    """
     hits, size, gaps, at = (f"__{out}_{x}" for x in ("hits", "size", "gaps", "at"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(f"array<struct<start:int,kind:int,end:int{',text:string' * (kind == 3)}>>")
     df = df.withColumn(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     some = F.size(hits) > 0
     if keep is None:
@@ -70,56 +85,58 @@ def _spans(df: DataFrame, out: str, text: Column, pattern: str, kind: int, keep=
         judged = F.transform(hits, keep)
     df = df.withColumn(size, F.transform(hits, lambda x: F.length(x)))
     df = df.withColumn(gaps, F.when(some, F.transform(F.split(text, pattern, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")))
-    steps = F.transform(F.col(size), lambda x, i: x + F.get(F.col(gaps), i))
-    df = df.withColumn(at, F.when(some, _prefix(steps, lambda a, b: a + b, F.lit(0))).otherwise(F.array().cast("array<int>")))
-    first = lambda i: F.get(F.col(at), i) + F.get(F.col(gaps), i)
-    every = F.transform(F.col(size), lambda n, i: F.struct(first(i).alias("start"), F.lit(kind).alias("kind"), (first(i) + n).alias("end")))
-    held = F.transform(F.filter(F.arrays_zip(every.alias("s"), judged.alias("ok")), lambda x: x["ok"]), lambda x: x["s"])
-    return df.withColumn(out, F.when(some, held).otherwise(none)).drop(hits, size, gaps, at)
+    before = F.slice(gaps, F.lit(1), F.size(hits))
+    # Arrays are zipped, never read by place inside a lambda: a column there could be found anew each time.
+    df = df.withColumn(at, F.when(some, _prefix(F.zip_with(size, before, lambda x, g: x + g), lambda a, b: a + b, F.lit(0))).otherwise(F.array().cast("array<int>")))
+    zipped = F.arrays_zip(F.col(hits).alias("text"), F.col(size).alias("n"), before.alias("gap"), F.col(at).alias("at"), judged.alias("ok"))
+    own = lambda x: [x["text"].alias("text")] * (kind == 3)
+    place = lambda x: F.struct((x["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (x["at"] + x["gap"] + x["n"]).alias("end"), *own(x))
+    return df.withColumn(out, F.when(some, F.transform(F.filter(zipped, lambda x: x["ok"]), place)).otherwise(none)).drop(hits, size, gaps, at)
 
 
 def entropy_windows(s: Column, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> Column:
     """(first, last): starts of the first and last window of s that reach its class's threshold.
 
-    Both are -1 if none does or s is shorter than the window.
+    Both are -1 if none does or s is shorter than the window. s holds symbols of a candidate only.
     """
-    letters = F.split(s, "")
+    if window >= 1 << _BITS:
+        raise ValueError(f"counts of a window hold {_BITS} bits")
+    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    none = F.array(*[F.lit(0).cast("bigint")] * -(-_SYMBOLS // _EACH))
+    # The number that holds a symbol's count, where it is there, and one of it.
+    place = lambda c: F.struct(F.floor(c / _EACH).cast("int").alias("q"), ((c % _EACH) * _BITS).alias("s"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % _EACH) * _BITS).alias("v"))
+    symbols = F.transform(F.split(s, ""), lambda c: place(F.ascii(c) - _FIRST))
     least = F.when(s.rlike("^[0-9a-f]+$"), thresholds["hex"]).otherwise(thresholds["base64"])
-    near = F.array(*[F.lit(j) for j in range(1, window)])
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
     def scan(cs: Column) -> Column:
-        seen = lambda i, c: F.size(F.filter(near, lambda j: F.get(cs, i - j) == c)).cast("double")
-        whole = F.slice(cs, 1, window)
-        begin = F.aggregate(whole, F.lit(0.0), lambda a, c: a + F.log2(F.size(F.filter(whole, lambda d: d == c)).cast("double")))
-        bits = lambda total: F.log2(F.lit(float(window))) - total / window
-
-        def step(a: Column, i: Column) -> Column:
-            # The window ends at i: cs[i - window] has left, cs[i] enters.
-            out, new = F.get(cs, i - window), F.get(cs, i)
-            left = F.size(F.filter(near, lambda j: F.get(cs, i - j) == out)).cast("double")
-            came = seen(i, new)
-            total = a["total"] - term(left + 1) + term(left) - term(came) + term(came + 1)
-            fits = bits(total) >= least - 1e-9
-            at = i - window + 1
-            return F.struct(
-                total.alias("total"),
-                F.when(fits & (a["first"] < 0), at).otherwise(a["first"]).alias("first"),
-                F.when(fits, at).otherwise(a["last"]).alias("last"),
-            )
-
-        hit = F.when(bits(begin) >= least - 1e-9, 0).otherwise(-1)
-        zero = F.struct(begin.alias("total"), hit.alias("first"), hit.alias("last"))
-        slid = F.aggregate(F.sequence(F.lit(window), F.size(cs) - 1), zero, step)
-        return F.when(F.size(cs) > window, slid).otherwise(zero)
-
-    empty = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.when(F.length(s) < window, empty).otherwise(F.get(F.transform(F.array(letters), scan), F.lit(0)))
+        count = lambda a, x: F.call_function("shiftright", F.get(a["counts"], x["q"]), x["s"]).bitwiseAND((1 << _BITS) - 1).cast("int")
+        term = lambda n: F.get(terms, n)
+        only = lambda j, x: F.when(j == x["q"], x["v"]).otherwise(F.lit(0).cast("bigint"))
+
+        def moved(a: Column, new: Column, out: Column) -> Column:
+            """The state after `new` has entered the window and, where there is one, `out` has left."""
+            gone = F.when(out.isNull(), 0.0).otherwise(term(count(a, out) - 1) - term(count(a, out)))
+            came = count(a, new) - F.when(out["q"] == new["q"], (out["s"] == new["s"]).cast("int")).otherwise(0)
+            counts = F.transform(a["counts"], lambda x, j: x + only(j, new) - only(j, out))
+            return F.struct((a["at"] + 1).alias("at"), (a["total"] + gone + term(came + 1) - term(came)).alias("total"), counts.alias("counts"), a["first"].alias("first"), a["last"].alias("last"))
+
+        def judged(a: Column) -> Column:
+            begin = a["at"] - (window - 1)
+            fits = (begin >= 0) & (F.lit(math.log2(window)) - a["total"] / window >= least - 1e-9)
+            return F.struct(a["at"].alias("at"), a["total"].alias("total"), a["counts"].alias("counts"), F.when(fits & (a["first"] < 0), begin).otherwise(a["first"]).alias("first"), F.when(fits, begin).otherwise(a["last"]).alias("last"))
+
+        start = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("total"), none.alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        pairs = F.transform(cs, lambda new, i: F.struct(new.alias("new"), F.when(i >= window, F.get(cs, i - window)).alias("out")))
+        step = lambda a, x: F.get(F.transform(F.array(moved(a, x["new"], x["out"])), judged), F.lit(0))
+        return F.aggregate(pairs, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    empty = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.when(F.length(s) < window, empty).otherwise(F.get(F.transform(F.array(symbols), scan), F.lit(0)))
 
 
 def _entropy_spans(runs: str, judged) -> Column:
     """Spans of the windows that reach the threshold in the candidates of column `runs`; judged: the text of one."""
-    tried = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), entropy_windows(judged(x)).alias("w")))
+    tried = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), entropy_windows(judged(x["text"])).alias("w")))
     tried = F.when(F.size(runs) > 0, F.filter(tried, lambda x: x["w"]["first"] >= 0)).otherwise(F.array())
     return F.transform(
         tried,
@@ -133,8 +150,8 @@ def _outermost(df: DataFrame, spans: str) -> DataFrame:
     df = df.withColumn("__order", F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind")))))
     reach = _prefix(F.transform("__order", lambda x: -x["back"]), lambda a, b: F.greatest(a, b), F.lit(0))
     df = df.withColumn("__far", F.when(some, reach).otherwise(F.array().cast("array<int>")))
-    held = F.filter("__order", lambda x, i: -x["back"] > F.get(F.col("__far"), i))
-    plain = F.transform(held, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["back"]).alias("end")))
+    held = F.filter(F.arrays_zip(F.col("__order").alias("x"), F.col("__far").alias("far")), lambda z: -z["x"]["back"] > z["far"])
+    plain = F.transform(held, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["kind"].alias("kind"), (-z["x"]["back"]).alias("end")))
     return df.withColumn(spans, plain).drop("__order", "__far")
 
 
@@ -145,11 +162,10 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", hex
     df = _spans(df, "__access", text, ACCESS, 1)
     df = _spans(df, "__hex", text, HEX, 2)
     df = _spans(df, "__runs", text, CANDIDATE, 3, lambda s: ~_allowed(s))
-    own = lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])
-    df = df.withColumn("__found", _entropy_spans("__runs", own))
+    df = df.withColumn("__found", _entropy_spans("__runs", lambda s: s))
     if hex_runs:
         df = _spans(df, "__runs", text, HEX_RUN, 3, lambda s: ~_allowed(s))
-        df = df.withColumn("__found", F.concat("__found", _entropy_spans("__runs", lambda x: F.lower(own(x)))))
+        df = df.withColumn("__found", F.concat("__found", _entropy_spans("__runs", F.lower)))
         df = _outermost(df, "__found")
     every = F.array_sort(F.concat("__assign", "__access", "__hex", "__found"))
     return df.withColumn(out, every).drop("__assign", "__access", "__hex", "__runs", "__found")
@@ -187,13 +203,22 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", hex_
     df = find(docs, text_col, "__spans", hex_runs)
     reach = _prefix(F.transform("__spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
     df = df.withColumn("__reach", F.when(F.size("__spans") > 0, reach).otherwise(F.array().cast("array<int>")))
-    text = F.col(text_col)
+    text = F.col(text_col).cast("string")
+    df = df.withColumn("__pieces", F.when(F.size("__spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+
+    def joined(pieces: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            """The characters from start to end, cut from the pieces that hold them."""
+            first, last = F.floor(start / _PIECE).cast("int"), F.floor(F.greatest(end - 1, start) / _PIECE).cast("int")
+            held = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return F.when(end > start, F.substring(held, start % _PIECE + 1, end - start)).otherwise("")
+
+        def part(z: Column) -> Column:
+            return F.when(z["x"]["start"] < z["done"], F.lit("")).otherwise(F.concat(between(z["done"], z["x"]["start"]), F.lit(mark)))
 
-    def part(x: Column, i: Column) -> Column:
-        done = F.get(F.col("__reach"), i)
-        between = F.concat(F.substring(text, done + 1, F.greatest(x["start"] - done, F.lit(0))), F.lit(mark))
-        return F.when((x["start"] < done), F.lit("")).otherwise(between)
+        last = F.array_max(F.transform("__spans", lambda x: x["end"]))
+        parts = F.transform(F.arrays_zip(F.col("__spans").alias("x"), F.col("__reach").alias("done")), part)
+        return F.concat(F.array_join(parts, ""), between(last, F.length(text)))
 
-    last = F.array_max(F.transform("__spans", lambda x: x["end"]))
-    whole = F.concat(F.array_join(F.transform("__spans", part), ""), F.substring(text, last + 1, F.length(text)))
-    return df.withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(text)).drop("__spans", "__reach")
+    whole = F.get(F.transform(F.array("__pieces"), joined), F.lit(0))
+    return df.withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(F.col(text_col))).drop("__spans", "__reach", "__pieces")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,22 @@ def test_secret_query_judges_hex_runs_by_their_class(spark, tmp_path):
     assert all(found[i].n_entropy == 0 for i in range(1000, 1004))
 
 
+def test_secret_scan_takes_time_in_proportion(spark):
+    """A text with 20,000 candidates: the same spans as brute force, and redacted whole, in seconds."""
+    rng, letters = random.Random(9), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    text = " é ".join("".join(rng.choice(letters) for _ in range(23)) for _ in range(20_000))
+    frame = spark.createDataFrame([(1, text)], TEXT)
+    began = time.time()
+    found, clean = secrets.scan(frame).collect()[0], secrets.redact(frame).collect()[0].text
+    assert time.time() - began < 60
+    counts, base, spans = brute_spans(text)
+    assert (found.base_sha256, found.spans) == (base, spans) and found.n_entropy > 10_000
+    out, done = "", 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+        out, done = out + text[done:a] + "[secret]", b
+    assert clean == out + text[done:]
+
+
 # --- op6
 
 
