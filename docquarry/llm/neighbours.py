@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by stable projections and a kd-tree (operator 3).
 
 Largest inner product becomes least distance by one more coordinate that gives every vector the
-greatest norm. Vectors are dealt into shards of bounded size by a hash of the id, so equal vectors
-spread. Each shard keeps its vectors' projections by a Gaussian (2-stable) matrix of few dimensions
-in a kd-tree. A query visits the tree's leaves by projected distance and verifies their vectors by the
-exact measure, until a chi-square test holds: were a vector nearer than the k-th best so far, its
-projected distance would be, but for a chance of 1 - CONFIDENCE, less than that of the next leaf.
-Queries meet shards in blocks; each pair of blocks returns k rows a query, and a window merges them.
+greatest norm. Vectors are dealt once, into shards of bounded size by a hash of the id, so equal
+vectors spread. Each shard keeps its vectors' projections by a Gaussian (2-stable) matrix of few
+dimensions in a kd-tree that is built once. Queries are sent to the shards and stream through: a query
+visits the tree's leaves by projected distance and verifies their vectors by the exact measure, until
+a chi-square test holds: were a vector nearer than the k-th best so far, its projected distance would
+be, but for a chance of 1 - CONFIDENCE, less than that of the next leaf. Every shard returns k rows a
+query, and a window merges them.
+
+Shards grow with the table up to MOST_ROWS, so that the queries' copies stay in proportion to the
+vectors: memory is one shard, whatever the number of queries.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors
 of another length than the query's are no candidates; with fewer than k candidates all are returned;
@@ -17,6 +21,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 8
 CONFIDENCE = 0.95
-SHARD_ROWS = 8192
-QUERY_ROWS = 512
+#: Rows of a shard: these at least, and a 64th of the table up to the second number.
+SHARD_ROWS, MOST_ROWS = 8192, 131_072
 LEAF = 64
 
 
@@ -76,34 +81,35 @@ class Tree:
         return order, d[order]
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, longest: float, matrix: np.ndarray, confidence: float) -> list[tuple[int, int, float]]:
-    """(query id, id, score) of the k best of one shard for each query."""
-    m = len(matrix)
-    fill = np.sqrt(np.maximum(longest - (vectors * vectors).sum(axis=1), 0.0))
-    tree = Tree(vectors @ matrix[:, :-1].T + fill[:, None] * matrix[:, -1])
-    limit = quantile(confidence, m)
-    held, held_ids = vectors[tree.order], ids[tree.order]
-    out = []
-    for qid, q in zip(query_ids, queries, strict=True):
+class Shard:
+    """A shard's vectors of one length, by the leaves of the tree over their projections."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, matrix: np.ndarray):
+        fill = np.sqrt(np.maximum(longest - (vectors * vectors).sum(axis=1), 0.0))
+        self.tree = Tree(vectors @ matrix[:, :-1].T + fill[:, None] * matrix[:, -1])
+        self.vectors, self.ids = vectors[self.tree.order], ids[self.tree.order]
+        self.longest, self.matrix = longest, matrix
+
+    def search(self, qid: int, q: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best found, until the next leaf is beyond the limit."""
         norm = float((q * q).sum())
-        leaves, far = tree.leaves(matrix[:, :-1] @ q)
+        leaves, far = self.tree.leaves(self.matrix[:, :-1] @ q)
         best, who = np.zeros(0), np.zeros(0, np.int64)
         at, step = 0, 2
         while at < len(leaves):
-            if len(best) >= k and far[at] > limit * max(norm + longest - 2 * best[k - 1], 0.0) + 1e-12:
+            if len(best) >= k and far[at] > limit * max(norm + self.longest - 2 * best[k - 1], 0.0) + 1e-12:
                 break
-            run = np.concatenate([np.arange(a, b) for a, b in tree.runs[leaves[at : at + step]]])
-            run = run[held_ids[run] != qid]
-            score = (held[run] * q).sum(axis=1)
+            run = np.concatenate([np.arange(a, b) for a, b in self.tree.runs[leaves[at : at + step]]])
+            run = run[self.ids[run] != qid]
+            score = (self.vectors[run] * q).sum(axis=1)
             if len(best) >= k:
                 keep = score >= best[k - 1]
                 run, score = run[keep], score[keep]
-            best, who = np.concatenate([best, score]), np.concatenate([who, held_ids[run]])
+            best, who = np.concatenate([best, score]), np.concatenate([who, self.ids[run]])
             order = np.lexsort((who, -best))[:k]
             best, who = best[order], who[order]
-            at, step = at + step, min(2 * step, 16)
-        out += [(int(qid), int(i), float(s)) for i, s in zip(who, best, strict=True)]
-    return out
+            at, step = at + step, min(2 * step, 64)
+        return who, best
 
 
 def _matrix(dim: int, m: int) -> np.ndarray:
@@ -111,16 +117,33 @@ def _matrix(dim: int, m: int) -> np.ndarray:
 
 
 def _search(k: int, m: int, confidence: float, longest: float):
-    def run(table: pa.Table) -> pa.Table:
-        dim = len(table.column("v")[0])
-        ids = table.column("id").to_numpy()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-        ask = table.column("ask").to_numpy(zero_copy_only=False)
-        found = []
-        if ask.any() and not ask.all():
-            found = search_shard(ids[~ask], vectors[~ask], ids[ask], vectors[ask], k, longest, _matrix(dim, m), confidence)
-        q, i, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+    """Rows in order (shard, dim, ask): a shard's vectors of one length, then its queries, which stream."""
+    limit = quantile(confidence, m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "dim", "ask")]) if batch.num_rows else np.zeros((3, 0), np.int64)
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                ids = part.column("id").to_numpy()
+                vectors = part.column("v").flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+                if key != (own := tuple(names[:2, a].tolist())):
+                    key, shard, held = own, None, []
+                if not names[2, a]:
+                    held.append((ids, vectors))
+                    continue
+                if shard is None and held:
+                    shard = Shard(*map(np.concatenate, zip(*held, strict=True)), longest, _matrix(key[1], m))
+                    held = []
+                if shard is not None:
+                    found = [shard.search(i, q, k, limit) for i, q in zip(ids, vectors, strict=True)]
+                    columns = (np.repeat(ids, [len(x) for x, _ in found]), *map(np.concatenate, zip(*found, strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -138,12 +161,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     base, ask = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id"])
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = base.agg(F.count("*"), F.max(norm)).first()
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-ask.count() // QUERY_ROWS))
-    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    shelf = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("ask"))
-    asked = ask.select("id", "v", every(shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("ask"))
+    shards = max(1, -(-n // max(shard_rows, min(n // 64, MOST_ROWS))))
+    shelf = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"))
+    asked = ask.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"))
     met = shelf.unionByName(asked).withColumn("dim", F.size("v"))
-    found = met.groupBy("shard", "block", "dim").applyInArrow(_search(k, dimensions, confidence, float(longest or 0.0)), "query_id bigint, vec_id bigint, score double")
+    dealt = met.repartition(shards, "shard").sortWithinPartitions("shard", "dim", "ask")
+    found = dealt.mapInArrow(_search(k, dimensions, confidence, float(longest or 0.0)), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,7 +5,10 @@ gathered for all its places. Only the extents of the pieces (id, start, length,
 shuffled, by a hash of the id, so no source or copy group makes a hot task. Each partition then
 runs a bounded-space online best-fit: windows of rows arrive by falling length, a fixed number of
 bins is open, a bitset keyed by free space finds the tightest bin that fits, and when all bins are
-open the fullest closes first. Memory is one window plus the open bins.
+open the fullest closes first. Memory is one window, bounded in rows and bytes, plus the open bins.
+
+Ids are those of the `tokenizers` library for the file as it is loaded, without special tokens added
+around a text; a text that spells an added token gets its id.
 
 Edge cases: null text counts as empty and gives the end token alone; repeated rows and repeated ids
 are packed each by itself; ties go to the smaller id and piece; extra columns are ignored; an empty
@@ -30,8 +33,8 @@ from . import text as T
 
 #: Bins that a partition keeps open.
 OPEN_BINS = 65_536
-#: Rows that arrive together, by falling length.
-WINDOW = 131_072
+#: Rows, and bytes of them, that arrive together, by falling length.
+WINDOW, WINDOW_BYTES = 131_072, 32 << 20
 #: Merged pieces that a Python worker remembers between blocks.
 REMEMBERED = 300_000
 
@@ -53,7 +56,8 @@ def merger(tokenizer_file: str):
     vocabulary = Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=False)
     special = {t.content for t in Tokenizer.from_file(tokenizer_file).get_added_tokens_decoder().values()}
     ranks = {bytes(of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
-    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    whole = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda piece: whole.encode_ordinary(piece.decode())
 
 
 @functools.cache
@@ -96,13 +100,13 @@ def _memory(tokenizer_file: str) -> dict[bytes, list[int]]:
     return {}
 
 
-def block_ids(block: pa.Table, text_col: str, tokenizer_file: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def block_ids(block: pa.Table, text_col: str, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all documents of a block, and where each document's ids begin (with the end).
 
-    With added, the file's added tokens are matched in the texts, as the tokenizer does when loaded.
+    The file's added tokens are matched in the texts, as the tokenizer does when loaded.
     """
     data, offsets = T.raw(block.column(text_col))
-    tokens, special = added_tokens(tokenizer_file) if added else ((), {})
+    tokens, special = added_tokens(tokenizer_file)
     bounds, first = _pieces(data, offsets, tokens)
     words = T.binary(data, bounds).dictionary_encode()
     codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
@@ -125,10 +129,10 @@ def block_ids(block: pa.Table, text_col: str, tokenizer_file: str, added: bool =
     return ids, np.append(0, np.cumsum(n))[first]
 
 
-def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity: int, with_ids: bool, block_bytes: int, added: bool):
+def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity: int, with_ids: bool, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, text_col, block_bytes):
-            ids, at = block_ids(block, text_col, tokenizer_file, added)
+            ids, at = block_ids(block, text_col, tokenizer_file)
             rows = []
             parts = []
             for key, a, b in zip(block.column(id_col).to_pylist(), at[:-1], at[1:], strict=True):
@@ -149,16 +153,15 @@ def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity:
     return run
 
 
-def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 24 << 20, added: bool = False) -> DataFrame:
+def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
     """Tokenise whole texts, add end_id, and cut what is longer than capacity.
 
     Pieces are full but the first, which has the remainder. Columns: id_col, piece, start, length,
-    ids_crc32 and, with with_ids, ids. added: match the file's added tokens in the texts; else they
-    are encoded as other text.
+    ids_crc32 and, with with_ids, ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(
-        _cut(id_col, text_col, tokenizer_file, end_id, capacity, with_ids, block_bytes, added),
+        _cut(id_col, text_col, tokenizer_file, end_id, capacity, with_ids, block_bytes),
         f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids,
     )
 
@@ -213,10 +216,13 @@ def _pack(id_col: str, capacity: int, open_bins: int, window: int):
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= window:
-                yield from packed(held).to_batches()
-                held = []
+            # A slice of a batch, since one batch may be many times the window's bytes.
+            rows = max(1, batch.num_rows * WINDOW_BYTES // max(batch.nbytes, WINDOW_BYTES))
+            for at in range(0, batch.num_rows, rows):
+                held.append(batch.slice(at, rows))
+                if sum(b.num_rows for b in held) >= window or sum(b.nbytes for b in held) >= WINDOW_BYTES:
+                    yield from packed(held).to_batches()
+                    held = []
         if held and sum(b.num_rows for b in held):
             yield from packed(held).to_batches()
 

@@ -1,9 +1,9 @@
 """Sharding of documents into byte-balanced shards by Karmarkar-Karp differencing (operator 7).
 
 Equal texts are an indivisible group. Sizes are summed by group (with partial sums, so a group of
-copies costs a row a task), and each partition of groups runs the differencing alone: partial
-partitions wait by spread, and the two of largest spread are combined, oppositely ordered. Each Spark
-partition leaves one partial partition of as many subsets as there are shards; the driver combines
+copies costs a row a task), and each partition of groups runs the differencing alone, by slabs as
+they come: partial partitions wait by spread, and the two of largest spread are combined, oppositely
+ordered. Each Spark partition leaves one partial partition of as many subsets as there are shards; the driver combines
 these few (shards x partitions numbers, whatever the data) in the same way. Rows then join their
 group's subset. Slots count on through buckets of a hash, so no shard is one task.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Groups that are differenced together; it bounds a task's memory.
+#: Groups that are differenced together, about; it bounds a task's memory.
 SLAB = 50_000
 
 
@@ -71,32 +71,57 @@ def differencing(items: list[list[int]], shards: int) -> list[list[int]]:
     return out
 
 
-def subsets(sizes: list[int], shards: int, slab: int = SLAB) -> list[int]:
-    """The subset of each size, by slabs whose partial partitions are combined in turn."""
-    found, sums = [], []
-    for i in range(0, len(sizes), slab):
-        own = [row[0] for row in differencing([[n, *[0] * (shards - 1)] for n in sizes[i : i + slab]], shards)]
+class Dealer:
+    """Slabs of sizes, one after another, onto shards that keep their sums.
+
+    Each slab is differenced alone; its partial partition is then combined with that of all slabs
+    before, oppositely ordered, so a slab's subsets are known as soon as it has come.
+    """
+
+    def __init__(self, shards: int):
+        self.sums = [0] * shards
+
+    def deal(self, sizes: list[int]) -> list[int]:
+        shards = len(self.sums)
+        own = [row[0] for row in differencing([[n, *[0] * (shards - 1)] for n in sizes], shards)]
         total = [0] * shards
-        for n, x in zip(sizes[i : i + slab], own, strict=True):
+        for n, x in zip(sizes, own, strict=True):
             total[x] += n
-        found.append(own)
-        sums.append(total)
-    final = differencing(sums, shards)
-    return [final[i][x] for i, own in enumerate(found) for x in own]
+        rising = sorted(range(shards), key=lambda x: (total[x], x))
+        falling = sorted(range(shards), key=lambda x: (-self.sums[x], x))
+        final = dict(zip(rising, falling, strict=True))
+        for x in range(shards):
+            self.sums[final[x]] += total[x]
+        return [final[x] for x in own]
+
+
+def subsets(sizes: list[int], shards: int, slab: int = SLAB) -> list[int]:
+    """The subset of each size, by slabs that come one after another."""
+    dealer = Dealer(shards)
+    return [x for i in range(0, len(sizes), slab) for x in dealer.deal(sizes[i : i + slab])]
 
 
 def _label(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by([("bytes", "descending"), ("k1", "ascending"), ("k2", "ascending")])
-        sizes = table.column("bytes").to_pylist()
-        found = subsets(sizes, shards)
-        table = table.append_column("subset", pa.array(found, pa.int32()))
-        table = table.append_column("part", pa.array([context.partitionId() if context else 0] * len(sizes), pa.int32()))
-        yield from table.combine_chunks().to_batches()
+        part = context.partitionId() if context else 0
+        dealer, held = Dealer(shards), []
+
+        def labelled() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).sort_by([("bytes", "descending"), ("k1", "ascending"), ("k2", "ascending")])
+            found = dealer.deal(table.column("bytes").to_pylist())
+            table = table.append_column("subset", pa.array(found, pa.int32()))
+            table = table.append_column("part", pa.array([part] * len(found), pa.int32()))
+            yield from table.combine_chunks().to_batches()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLAB):
+                held.append(batch.slice(at, SLAB))
+                if sum(b.num_rows for b in held) >= SLAB:
+                    yield from labelled()
+                    held = []
+        if held:
+            yield from labelled()
 
     return run
 

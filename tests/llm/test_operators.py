@@ -44,7 +44,6 @@ def test_packing_ids_cuts_and_places(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     extra = spark.createDataFrame([(10**6, None), (10**6 + 1, "abc <|endoftext|> 'll " * 900)], TEXT)
     texts = docs.select("doc_id", "text").unionByName(extra)
     got = packing.pack(texts, path).toPandas()
@@ -138,6 +137,25 @@ def test_topk_keeps_matches_of_a_term_of_all_documents(spark):
     assert [r.doc_id for r in got] == list(range(1, 11)) and got[0].score > 300 and 0 < got[1].score < 4e-4
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_topk_keeps_ties_however_blocks_are_dealt(spark, partitions):
+    """A near copy of a query of 1,501 terms, and 1,998 documents that share its common word alone."""
+    rare = " ".join(f"r{i}" for i in range(1500))
+    rows = [(0, f"the {rare}"), (1, f"the {rare} more")] + [(i, f"the own{i} words{i}") for i in range(2, 2000)]
+    frame = spark.createDataFrame(rows, TEXT).repartition(partitions, "doc_id")
+    got = topk.search(frame, frame.where("doc_id = 0")).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(1, 11)) and [r.rank for r in got] == list(range(1, 11))
+
+
+def test_topk_by_many_groups_and_blocks(spark, docs):
+    """The same rows in the same order, whatever the groups of queries, blocks and shards."""
+    texts = docs.select("doc_id", "text")
+    rows = lambda **o: [tuple(r) for r in topk.search(texts, texts.where("doc_id % 5 = 0"), **o).orderBy("query_id", "rank").collect()]
+    want = rows()
+    got = rows(group_terms=500, block_bytes=30_000)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
 # --- op3
 
 
@@ -173,6 +191,27 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(few, few.where("vec_id = 0")).count() == 4
 
 
+def test_neighbours_recall_on_the_registered_table(spark):
+    """The query itself, over the whole table, against exact inner products."""
+    from docquarry.llm.queries import op3_nearest_neighbours
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    every = np.array([rows[i] for i in ids])
+    got = defaultdict(list)
+    for r in op3_nearest_neighbours(spark, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit = 0
+    assert set(got) == {i for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        scores = every @ rows[q]
+        best = [i for _, i in sorted((-s, i) for i, s in zip(ids, scores, strict=True) if i != q)[:20]]
+        hit += len(set(best) & {i for i, _ in found})
+        assert len(found) == 20 and all(abs(s - rows[i] @ rows[q]) < 1e-9 for i, s in found)
+    assert hit / (20 * len(got)) >= 0.9
+
+
 # --- op4
 
 
@@ -391,6 +430,27 @@ def test_differencing_is_tight():
     assert max(sums.values()) - min(sums.values()) <= 200
 
 
+def plain_differencing(sizes, shards):
+    """Karmarkar-Karp with the groups' members kept in lists."""
+    parts = [[(n, [i])] + [(0, [])] * (shards - 1) for i, n in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][0] - p[-1][0], reverse=True)
+        a, b, *rest = parts
+        parts = [sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda s: -s[0]), *rest]
+    return [s for s, _ in parts[0]]
+
+
+def test_differencing_equals_a_plain_version():
+    """Sums by combining the two largest spreads; sizes without equal spreads, whose order is free."""
+    rng = random.Random(11)
+    for shards in (2, 3, 8):
+        sizes = rng.sample(range(1, 10**9), 60)
+        sums = Counter()
+        for n, row in zip(sizes, sharding.differencing([[n, *[0] * (shards - 1)] for n in sizes], shards), strict=True):
+            sums[row[0]] += n
+        assert sorted(sums.values(), reverse=True) == plain_differencing(sizes, shards)
+
+
 # --- op8, op9
 
 
