@@ -115,6 +115,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+#: Bytes of words that are hashed together, which fit a processor's cache.
+_HASHED = 1 << 18
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte span (spans in order, not overlapping, none empty)."""
     if not len(starts):
@@ -123,12 +127,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     if lower:
         table = table[_LOWER]
     lengths = ends - starts
-    inner = np.arange(int(lengths.sum()), dtype=np.int64)
-    first = np.cumsum(lengths) - lengths
-    inner -= np.repeat(first, lengths)
-    values = table[data[inner + np.repeat(starts, lengths)]]
-    values *= _powers(int(lengths.max()) + 1)[inner]
-    return mix(np.add.reduceat(values, first) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+    after = np.cumsum(lengths)
+    powers = _powers(int(lengths.max()) + 1)
+    out = np.empty(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        done = int(after[a] - lengths[a])
+        b = max(a + 1, int(np.searchsorted(after, done + _HASHED, side="right")))
+        size = lengths[a:b]
+        first = after[a:b] - size - done
+        inner = np.arange(int(after[b - 1]) - done, dtype=np.int64)
+        inner -= np.repeat(first, size)
+        values = table[data[inner + np.repeat(starts[a:b], size)]]
+        values *= powers[inner]
+        np.add.reduceat(values, first, out=out[a:b])
+        a = b
+    return mix(out + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def grams(hashes: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
