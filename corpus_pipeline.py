@@ -4,9 +4,14 @@
 2. near_duplicates: of each group of linked documents the one with the smallest id stays.
 3. substrings: words of repeated 13-word windows go; texts that lose none stay as they are.
 4. secrets: spans that the scan finds are replaced by a mark.
-5. packing: the texts are tokenised and packed into sequences; one row per piece.
+5. packing: the texts are tokenised and packed into sequences; one row per piece, with its ids.
 
 All stages but the last return the columns of documents, with n_chars brought up to date.
+
+Edge cases, in every stage: an empty table gives an empty result; extra columns pass (all stages but the
+last), whatever their names; repeated rows are judged each by itself, and as one document where
+documents are compared. A null or empty text is scored as empty, links with nothing, loses nothing and
+becomes the end token alone. Rows with a null id are scored, never linked, lose no words, and are packed.
 """
 
 from __future__ import annotations
@@ -31,30 +36,44 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model learns from the labelled documents of this stage's input that aren't held out."""
+    """Keep what the model accepts; it learns from this stage's labelled documents that aren't held out.
+
+    Labels that are null, unclear or of unknown ids don't teach. With fewer than two classes every score is
+    the share of label 1, so all documents stay or go together.
+    """
     model = quality.train(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links are of five-word shingles and a similarity of 0.8; the values of operator 6 are its own."""
+    """Links are of five-word shingles and a similarity of 0.8; the values of operator 6 are its own.
+
+    Of a group of linked documents the smallest id stays, with all its rows; null ids stay.
+    """
     ship(spark)
     return jaccard.keep_first(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 13 that starts in a document with a smaller id too go; ties stay with the smaller."""
     ship(spark)
     return substrings.cut_text(docs).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.redact(ship(spark) and docs, hex_runs=True)
+    """Spans become a mark, overlapping ones together; a null text stays null."""
+    ship(spark)
+    found = secrets.redact(docs, hex_runs=True)
     return _with_text(found, F.col("text")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its place in its document and in a sequence, and its ids.
+
+    packing.sequences() puts the pieces of a sequence together for training.
+    """
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
