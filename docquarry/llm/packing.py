@@ -153,7 +153,7 @@ def _cut(id_col: str, text_col: str, tokenizer_file: str, end_id: int, capacity:
     return run
 
 
-def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def cut_tokens(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
     """Tokenise whole texts, add end_id, and cut what is longer than capacity.
 
     Pieces are full but the first, which has the remainder. Columns: id_col, piece, start, length,
