@@ -11,14 +11,16 @@ from ..session import discard, materialize
 HUBS = 5_000
 
 
-def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
-    """edges (u, v) with m, the least v of each u.
+def _with_least(edges: DataFrame, hub: int | None) -> DataFrame:
+    """edges (u, v) with m, the least v of each u; hub: the number of edges that makes a hub, if there is one.
 
     A hub's edges don't meet in one task: minima are partial sums, and those of the hubs, which are
     2 * HUBS at most whatever the graph, are broadcast; the other nodes' minima join by shuffle.
     """
+    if hub is None:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = least.where(F.col("n") > F.lit(max(1000, n_edges // HUBS))).select("u", F.col("m").alias("hub_m"))
+    hubs = least.where(F.col("n") >= hub).select("u", F.col("m").alias("hub_m"))
     told = edges.join(F.broadcast(hubs), "u", "left")
     rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
     return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
@@ -39,11 +41,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = state(held)
     while True:
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hub = max(1000, now[0] // HUBS)
+        hub = hub if (both.groupBy("u").count().agg(F.max("count")).first()[0] or 0) >= hub else None
         # Large star: larger neighbours of u, and u itself, move to the least of u and its neighbours.
-        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.union(held.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
         # Small star: smaller neighbours of u, and u itself, move to the least of them.
-        small = _with_least(large, 2 * now[0])
+        small = _with_least(large, hub)
         moved = small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         new = materialize(moved.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
         discard(held)
