@@ -150,8 +150,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = KNN_SIZE, dims: int
     return top(met, k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, n: int = 20, most: int | None = 500, seed: int = 42) -> DataFrame:
-    """The n nearest other vectors; over `most` candidates, a sample that a hash picks (None: all)."""
+def neighbours(vectors: DataFrame, queries: DataFrame, n: int = 20, most: int | None = None, seed: int = 42) -> DataFrame:
+    """The n nearest other vectors, of all or, with `most`, of a sample that a hash picks."""
     if most is not None:
         vectors = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
     return nearest(vectors, queries, n)

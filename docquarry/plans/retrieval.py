@@ -72,7 +72,7 @@ def index_documents(spark: SparkSession, parsed: DataFrame, path: str, make: Cal
     chunks = chunker(parsed, size, overlap)
     ready = embed(chunks.withColumn("embed_text", chunking.embedding_text(chunks)), "embed_text", make).drop("embed_text")
     sinks.upsert(spark, path, ready, "chunk_id", prune_by="doc_id")
-    return spark.read.parquet(path)
+    return sinks.current(spark, path)
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, make: Callable[[], Embedder], scorer=None, wanted: dict | None = None, k: int = search.FINAL_SIZE, id_col: str = "chunk_key") -> DataFrame:

@@ -276,6 +276,11 @@ _HEAD = " or ".join(f"regexp_matches(s, '(?i){p}')" for p, _ in blocks.HEADERS)
 _EXCL = " or ".join(f"regexp_matches(s, '(?i){p}')" for p in ([rf"^\d+\s*({u})([^\p{{L}}]|$)" for u in blocks.UNITS] + list(blocks.OTHER_EXCLUSIONS[1:])))
 _FOOT = " or ".join(f"contains(lower(s), '{w}')" for w in blocks.FOOTER_WORDS)
 _PAGE = f"(regexp_matches(lower(s), '^page\\s*\\d+') or regexp_matches(lower(s), '^\\d+\\s*(of|de)\\s*\\d+$') or regexp_matches(lower(s), '^\\d{{1,4}}$') or ({WORDS.format('s')} <= 10 and ({_FOOT})))"
+def _kind(compat: bool) -> str:
+    out = " or ".join(f"regexp_matches(s, '(?i){p}')" for p in blocks.exclusions(True)) if compat else _EXCL
+    return _KIND.replace(_EXCL, out)
+
+
 _KIND = f"""case when regexp_matches(s, '{blocks.CAPTION}') then 'table_header'
 when length(s) between 3 and 80 and not regexp_matches(s, '^\\p{{Ll}}') and not ({_EXCL}) and ({_HEAD}) then case when regexp_matches(s, '^\\d{{1,2}}\\.\\d') then 'subsection_header' else 'section_header' end
 when {WORDS.format('s')} <= 8 and length(s) > 3 and regexp_matches(s, '^\\p{{Lu}}') and not {_PAGE} then 'title' when {_PAGE} then 'page_element' else 'body' end"""
@@ -355,10 +360,10 @@ def json_extract(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object(answering.json_block(reply), "$.k").cast("bigint").alias("k"))
 
 
-_HEDGE = " ".join(f"when contains(lower(text), '{h.replace(chr(39), chr(39) * 2)}') then 'Answer contains hedging phrase: ''{h.replace(chr(39), chr(39) * 2)}'''" for h in answering.HEDGES)
+_HEDGE = " ".join(f"when contains(lower(text), '{h.replace(chr(39), chr(39) * 2)}') then '{answering.HEDGED}{h.replace(chr(39), chr(39) * 2)}'" for h in answering.HEDGES)
 
 
-@query(f"""select conv_id, turn, case when turn % 2 = 0 then case when not contains(lower(text), 'user') and not contains(lower(text), 'the ') then 'Missing items: user, the ' when regexp_extract(text, '\\b(\\d+)\\b', 1) not in ('', '2') then 'Count mismatch: stated ' || regexp_extract(text, '\\b(\\d+)\\b', 1) || ', expected 2' end
+@query(f"""select conv_id, turn, case when turn % 2 = 0 then case when not contains(lower(text), 'user') and not contains(lower(text), 'the ') then '{answering.UNSAID}user, the ' when regexp_extract(text, '\\b(\\d+)\\b', 1) not in ('', '2') then '{answering.MISCOUNT}' || regexp_extract(text, '\\b(\\d+)\\b', 1) || ', the facts 2' end
 else case {_HEDGE} end end as error from conversations""")
 def validate_answers(spark, d):
     facts = F.lit('{"items": [{"id": "user", "description": "a", "source": "b"}, {"id": "the ", "description": "c", "source": "d"}], "total_count": 2, "extraction_confidence": "HIGH"}')
@@ -530,3 +535,6 @@ def training_examples(spark, d):
 @query("select doc_id, row_number() over (order by doc_id) - 1 as id from documents")
 def sequential_ids(spark, d):
     return mining.sequential_ids(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
+
+
+from . import job_queries  # noqa: E402, F401  registers its queries

@@ -13,11 +13,39 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def _places(spark: SparkSession, path: str):
+    """The file system, a dataset's folder, and those of its next and its former state."""
+    fs, place = _fs(spark, path)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return fs, place, make(f"{path.rstrip('/')}.next"), make(f"{path.rstrip('/')}.former")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a swap that was cut off; every function here that looks at a dataset calls it first."""
+    fs, place, after, before = _places(spark, path)
+    if not fs.exists(place):
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(after, "_SUCCESS")
+        if fs.exists(done):
+            fs.rename(after, place)
+        elif fs.exists(before):
+            fs.rename(before, place)
+    for left in (after, before):
+        if fs.exists(left):
+            fs.delete(left, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
+    recover(spark, path)
     fs, place = _fs(spark, path)
     return fs.exists(place)
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a dataset."""
+    recover(spark, path)
+    return spark.read.parquet(path)
+
+
 def create(spark: SparkSession, path: str, schema: str) -> bool:
     """Make an empty dataset; False, and nothing done, if there is one."""
     if exists(spark, path):
@@ -37,27 +65,26 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None) -> None:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None) -> None:
     """Full-row upsert by key into a Parquet dataset.
 
-    With prune_by (a file or document column), old rows of the groups that `new` has are dropped
-    first, so a file that shrank leaves no stale chunks. The result is written beside the dataset and
-    swapped in, so a failed write leaves the old data.
+    Of rows that repeat a key in `new` one stays: the last by `order`, else any. With prune_by (a file
+    or document column), old rows of the groups that `new` has are dropped first, so a file that shrank
+    leaves no stale chunks. The result is written beside the dataset and swapped in. A failed write
+    leaves the old rows, and a crash inside the swap is mended by recover(): old or new rows, never none.
     """
+    new = latest(new, key, order) if order else new.dropDuplicates([key])
     if not exists(spark, path):
         new.write.parquet(path)
         return
     old = spark.read.parquet(path)
     if prune_by:
         old = old.join(new.select(prune_by).distinct(), prune_by, "left_anti")
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    merged(old, new, key).write.parquet(beside)
-    fs, place = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    aside = jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
-    fs.rename(place, aside)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(beside), place)
-    fs.delete(aside, True)
+    fs, place, after, before = _places(spark, path)
+    merged(old, new, key).write.parquet(after.toString())
+    fs.rename(place, before)
+    fs.rename(after, place)
+    fs.delete(before, True)
 
 
 def reset(spark: SparkSession, path: str) -> None:

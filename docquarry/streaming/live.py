@@ -36,14 +36,17 @@ def bounded_history(messages: DataFrame, key: str = "conv_id", order: str = "tur
     )
 
 
-def ingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", prune_by: str | None = None):
-    """A streaming query that upserts each micro-batch into a dataset; the last row of a key wins."""
+def ingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None):
+    """A streaming query that upserts each micro-batch into a dataset.
+
+    Later batches win; inside a batch the last row of a key by `order` does, or any without it.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.persist()
         try:
             if not rows.isEmpty():
-                sinks.upsert(batch.sparkSession, path, rows.dropDuplicates([key]), key, prune_by)
+                sinks.upsert(batch.sparkSession, path, rows, key, prune_by, order)
         finally:
             rows.unpersist()
 
