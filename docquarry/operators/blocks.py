@@ -85,22 +85,24 @@ def is_page_element(x: Column) -> Column:
     return low.rlike(r"^page\s*\d+") | low.rlike(r"^\d+\s*(of|de)\s*\d+$") | low.rlike(r"^\d{1,4}$") | ((words <= 10) & says)
 
 
-def block_type(x: Column, first_page: Column, compat: bool = False) -> Column:
-    """table_header, section_header, subsection_header, title, page_element or body, in this order."""
-    text = strip(x)
-    header = section_header(x, compat)
+def _block_type(text: Column, header: Column, page: Column, first_page: Column) -> Column:
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    title = first_page & (words <= 8) & (F.length(text) > 3) & text.rlike(r"^\p{Lu}") & ~is_page_element(text)
+    title = first_page & (words <= 8) & (F.length(text) > 3) & text.rlike(r"^\p{Lu}") & ~page
     return (
         F.when(is_caption(text), "table_header")
         .when(header["level"] == 1, "section_header")
         .when(header.isNotNull(), "subsection_header")
         .when(title, "title")
-        .when(is_page_element(text), "page_element")
+        .when(page, "page_element")
         .otherwise("body")
     )
 
 
+def block_type(x: Column, first_page: Column, compat: bool = False) -> Column:
+    """table_header, section_header, subsection_header, title, page_element or body, in this order."""
+    return _block_type(strip(x), section_header(x, compat), is_page_element(strip(x)), first_page)
+
+
 def parser_block_type(x: Column, item_type: Column) -> Column:
     """Types of the structured parser: tables, headers by level, titles, else body."""
     header = parser_header(x)
@@ -115,11 +117,16 @@ def parser_block_type(x: Column, item_type: Column) -> Column:
 
 def classify(blocks: DataFrame, text_col: str = "text", page_col: str = "page_number", compat: bool = False) -> DataFrame:
     """Add block_type, section_number and level; drop blank blocks and page elements."""
-    header = section_header(F.col(text_col), compat)
-    out = blocks.where(strip(text_col) != "").withColumn("block_type", block_type(F.col(text_col), F.col(page_col) == 1, compat))
+    # Each pattern is matched once a row: flags are elements of one array, which nothing looks through.
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    out = once(blocks, "__text", strip(text_col)).where("__text <> ''")
+    text = F.col("__text")
+    out = once(out, "__found", F.struct(section_header(text, compat).alias("header"), is_page_element(text).alias("page")))
+    header, page = F.col("__found.header"), F.col("__found.page")
+    out = once(out, "block_type", _block_type(text, header, page, F.col(page_col) == 1)).where("block_type <> 'page_element'")
     is_header = F.col("block_type").isin("section_header", "subsection_header")
     out = out.withColumn("section_number", F.when(is_header, header["number"])).withColumn("level", F.when(is_header, header["level"]).otherwise(0))
-    return out.where("block_type <> 'page_element'")
+    return out.drop("__text", "__found")
 
 
 def hierarchy(blocks: DataFrame, doc_col: str = "doc_id", order_col: str = "block_idx") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
 
 #: Budgets of the stages, the constant of rank fusion, rerank weights, clause boosts.
 BM25_SIZE, KNN_SIZE, RERANK_SIZE, FINAL_SIZE, RRF_CONSTANT = 50, 30, 30, 10, 60
@@ -22,20 +23,26 @@ K1, B, SLOP = 1.2, 0.75, 2
 SHARD_ROWS, QUERY_ROWS = 16_384, 512
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False, stem: bool = False) -> DataFrame:
-    """The inverted index: term, doc, tf, dl, with partial counts before its one shuffle."""
-    each = _tokenised(docs, id_col, text_col, fold, stem).select("doc", "dl", F.explode("ts").alias("term"))
-    return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False, stem: bool = False) -> DataFrame:
+    """(doc, ts, dl) in the shared folder: one pass over the texts, from which a search takes all it needs."""
+    return materialize(_tokenised(docs, id_col, text_col, fold, stem), "tokens")
 
 
 def _tokenised(docs: DataFrame, id_col: str, text_col: str, fold: bool = False, stem: bool = False) -> DataFrame:
-    """(doc, ts, dl). The tokens are a column of their own, below any generator: found once a row."""
     return docs.select(F.col(id_col).alias("doc"), tokens(text_col, fold, stem).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
 
 
-def collection(docs: DataFrame, text_col: str = "text", fold: bool = False) -> DataFrame:
-    """One row: n documents and their mean length in tokens."""
-    return docs.select(F.size(tokens(text_col, fold)).cast("long").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False, stem: bool = False) -> DataFrame:
+    """The inverted index: term, doc, tf, dl, with partial counts before its one shuffle. docs may be tokenised()."""
+    rows = docs if "ts" in docs.columns else _tokenised(docs, id_col, text_col, fold, stem)
+    each = rows.select("doc", "dl", F.explode("ts").alias("term"))
+    return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def collection(docs: DataFrame, text_col: str = "text", fold: bool = False, stem: bool = False) -> DataFrame:
+    """One row: n documents and their mean length in tokens. docs may be tokenised()."""
+    rows = docs if "ts" in docs.columns else docs.select(F.size(tokens(text_col, fold, stem)).cast("long").alias("dl"))
+    return rows.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(questions: DataFrame, id_col: str, text_col: str, fold: bool = False, stem: bool = False) -> DataFrame:
@@ -53,21 +60,26 @@ def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, boost: flo
     return scored.groupBy("qid", "doc").agg(F.sum("s").alias("score"))
 
 
-def phrase_scores(docs: DataFrame, stats: DataFrame, questions: DataFrame, qid_col: str, qtext_col: str, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, boost: float = BOOST_PHRASE) -> DataFrame:
-    """(qid, doc, score) of documents that hold all terms of a query within `slop` of their order.
+def phrase_scores(docs: DataFrame, stats: DataFrame, questions: DataFrame, qid_col: str, qtext_col: str, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, boost: float = BOOST_PHRASE, fold: bool = False, stem: bool = False) -> DataFrame:
+    """(qid, doc, score) of documents (or tokenised() ones) that hold all terms of a query within `slop` of their order.
 
     Occurrences are joined by term; shifted places (place minus place in the query) of a match lie
     within `slop` of each other. The score is BM25 of the phrase count with summed idf.
     """
-    asked = questions.select(F.col(qid_col).alias("qid"), F.posexplode(tokens(qtext_col)).alias("qpos", "term"))
+    rows = docs if "ts" in docs.columns else _tokenised(docs, id_col, text_col, fold, stem)
+    asked = questions.select(F.col(qid_col).alias("qid"), F.posexplode(tokens(qtext_col, fold, stem)).alias("qpos", "term"))
     size = asked.groupBy("qid").agg(F.count("*").alias("size"))
-    places = _tokenised(docs, id_col, text_col).select("doc", "dl", F.posexplode("ts").alias("pos", "term"))
-    hits = places.join(asked, "term").withColumn("at", F.col("pos") - F.col("qpos"))
+    # Only documents with the rarest term of a query, by postings of query terms, are looked at by place.
+    index = postings(rows).join(asked.select("term").distinct(), "term", "left_semi")
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "term", "left").groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    near = index.join(rarest, "term").select("qid", "doc")
+    places = rows.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "dl", F.posexplode("ts").alias("pos", "term"))
+    hits = places.join(asked, "term").join(near, ["qid", "doc"], "left_semi").withColumn("at", F.col("pos") - F.col("qpos"))
     # Every start of a window of slop + 1 shifts; a match needs all query places in it.
     windows = hits.select("qid", "doc", "dl", "qpos", F.explode(F.sequence(F.col("at") - slop, F.col("at"))).alias("w"))
     found = windows.groupBy("qid", "doc", "dl", "w").agg(F.count_distinct("qpos").alias("got")).join(size, "qid").where("got = size")
     tf = found.groupBy("qid", "doc", "dl").agg(F.ceil(F.count("*") / (slop + 1)).alias("tf"))
-    df = places.select("doc", "term").distinct().join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = asked.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("qid").agg(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.first("avgdl").alias("avgdl"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(rare, "qid").select("qid", "doc", (boost * F.col("idf") * weight).alias("score"))
@@ -84,6 +96,19 @@ def should(*clauses: DataFrame) -> DataFrame:
     return every.groupBy("qid", "doc").agg(F.sum("score").alias("score"))
 
 
+def table_clause(scores: DataFrame, asks: DataFrame, tabled: DataFrame, boost: float = BOOST_TABLE, k: int = BM25_SIZE) -> DataFrame:
+    """(qid, doc, score): the boost of tables (doc) for questions that want one (qid), as far as the k best need it.
+
+    It goes to tables among a question's scored documents (qid, doc, score) and to the 2 * k smallest
+    ids of all tables: a question with fewer than k tables among its scored documents finds k others
+    there, and with k or more no other table comes among its best. No question meets all tables.
+    """
+    hits = scores.select("qid", "doc").join(asks.select("qid"), "qid", "left_semi").join(tabled.select("doc"), "doc", "left_semi")
+    first = tabled.select("doc").distinct().orderBy("doc").limit(2 * k).agg(F.collect_list("doc").alias("docs"))  # one row
+    fill = asks.select("qid").distinct().crossJoin(F.broadcast(first)).select("qid", F.explode("docs").alias("doc"))
+    return hits.select("qid", "doc").unionByName(fill).distinct().withColumn("score", F.lit(boost))
+
+
 def filters(docs: DataFrame, wanted: dict | None) -> DataFrame:
     """AND of file_name, content_type (one or several) and has_table; other keys are ignored."""
     for key in ("file_name", "content_type", "has_table"):

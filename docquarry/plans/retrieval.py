@@ -82,18 +82,20 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, make: Callable[[], Em
     and phrase clauses add up; table questions favour tables; neighbours see filtered chunks only.
     """
     held = search.filters(chunks, wanted)
-    index, stats = search.postings(held, id_col, "chunk_text"), search.collection(held, "chunk_text")
+    read = search.tokenised(held, id_col, "chunk_text")
+    stats = search.collection(read)
     clauses = [
-        search.bm25_scores(index, stats, search.query_terms(questions, "qid", "question"), search.BOOST_TEXT),
-        search.phrase_scores(held, stats, questions, "qid", "question", id_col, "chunk_text"),
+        search.bm25_scores(search.postings(read), stats, search.query_terms(questions, "qid", "question"), search.BOOST_TEXT),
+        search.phrase_scores(read, stats, questions, "qid", "question"),
     ]
-    if "has_table" in held.columns:
-        asks = questions.where(search.wants_table(F.col("question"))).select("qid", F.lit(True).alias("asks"))
-        tables = held.where("has_table").select(F.col(id_col).alias("doc"), F.lit(True).alias("asks"))
-        clauses.append(asks.join(tables, "asks").select("qid", "doc", F.lit(search.BOOST_TABLE).alias("score")))
     for field, boost in (("section_header", search.BOOST_HEADER), ("table_caption", search.BOOST_CAPTION)):
         if field in held.columns:
-            clauses.append(search.bm25_scores(search.postings(held, id_col, field), search.collection(held, field), search.query_terms(questions, "qid", "question"), boost))
+            named = search.tokenised(held, id_col, field)
+            clauses.append(search.bm25_scores(search.postings(named), search.collection(named), search.query_terms(questions, "qid", "question"), boost))
+    if "has_table" in held.columns:
+        asks = questions.where(search.wants_table(F.col("question"))).select("qid")
+        tables = held.where("has_table").select(F.col(id_col).alias("doc"))
+        clauses.append(search.table_clause(search.should(*clauses), asks, tables))
     words = search.top(search.should(*clauses), search.BM25_SIZE)
     asked = embed(questions, "question", make).select(F.col("qid").alias("id"), F.col("embedding").alias("v"))
     near = search.nearest(held.select(F.col(id_col).alias("id"), F.col("embedding").alias("v")), asked, search.KNN_SIZE, same=True)

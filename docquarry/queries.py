@@ -59,7 +59,7 @@ def _questions(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d, boost: float = 1.0, docs: DataFrame | None = None) -> DataFrame:
-    docs = read(spark, d, "documents") if docs is None else docs
+    docs = search.tokenised(read(spark, d, "documents") if docs is None else docs)
     return search.bm25_scores(search.postings(docs), search.collection(docs), search.query_terms(_questions(spark, d), "item_id", "text"), boost)
 
 
@@ -98,13 +98,13 @@ tab as (select item_id as qid, doc_id as doc, 3.0 as score from benchmark, docum
 sh as (select qid, doc, sum(score) as score from (select * from bm union all select * from tab) group by all) """ + TOP.format("sh", 50))
 def bm25_boosted_bool(spark, d):
     docs, ask = read(spark, d, "documents"), _questions(spark, d)
-    asks = ask.where(search.wants_table(F.col("text"))).select(F.col("item_id").alias("qid"), F.lit(True).alias("k"))
-    tabled = docs.where(F.contains("text", F.lit(" | "))).select(F.col("doc_id").alias("doc"), F.lit(True).alias("k"))
-    clause = asks.join(tabled, "k").select("qid", "doc", F.lit(search.BOOST_TABLE).alias("score"))
-    return search.top(search.should(_bm25(spark, d, search.BOOST_TEXT), clause), search.BM25_SIZE)
+    asks = ask.where(search.wants_table(F.col("text"))).select(F.col("item_id").alias("qid"))
+    tabled = docs.where(F.contains("text", F.lit(" | "))).select(F.col("doc_id").alias("doc"))
+    scores = _bm25(spark, d, search.BOOST_TEXT)
+    return search.top(search.should(scores, search.table_clause(scores, asks, tabled)), search.BM25_SIZE)
 
 
-PHRASES = "(select item_id as qid, list_slice({0}, 1, 3) as ts from benchmark)".format(TOKENS.format("text"))
+PHRASES = "(select item_id as qid, {0} as ts from benchmark)".format(TOKENS.format("text"))
 
 
 @query(f"""with pos as (select doc_id as doc, unnest({TOKENS.format("text")}) as term, generate_subscripts({TOKENS.format("text")}, 1) - 1 as pos from documents),
@@ -120,10 +120,9 @@ df as (select term, count(distinct doc) as df from pos where term in (select ter
 rare as (select qid, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as idf from ask join df using (term), st group by qid),
 sc as (select qid, doc, 3.0 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as score from tf join rare using (qid) join lens using (doc), st) {TOP.format("sc", 50)}""")
 def phrase_slop(spark, d):
-    """Phrases are the first three tokens of each question, as in the SQL; hybrid_search() takes whole questions."""
-    docs = read(spark, d, "documents")
-    ask = _questions(spark, d).select("item_id", F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("text"))
-    return search.top(search.phrase_scores(docs, search.collection(docs), ask, "item_id", "text"), search.BM25_SIZE)
+    """Phrases are whole questions."""
+    docs = search.tokenised(read(spark, d, "documents"))
+    return search.top(search.phrase_scores(docs, search.collection(docs), _questions(spark, d), "item_id", "text"), search.BM25_SIZE)
 
 
 @query("with fd as (select * from documents where lang = 'en' and source in ('src0', 'src1', 'src2')), " + _bm25_ctes("fd").replace("{boost}", "1.0") + " " + TOP.format("bm", 10))
