@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_plans(spark: SparkSession, length: int = 4096) -> Iterator[None]:
+    """Keep the plan texts that the driver stores of each job short, while many jobs of a loop run."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(length))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of tables made by materialize()."""
     for df in tables:
