@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import discard, materialize, short_plans
 
 #: Nodes of so large a share of all edges (one of HUBS) are hubs: there are 2 * HUBS of them at most.
 HUBS = 5_000
@@ -26,6 +26,18 @@ def _with_least(edges: DataFrame, hub: int | None) -> DataFrame:
     return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Ends of edges, the largest degree, and a sum over the edges that changes with them: one job."""
+    sign = F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")
+    nodes = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(sign).alias("s"))
+    ends, most, total = nodes.agg(F.sum("n"), F.max("n"), F.sum("s")).first()
+    return ends or 0, most or 0, total
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
@@ -37,22 +49,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     plain = edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     held = materialize(plain.distinct(), "edges")
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now = state(held)
-    while True:
-        both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hub = max(1000, now[0] // HUBS)
-        hub = hub if (both.groupBy("u").count().agg(F.max("count")).first()[0] or 0) >= hub else None
-        # Large star: larger neighbours of u, and u itself, move to the least of u and its neighbours.
-        large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = large.union(held.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
-        # Small star: smaller neighbours of u, and u itself, move to the least of them.
-        small = _with_least(large, hub)
-        moved = small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = materialize(moved.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
-        discard(held)
-        held, before = new, now
-        now = state(held)
-        if now == before:
-            break
+    with short_plans(held.sparkSession):
+        now = _state(held)
+        while True:
+            hub = max(1000, now[0] // (2 * HUBS))
+            hub = hub if now[1] >= hub else None
+            both = _both(held)
+            # Large star: larger neighbours of u, and u itself, move to the least of u and its neighbours.
+            large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+            large = large.union(held.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
+            # Small star: smaller neighbours of u, and u itself, move to the least of them.
+            small = _with_least(large, hub)
+            moved = small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+            new = materialize(moved.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
+            discard(held)
+            held, before = new, now
+            now = _state(held)
+            if now == before:
+                break
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
