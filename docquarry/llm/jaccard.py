@@ -334,16 +334,18 @@ def _blocked(sets: DataFrame, block_items: int) -> DataFrame:
 
 
 def _refined(sets: DataFrame, percent: int, block_items: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Clusters of one block, and of several blocks after ROUNDS more deals of the universe.
+    """Clusters of one block, and of several blocks after up to ROUNDS more deals of the universe.
 
     Linked sets share a signature whatever the seed, so a link never leaves its cluster; sets that
-    a passage of many documents chained together part, each time but for a small share.
+    a passage of many documents chained together part, each time but for a small share. Where a deal
+    parts hardly any, the clusters are true ones and go on to be verified.
     """
     parts, made = [sets.where("blocks = 1")], [sets]
     large = sets.where("blocks > 1")
+    left, before = large.count(), None
     for seed in range(1, ROUNDS + 1):
-        if large.isEmpty():
-            return parts, made
+        if not left or (before is not None and left > 0.9 * before):
+            break
         ties = _ties(large.mapInArrow(_sign_again(percent, seed), _SIGNS))
         groups = components(ties)
         named = large.select("doc", "tokens").join(groups, F.col("doc") == F.col("node")).select("doc", F.col("component").alias("cluster"), "tokens")
@@ -352,6 +354,7 @@ def _refined(sets: DataFrame, percent: int, block_items: int) -> tuple[list[Data
         made.append(new)
         parts.append(new.where("blocks = 1"))
         large = new.where("blocks > 1")
+        left, before = large.count(), left
     return [*parts, large], made
 
 
