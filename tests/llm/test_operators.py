@@ -389,6 +389,35 @@ def test_signatures_never_lose_a_link():
                 assert len(np.intersect1d(a, b)), (size, drop, add)
 
 
+@pytest.mark.parametrize(("spread", "most"), [(False, 1_000_000), (False, 50), (True, 1_000_000), (True, 20)])
+def test_components_in_rounds(spark, spread, most):
+    """A long path in disorder, a hub, a tree and random edges: one task or many, whole forests or cut ones."""
+    rnd = random.Random(3)
+    path = list(range(0, 400))
+    rnd.shuffle(path)
+    edges = list(zip(path, path[1:])) + [(1000, 1000 + i) for i in range(1, 1500)] + [(-i, -(i // 2)) for i in range(2, 300)]
+    edges += [(rnd.randrange(5000, 5300), rnd.randrange(5000, 5300)) for _ in range(200)] + edges[:50]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        if x != y:
+            x, y = find(x), find(y)
+            up[max(x, y)] = min(x, y)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(not spread).lower())
+    try:
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(5), most=most).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == {x: find(x) for x in up}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
