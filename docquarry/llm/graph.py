@@ -58,10 +58,20 @@ def _contract(most: int):
 
 
 def _written(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """edges as forests, written; whether one task saw them all, so that nothing is left to do."""
-    held = materialize(edges.distinct().mapInArrow(_contract(most), "u bigint, v bigint"), "edges")
+    """edges as forests, written; whether one task saw them all, so that nothing is left to do.
+
+    Forests of many tasks that hold `most` edges at most together meet in one task, whatever the number of
+    partitions: its work is bounded by `most`. Larger ones are left to the rounds.
+    """
+    contract, schema = _contract(most), "u bigint, v bigint"
+    held = materialize(edges.distinct().mapInArrow(contract, schema), "edges")
+    files, rows = len(held.inputFiles()), held.count()
+    if files > 1 and rows <= most:
+        parts, files = held, 1
+        held = materialize(parts.coalesce(1).mapInArrow(contract, schema), "edges")
+        discard(parts)
     # A task that gave a forest away before its end wrote more rows than a forest holds.
-    return held, len(held.inputFiles()) <= 1 and held.count() <= most
+    return held, files <= 1 and rows <= most
 
 
 def _with_least(edges: DataFrame, hub: int | None) -> DataFrame:
@@ -97,7 +107,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = FOREST)
     Each task turns its edges into a forest of stars, held with about `most` edges at most. Each round
     then groups by node with partial sums (minima), joins them back, makes forests again, and is written
     to the shared folder; rounds go on to the fixed point, where all edges are stars around the smallest
-    nodes. It is reached at once where a single task has all edges in one forest.
+    nodes. It is reached at once where the forests hold `most` edges at most: one task joins them.
 
     Edge cases: edges with a null end or from a node to itself are no edges; repeated edges count
     once; extra columns are ignored; without edges the result is empty.

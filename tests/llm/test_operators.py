@@ -424,6 +424,22 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[200] == got[150] == 100 and 300 not in got
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Forests that fit one task are joined there, over however many partitions the edges are dealt."""
+    edges = [(i, i + 1) for i in range(300)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(8))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+        assert {r.component for r in got.collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(name)
+    assert jobs <= 6
+
+
 def test_keep_first_leaves_one_of_each_group(spark):
     rows = mutated(random.Random(8), 4)
     kept = {r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, TEXT)).collect()}
