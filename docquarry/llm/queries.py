@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, jaccard, language, neighbours, packing, quality, secrets, sharding, substrings, topk
+from . import bpe, changes, jaccard, language, mixing, neighbours, packing, quality, resampling, secrets, sharding, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bm25_topk, op3_nearest_neighbours, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_byte_sharding, op8_language_id, op9_quality_classifier, op10_substring_dedup)}
+def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.apply(_table(spark, sf_dir, "client_changes"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bm25_topk, op3_nearest_neighbours, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_byte_sharding, op8_language_id, op9_quality_classifier, op10_substring_dedup, op11_change_applier, op12_source_mixing, op13_importance_resampling)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 

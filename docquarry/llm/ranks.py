@@ -1,0 +1,33 @@
+"""Running sums over sorted groups, however large a group is."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import materialize
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """df with `out`: the sum of a whole-number value over the rows of the same `by` up to each row, in `order`.
+
+    Rows are dealt by ranges of (by, order), so a group of any size spreads over many tasks; each
+    range sums its own rows, and a table of one row a range carries sums from range to range. Nulls
+    in `by` are a group. Rows equal in by and order come in any order.
+    """
+    keys = [*[F.col(c).asc() for c in by], *order]
+    dealt = materialize(df.repartitionByRange(*keys).withColumn("__at", F.spark_partition_id()), "ranges")
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    own = Window.partitionBy("__at", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = materialize(dealt.withColumn(out, F.sum(value).over(own).cast("long")), "sums")
+    ends = part.groupBy("__at").agg(F.min(group).alias("head"), F.max(F.struct(group.alias("g"), F.col(out).alias("n"))).alias("tail"))
+    # One row a range from here on.
+    kept = ends.withColumn("upto", F.sum("tail.n").over(Window.partitionBy("tail.g").orderBy("__at")))
+    before = Window.orderBy("__at")
+    carried = F.when(F.lag("tail.g").over(before).eqNullSafe(F.col("head")), F.lag("upto").over(before))
+    carries = kept.select("__at", "head", F.coalesce(carried, F.lit(0)).alias("carry"))
+    joined = part.join(F.broadcast(carries), "__at")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"head.{c}")) for c in by], F.lit(True))
+    return joined.withColumn(out, F.col(out) + F.when(same, F.col("carry")).otherwise(0)).drop("__at", "head", "carry")
