@@ -143,13 +143,15 @@ def judged(rows, texts, slack):
         assert 0 <= r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"] and abs(r.copies - r.rate) <= 1 + 1e-6 + 3
         taken[r.source] += r.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= slack * t + 1, (s, taken[s], t)
+        largest = max(len(WORD.findall(x or "")) for _, source, x in texts if source == s)
+        # Whole copies can't come nearer than a document that is itself a large part of the target.
+        assert abs(taken[s] - t) <= (slack * t + 1 if 10 * largest < t else largest), (s, taken[s], t)
 
 
 def test_mixing_meets_targets_and_repeats(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs).collect()
-    judged(rows, [(r.doc_id, r.source, r.text) for r in docs.collect()], 0.03)
+    judged(rows, [(r.doc_id, r.source, r.text) for r in docs.collect()], 0.02)
     again = mixing.mix(docs.repartition(5)).collect()
     key = lambda r: (r.doc_id, r.taken)
     assert sorted(map(key, rows)) == sorted(map(key, again))
