@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import answering, blocks, chunking, mining, search, tables
 from .plans import retrieval
-from .queries import _FOLD, _KIND, _LINES, _NEAR, BM25, STRIP, TOKENS, TOP, WORDS, _hits, _kind, _knn_sql, _lines, _TYPE, _vectors, query, read
+from .queries import _FOLD, _KIND, _LINES, _NEAR, BM25, STRIP, TOKENS, TOP, WORDS, _hits, _kind, _knn_sql, _lines, _TYPE, _vectors, easy_sql, query, read
 from .session import scratch
 from .sources import readers, sinks
 
@@ -116,14 +116,15 @@ def interval_lookup(spark, d):
 # --- tables ----------------------------------------------------------------------------------------
 
 
-@query("""with b as (select conv_id, turn, left(text, [90, 150, 30][(turn % 3 + 1)::int]) as t, turn * 80 + (turn * conv_id) % 3 * 40 as y from conversations),
+@query("""with b as (select conv_id, turn, case when turn % 4 = 3 then text || text || text else text end as t, turn * 80 + (turn * conv_id) % 3 * 40 as y from conversations),
 g as (select *, y - coalesce(lag(y) over (partition by conv_id order by turn), 0) as gap, row_number() over (partition by conv_id order by turn) as i from b),
 e as (select *, (gap > 100 and (length(t) > 100 or regexp_matches(t, '^\\p{Ll}') or t = '')) or length(t) > 200 as ends from g)
 select conv_id, coalesce(min(i) filter (ends) - 1, count(*))::int as n_blocks from e group by conv_id""")
 def table_region(spark, d):
-    cut = F.get(F.array(F.lit(90), F.lit(150), F.lit(30)), F.pmod("turn", F.lit(3)).cast("int"))
+    """Whole messages as cells, every fourth one three times over, so that long cells are among them."""
+    said = F.when(F.col("turn") % 4 == 3, F.concat("text", "text", "text")).otherwise(F.col("text"))
     top = (F.col("turn") * 80 + F.pmod(F.col("turn") * F.col("conv_id"), F.lit(3)) * 40).cast("int")
-    cell = F.struct("turn", F.left("text", cut).alias("text"), F.array(F.lit(0), top, F.lit(10), top + 10).alias("bbox"))
+    cell = F.struct("turn", said.alias("text"), F.array(F.lit(0), top, F.lit(10), top + 10).alias("bbox"))
     held = read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     return held.select("conv_id", F.size(tables.region(F.col("cells"), F.lit(0))).alias("n_blocks"))
 
@@ -279,7 +280,7 @@ def evaluation_files(spark, d):
 
 _RELATED = "select qid, doc, 'related' as pair_type, round(0.5 + 0.3 * score, 2) as label, score as semantic_similarity from near where same and score > 0.5 qualify row_number() over (partition by qid order by rank) = 1"
 _HARDER = "select qid, doc, 'hard_negative', 0.0::double, score from (select *, row_number() over (partition by qid order by rank) as f from near where not same and score between 0.35 and 0.55 qualify f <= 5) qualify row_number() over (partition by qid order by ((doc * 7919 + qid * 104729 + 42) % 1009), doc) = 1"
-_EASIER = "select qid, doc, 'easy_negative', 0.0::double, score from near where rank > 5 and score < 0.35 qualify row_number() over (partition by qid order by ((doc * 7919 + qid * 104729 + 43) % 1009), doc) = 1"
+_EASIER = easy_sql(0.35, "qid, doc, 'easy_negative', label, score")
 
 
 @query(_NEAR + f" select vec_id as qid, vec_id as doc, 'positive' as pair_type, round(0.8 + (0.9 - 0.65) * 0.5, 2)::double as label, 0.9::double as semantic_similarity from embeddings where vec_id % 50 = 0 union all ({_RELATED}) union all ({_HARDER}) union all ({_EASIER})")

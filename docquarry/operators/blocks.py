@@ -147,6 +147,22 @@ def hierarchy(blocks: DataFrame, doc_col: str = "doc_id", order_col: str = "bloc
     return stacks.select(doc_col, F.explode(F.arrays_zip("heads", "stacks")).alias("x")).select(doc_col, F.col(f"x.heads.{order_col}").alias(order_col), F.col("x.heads.section_number").alias("section_number"), F.col("x.stacks").alias("section_hierarchy"))
 
 
+def with_sections(blocks: DataFrame, doc_col: str = "doc_id", compat: bool = False) -> DataFrame:
+    """Add `section` to classified blocks: struct(number, title, hierarchy) of the last header at or before each.
+
+    An as-of lookup in reading order (page_number, block_idx): headers get their stack from
+    hierarchy(), other blocks carry it on; blocks before the first header have none. One document's
+    rows meet in one window, so memory is bounded by a document's blocks.
+    """
+    placed = blocks.withColumn("__at", F.struct("page_number", "block_idx"))
+    stacks = hierarchy(placed, doc_col, "__at").select(doc_col, "__at", "section_hierarchy")
+    title = strip(section_header(F.col("text"), compat)["title"])
+    own = F.struct(F.col("section_number").alias("number"), title.alias("title"), F.col("section_hierarchy").alias("hierarchy"))
+    met = placed.join(stacks, [doc_col, "__at"], "left").withColumn("__own", F.when(F.col("section_hierarchy").isNotNull(), own))
+    before = Window.partitionBy(doc_col).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    return met.withColumn("section", F.last("__own", ignorenulls=True).over(before)).drop("__at", "__own", "section_hierarchy")
+
+
 def parent_sections(x: Column) -> Column:
     """First components of all dotted numbers in x, distinct, by number."""
     found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"\b(\d+)\.\d+(?:\.\d+)*\b"), F.lit(1)))

@@ -6,38 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_count
-from .blocks import parent_sections
+from .blocks import parent_section, parent_sections, with_sections
 
 #: Block types that are chunks of their own.
 OWN = ("table", "section_header", "subsection_header", "title")
-_CHUNK = "array<struct<text:string,type:string,page:int,confidence:double>>"
+_SECTION = "struct<number:string,title:string,hierarchy:array<string>>"
+_CHUNK = f"array<struct<text:string,type:string,page:int,confidence:double,section:{_SECTION}>>"
 
 
-def _fold(blocks: Column, size: int, overlap: int, least: int, own: tuple[str, ...]) -> Column:
-    """Chunks of an array of (text, type, page, confidence), in order."""
-    chunk = lambda text, kind, page, sure: F.array(F.struct(text.alias("text"), kind.alias("type"), page.alias("page"), sure.alias("confidence")))
+def _fold(blocks: Column, size: int, overlap: int, least: int, own: tuple[str, ...], compat: bool = False) -> Column:
+    """Chunks of an array of (text, type, page, confidence, section), in order.
+
+    A body chunk has the section of its last block; with compat, one that a block of another kind ends
+    has that block's section.
+    """
+    chunk = lambda text, kind, page, sure, section: F.array(F.struct(text.alias("text"), kind.alias("type"), page.alias("page"), sure.alias("confidence"), section.alias("section")))
     none, body, zero = F.lit(None).cast(_CHUNK), F.lit("body"), F.lit(0.0)
 
-    def flush(acc: Column) -> Column:
-        return F.when(F.length(strip(acc["buf"])) > least, chunk(strip(acc["buf"]), body, acc["page"], zero)).otherwise(none)
+    def flush(acc: Column, section: Column) -> Column:
+        return F.when(F.length(strip(acc["buf"])) > least, chunk(strip(acc["buf"]), body, acc["page"], zero, section)).otherwise(none)
 
     def step(acc: Column, b: Column) -> Column:
         text = strip(b["text"])
         joined = F.concat_ws("\n", acc["buf"], text)
         full = F.length(joined) >= size
         rest = F.when(F.length(joined) > overlap, F.right(joined, F.lit(overlap)))
-        state = lambda buf, page, out: F.struct(buf.alias("buf"), page.alias("page"), out.alias("out"))
+        state = lambda buf, page, section, out: F.struct(buf.alias("buf"), page.alias("page"), section.alias("section"), out.alias("out"))
         add = lambda *xs: F.concat(acc["out"], *[F.coalesce(x, F.array().cast(_CHUNK)) for x in xs])
-        alone = state(F.lit(None).cast("string"), acc["page"], add(flush(acc), chunk(text, b["type"], b["page"], b["confidence"])))
-        emitted = state(rest, b["page"], add(chunk(strip(joined), body, b["page"], b["confidence"])))
-        return F.when(F.coalesce(text, F.lit("")) == "", acc).when(b["type"].isin(*own), alone).when(full, emitted).otherwise(state(joined, b["page"], acc["out"]))
+        alone = state(F.lit(None).cast("string"), acc["page"], acc["section"], add(flush(acc, b["section"] if compat else acc["section"]), chunk(text, b["type"], b["page"], b["confidence"], b["section"])))
+        emitted = state(rest, b["page"], b["section"], add(chunk(strip(joined), body, b["page"], b["confidence"], b["section"])))
+        return F.when(F.coalesce(text, F.lit("")) == "", acc).when(b["type"].isin(*own), alone).when(full, emitted).otherwise(state(joined, b["page"], b["section"], acc["out"]))
 
-    start = F.struct(F.lit(None).cast("string").alias("buf"), F.lit(1).alias("page"), F.array().cast(_CHUNK).alias("out"))
-    return F.aggregate(blocks, start, step, lambda acc: F.concat(acc["out"], F.coalesce(flush(acc), F.array().cast(_CHUNK))))
+    start = F.struct(F.lit(None).cast("string").alias("buf"), F.lit(1).alias("page"), F.lit(None).cast(_SECTION).alias("section"), F.array().cast(_CHUNK).alias("out"))
+    return F.aggregate(blocks, start, step, lambda acc: F.concat(acc["out"], F.coalesce(flush(acc, acc["section"]), F.array().cast(_CHUNK))))
 
 
-def _finished(folded: DataFrame, doc_col: str, order: Column | None = None) -> DataFrame:
+def _finished(folded: DataFrame, doc_col: str, sections: bool = False) -> DataFrame:
     """Chunk columns from rows (doc, place, c); chunk_index counts from 0 in each document."""
+    section = F.col("c.section")
+    named = [section["number"].alias("section_number"), section["title"].alias("section_title"), section["hierarchy"].alias("section_hierarchy"), parent_section(section["number"]).alias("parent_section"), F.when(section.isNotNull(), F.concat_ws(" ", section["number"], section["title"])).alias("section_header")]
     index = (F.row_number().over(Window.partitionBy(doc_col).orderBy("place")) - 1).cast("int")
     return folded.withColumn("chunk_index", index).select(
         doc_col,
@@ -50,12 +57,14 @@ def _finished(folded: DataFrame, doc_col: str, order: Column | None = None) -> D
         (F.col("c.type") == "table").alias("has_table"),
         parent_sections(F.col("c.text")).alias("parent_sections"),
         F.col("c.confidence").alias("confidence"),
+        *(named if sections else []),
     )
 
 
 def _blocks_of(blocks: DataFrame, doc_col: str, keys: list[str]) -> DataFrame:
     sure = F.col("confidence").cast("double") if "confidence" in blocks.columns else F.lit(None).cast("double")
-    held = F.struct("page_number", "block_idx", F.col("text"), F.col("block_type").alias("type"), F.col("page_number").cast("int").alias("page"), sure.alias("confidence"))
+    section = F.col("section") if "section" in blocks.columns else F.lit(None).cast(_SECTION)
+    held = F.struct("page_number", "block_idx", F.col("text"), F.col("block_type").alias("type"), F.col("page_number").cast("int").alias("page"), sure.alias("confidence"), section.alias("section"))
     return blocks.groupBy(doc_col, *keys).agg(F.sort_array(F.collect_list(held)).alias("blocks"))
 
 
@@ -69,42 +78,65 @@ def chunk_documents(blocks: DataFrame, size: int = 1000, overlap: int = 200, doc
     return _finished(held.select(doc_col, F.posexplode(_fold(F.col("blocks"), size, overlap, 20, OWN)).alias("place", "c")), doc_col)
 
 
-def chunk_pages(blocks: DataFrame, size: int = 1000, overlap: int = 200, doc_col: str = "doc_id") -> DataFrame:
-    """Chunks page by page: every residue becomes a chunk at the page's end."""
-    held = _blocks_of(blocks, doc_col, ["page_number"])
-    folded = held.select(doc_col, "page_number", F.posexplode(_fold(F.col("blocks"), size, overlap, 0, OWN)).alias("at", "c"))
-    return _finished(folded.withColumn("place", F.struct("page_number", "at")), doc_col)
+def chunk_pages(blocks: DataFrame, size: int = 1000, overlap: int = 200, doc_col: str = "doc_id", compat: bool = False) -> DataFrame:
+    """Chunks page by page: every residue becomes a chunk at the page's end.
+
+    Classified blocks (with level and section_number) give each chunk its section: section_number,
+    section_title, section_hierarchy, parent_section and section_header, the field that searches
+    look at. With compat a body chunk before a header has the header's section.
+    """
+    sections = {"level", "section_number"} <= set(blocks.columns)
+    held = _blocks_of(with_sections(blocks, doc_col) if sections else blocks, doc_col, ["page_number"])
+    folded = held.select(doc_col, "page_number", F.posexplode(_fold(F.col("blocks"), size, overlap, 0, OWN, compat)).alias("at", "c"))
+    return _finished(folded.withColumn("place", F.struct("page_number", "at")), doc_col, sections)
 
 
 def chunk_lines(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """chunk_documents for plain texts: each line is a body block of page 1. No shuffle but the index."""
-    one = lambda x: F.struct(x.alias("text"), F.lit("body").alias("type"), F.lit(1).alias("page"), F.lit(None).cast("double").alias("confidence"))
+    one = lambda x: F.struct(x.alias("text"), F.lit("body").alias("type"), F.lit(1).alias("page"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast(_SECTION).alias("section"))
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), one)
     return _finished(docs.select(doc_col, F.posexplode(_fold(lines, size, overlap, 20, OWN)).alias("place", "c")), doc_col)
 
 
 def pack_paragraphs(paragraphs: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Arrays of paragraphs, one per chunk: a chunk closes when the next paragraph would pass `size`
-    (separators don't count), and its longest suffix of `overlap` characters at most opens the next."""
-    none = F.array().cast("array<string>")
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    (separators don't count), and its longest suffix of `overlap` characters at most opens the next.
+
+    The fold carries the lengths of one chunk's paragraphs and the places of cuts; texts are cut out
+    at the end, so a step takes time by the chunk, not by the document.
+    """
+    none, cuts = F.array().cast("array<int>"), F.array().cast("array<struct<first:int,n:int>>")
+    cut = lambda a: F.array(F.struct(a["first"].alias("first"), F.size(a["lens"]).alias("n")))
+    state = lambda a, first, lens, total, out: F.struct(a["ps"].alias("ps"), first.alias("first"), lens.alias("lens"), total.alias("total"), out.alias("out"))
 
-    def suffix(xs: Column) -> Column:
-        zero = F.struct(none.alias("kept"), F.lit(True).alias("open"))
+    def suffix(lens: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(True).alias("open"))
 
         def add(a: Column, x: Column) -> Column:
-            fits = a["open"] & (total(a["kept"]) + F.length(x) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"), fits.alias("open"))
+            fits = a["open"] & (a["total"] + x <= overlap)
+            return F.struct(F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(fits, a["total"] + x).otherwise(a["total"]).alias("total"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(lens), zero, add)
+
+    def step(a: Column, p: Column) -> Column:
+        n = F.length(p)
+
+        def closed(kept: Column) -> Column:
+            lens = F.concat(F.slice(a["lens"], F.size(a["lens"]) - kept["n"] + 1, kept["n"]), F.array(n))
+            return state(a, a["first"] + F.size(a["lens"]) - kept["n"], lens, kept["total"] + n, F.concat(a["out"], cut(a)))
+
+        over = (a["total"] + n > size) & (F.size(a["lens"]) > 0)
+        # An array of one element names the suffix, so it's found once.
+        after = F.get(F.transform(F.array(suffix(a["lens"])), closed), F.lit(0))
+        return F.when(over, after).otherwise(state(a, a["first"], F.concat(a["lens"], F.array(n)), a["total"] + n, a["out"]))
 
-        return F.aggregate(F.reverse(xs), zero, add, lambda a: a["kept"])
+    start = F.struct(paragraphs.alias("ps"), F.lit(0).alias("first"), none.alias("lens"), F.lit(0).alias("total"), cuts.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        over = (total(acc["buf"]) + F.length(p) > size) & (F.size(acc["buf"]) > 0)
-        closed = F.struct(F.concat(suffix(acc["buf"]), F.array(p)).alias("buf"), F.concat(acc["out"], F.array(acc["buf"])).alias("out"))
-        return F.when(over, closed).otherwise(F.struct(F.concat(acc["buf"], F.array(p)).alias("buf"), acc["out"].alias("out")))
+    def finish(a: Column) -> Column:
+        every = F.when(F.size(a["lens"]) > 0, F.concat(a["out"], cut(a))).otherwise(a["out"])
+        return F.transform(every, lambda c: F.slice(a["ps"], c["first"] + 1, c["n"]))
 
-    start = F.struct(none.alias("buf"), F.array().cast("array<array<string>>").alias("out"))
-    return F.aggregate(paragraphs, start, step, lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+    return F.aggregate(paragraphs, start, step, finish)
 
 
 def chunk_paragraphs(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_col: str = "doc_id", text_col: str = "text", separator: str = r"\n\s*\n") -> DataFrame:

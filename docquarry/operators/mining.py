@@ -139,19 +139,31 @@ def split(rows: DataFrame, key: str, test_tenths: int = 1) -> DataFrame:
     return rows.withColumn("split", F.when(F.pmod(F.col(key) * 7919 + 13, F.lit(10)) < test_tenths, "test").otherwise("train"))
 
 
-def ndcg(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+def scores(found: DataFrame, wanted: DataFrame, k: int = 10, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Per query: ndcg, reciprocal rank, precision, recall, average precision and accuracy at k.
 
-    hits: qid, doc, rank; relevant: qid, doc (distinct). Queries without hits count as 0.
+    found: by, rank of relevant hits alone; wanted: by, rel (how many rows are relevant, 1 or more).
+    Queries without hits count as 0.
     """
     gain = lambda r: 1 / F.log2(r + 1.0)
-    found = hits.where(F.col("rank") <= k).join(relevant, ["qid", "doc"])
-    found = found.withColumn("__nth", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    got = found.groupBy("qid").agg(F.sum(gain(F.col("rank"))).alias("dcg"), F.min("rank").alias("first"), F.count("*").alias("n"), F.sum(F.col("__nth") / F.col("rank")).alias("ap"))
-    want = relevant.groupBy("qid").agg(F.count("*").alias("rel"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
+    held = found.where(F.col("rank") <= k).withColumn("__nth", nth)
+    got = held.groupBy(*by).agg(F.sum(gain(F.col("rank"))).alias("dcg"), F.min("rank").alias("first"), F.count("*").alias("n"), F.sum(F.col("__nth") / F.col("rank")).alias("ap"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, r: a + gain(r))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return want.join(got, "qid", "left").select("qid", zero(F.col("dcg") / ideal).alias("ndcg"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("n") / k).alias("precision"), zero(F.col("n") / F.col("rel")).alias("recall"), zero(F.col("ap") / F.least(F.col("rel"), F.lit(k))).alias("map"), F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("accuracy"))
+    return wanted.join(got, list(by), "left").select(*by, zero(F.col("dcg") / ideal).alias("ndcg"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("n") / k).alias("precision"), zero(F.col("n") / F.col("rel")).alias("recall"), zero(F.col("ap") / F.least(F.col("rel"), F.lit(k))).alias("map"), F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("accuracy"))
+
+
+def mean_scores(per_query: DataFrame, *by: str) -> DataFrame:
+    """Means of scores() over all queries, with 6 digits."""
+    return per_query.groupBy(*by).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "mrr", "precision", "recall", "map", "accuracy")])
+
+
+def ndcg(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """scores() of hits (qid, doc, rank) by relevant (qid, doc, distinct and, optionally, a label over 0)."""
+    if "label" in relevant.columns:
+        relevant = relevant.where("label > 0").drop("label")
+    return scores(hits.join(relevant, ["qid", "doc"]), relevant.groupBy("qid").agg(F.count("*").alias("rel")), k)
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, floor: int = 5, share: int = 20) -> DataFrame:

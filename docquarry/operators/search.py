@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,7 @@ RRF_WEIGHT, RERANK_WEIGHT = 0.3, 0.7
 BOOST_TEXT, BOOST_PHRASE, BOOST_HEADER, BOOST_CAPTION, BOOST_TABLE = 2.0, 3.0, 2.5, 2.0, 3.0
 TABLE_CUES = ("table", "levels", "values", "ratings", "specifications")
 K1, B, SLOP = 1.2, 0.75, 2
-#: Vectors and queries that meet in one block of the exact search.
+#: Vectors of a shard of the exact search, and queries that pass it together.
 SHARD_ROWS, QUERY_ROWS = 16_384, 512
 
 
@@ -118,10 +118,10 @@ def filters(docs: DataFrame, wanted: dict | None) -> DataFrame:
     return docs
 
 
-def top(scores: DataFrame, k: int, by: str = "qid", rank: str = "rank", digits: int = 6) -> DataFrame:
+def top(scores: DataFrame, k: int, by: str | tuple[str, ...] = "qid", rank: str = "rank", digits: int = 6) -> DataFrame:
     """The k best rows of each query by rounded score, then id, with their rank from 1."""
     out = scores.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "doc")
+    order = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc("score"), "doc")
     return out.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
@@ -136,43 +136,95 @@ def cosine(a: Column, b: Column, dims: int | None = None) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _nearest(k: int, dims: int | None, unit: bool, same: bool):
-    def run(table: pa.Table) -> pa.Table:
-        width = len(table.column("v")[0])
-        ids, ask = table.column("id").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
-        v = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width)[:, :dims]
-        if unit:
-            v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
-        out = []
-        if ask.any() and not ask.all():
-            own, key = v[~ask], ids[~ask]
-            by_id = np.argsort(key, kind="stable")
-            own, key = own[by_id], key[by_id]
-            for q, scores in zip(ids[ask], np.round(v[ask] @ own.T, 12), strict=True):
-                if not same:
-                    scores = np.where(key == q, -np.inf, scores)
-                best = np.argsort(-scores, kind="stable")[:k]
-                out += [(int(q), int(key[i]), float(scores[i])) for i in best if scores[i] > -np.inf]
-        q, d, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"qid": pa.array(q, pa.int64()), "doc": pa.array(d, pa.int64()), "score": pa.array(s, pa.float64())})
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long vectors of a column as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _best(own: np.ndarray, ids: np.ndarray, ask: np.ndarray, asked: np.ndarray, k: int, dims: tuple[int | None, ...], unit: bool, same: bool) -> Iterator[tuple[int, int, int, float]]:
+    """(dim, query, id, score) of the k best of each query, for every number of leading dimensions.
+
+    Inner products grow from one number of dimensions to the next, so all of them cost one product.
+    Scores are rounded to 6 digits before the cut, ties go to the smaller id: rows are sorted by id.
+    """
+    width, at = own.shape[1], 0
+    dots, mine, theirs = np.zeros((len(ask), len(own))), np.zeros(len(own)), np.zeros(len(ask))
+    for dim in sorted(dims, key=lambda d: d or width):
+        to = min(dim or width, width)
+        a, b = own[:, at:to], ask[:, at:to]
+        dots += b @ a.T
+        mine, theirs, at = mine + (a * a).sum(axis=1), theirs + (b * b).sum(axis=1), to
+        scale = np.maximum(np.sqrt(theirs)[:, None] * np.sqrt(mine), 1e-300) if unit else 1.0
+        for q, scores in zip(asked, np.round(dots / scale, 6), strict=True):
+            if not same:
+                scores = np.where(ids == q, -np.inf, scores)
+            least = -np.partition(-scores, k - 1)[k - 1] if len(scores) > k else -np.inf
+            found = np.flatnonzero((scores >= least) & (scores > -np.inf))
+            for i in found[np.argsort(-scores[found], kind="stable")[:k]]:
+                yield dim or 0, int(q), int(ids[i]), float(scores[i])
+
+
+def _stream(k: int, dims: tuple[int | None, ...], unit: bool, same: bool):
+    """Queries stream past the vectors of their shard, which come first; one shard is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, own, ids = None, [], None, None
+        for batch in batches:
+            key, ask = batch.column("shard").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if a == b:
+                    continue
+                if key[a] != shard:
+                    shard, parts, own = key[a], [], None
+                v, i = batch.column("v").slice(a, b - a), batch.column("id").slice(a, b - a).to_numpy()
+                if not ask[a]:
+                    parts.append((i, _matrix(v)))
+                    continue
+                if not parts and own is None:
+                    continue
+                if own is None:
+                    ids = np.concatenate([x for x, _ in parts])
+                    order = np.argsort(ids, kind="stable")
+                    own, ids, parts = np.concatenate([x for _, x in parts])[order], ids[order], []
+                for c in range(0, len(i), QUERY_ROWS):
+                    out = list(_best(own, ids, _matrix(v.slice(c, QUERY_ROWS)), i[c : c + QUERY_ROWS], k, dims, unit, same))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["dim", "qid", "doc", "score"])
 
     return run
 
 
+def scan(shelf: DataFrame, ask: DataFrame, k: int, dims: tuple[int | None, ...] = (None,), unit: bool = True, same: bool = False) -> DataFrame:
+    """(dim, qid, doc, score): of each query in a shard the k best of that shard. Both: shard (long), id (long), v.
+
+    One shuffle by shard; memory is bounded by one shard and QUERY_ROWS queries, however many queries there are.
+    """
+    both = shelf.select("shard", F.lit(False).alias("ask"), "id", "v").unionByName(ask.select("shard", F.lit(True).alias("ask"), "id", "v"))
+    dealt = both.where("v is not null").repartition("shard").sortWithinPartitions("shard", "ask")
+    return dealt.mapInArrow(_stream(k, tuple(dims), unit, same), "dim int, qid bigint, doc bigint, score double")
+
+
+def nearest_by_dims(vectors: DataFrame, queries: DataFrame, k: int = KNN_SIZE, dims: tuple[int | None, ...] = (None,), same: bool = False, unit: bool = True) -> DataFrame:
+    """(dim, qid, doc, score, rank): exact neighbours by each number of leading dimensions, in one pass.
+
+    Vectors are dealt to shards of bounded size, once; each query visits every shard and brings k
+    rows a dimension back; a window merges them. Truncated vectors are normalised anew.
+    """
+    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    long = F.col("id").cast("long").alias("id")
+    shelf = vectors.select(long, "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    ask = queries.select(long, "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    return top(scan(shelf, ask, k, dims, unit, same), k, by=("dim", "qid"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = KNN_SIZE, dims: int | None = None, same: bool = False, unit: bool = True) -> DataFrame:
     """(qid, doc, score, rank): exact neighbours of each query (id, v) among vectors (id, v).
 
-    Blocks of bounded size meet, each pair of blocks as one matrix product that returns k rows a
-    query; a window merges them. Filters on vectors belong before this call. Ties go to the smaller id.
+    Filters on vectors belong before this call. Scores have 6 digits, ties go to the smaller id.
     """
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    shelf = vectors.select(F.col("id").cast("long").alias("id"), "v", F.lit(False).alias("ask")).withColumn("shard", deal(shards, 0)).withColumn("grp", every(groups))
-    ask = queries.select(F.col("id").cast("long").alias("id"), "v", F.lit(True).alias("ask")).withColumn("shard", every(shards)).withColumn("grp", deal(groups, 1))
-    met = shelf.unionByName(ask).groupBy("shard", "grp").applyInArrow(_nearest(k, dims, unit, same), "qid bigint, doc bigint, score double")
-    return top(met, k)
+    return nearest_by_dims(vectors, queries, k, (dims,), same, unit).drop("dim")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, n: int = 20, most: int | None = None, seed: int = 42) -> DataFrame:

@@ -164,8 +164,7 @@ _TRUNC = "list_cosine_similarity(list_slice(a.embedding::double[], 1, dim), list
 from (select unnest([64, 32, 16, 8])::int as dim), embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id qualify rank <= 10""")
 def knn_truncated_dims(spark, d):
     v = _vectors(spark, d)
-    parts = [search.nearest(v, v.where("id % 50 = 0"), 10, dims=n).select(F.lit(n).alias("dim"), "qid", "doc", "score", "rank") for n in DIMS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return search.nearest_by_dims(v, v.where("id % 50 = 0"), 10, DIMS)
 
 
 @query(f"select a.vec_id as id_a, b.vec_id as id_b, round({DOT}, 6) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -396,7 +395,17 @@ near as (select *, row_number() over (partition by qid order by score desc, doc)
 _HASHED = "((doc * 7919 + qid * 104729 + {0}) % 1009)"
 _REL = "select qid, doc, score, round(0.5 + 0.3 * score, 2) as label from near where same and score > 0.2 qualify row_number() over (partition by qid order by rank) = 1"
 _HARD = f"select qid, doc, score, 0.0::double as label from (select *, row_number() over (partition by qid order by rank) as f from near where not same and score between 0.1 and 0.3 qualify f <= 5) qualify row_number() over (partition by qid order by {_HASHED.format(42)}, doc) = 1"
-_EASY = f"select qid, doc, score, 0.0::double as label from near where rank > 5 and score < 0.35 qualify row_number() over (partition by qid order by {_HASHED.format(43)}, doc) = 1"
+
+
+def easy_sql(below: float, columns: str = "qid, doc, score, label") -> str:
+    """Easy negatives under a threshold; queries without one get a vector by arithmetic on their id."""
+    return f"""with eh as (select qid, doc, score, 0.0::double as label from near where rank > 5 and score < {below} qualify row_number() over (partition by qid order by {_HASHED.format(43)}, doc) = 1),
+pl as (select vec_id, row_number() over (order by vec_id) - 1 as place, count(*) over () - 1 as others from embeddings),
+al as (select vec_id as qid, place as own, (vec_id * 31 + 44) % others as x from pl where vec_id % 50 = 0 and others > 0 and vec_id not in (select qid from eh))
+select {columns} from (select qid, doc, score, label from eh union all select qid, vec_id, 0.1::double, 0.0::double from al join pl on place = x + case when x >= own then 1 else 0 end)"""
+
+
+_EASY = easy_sql(0.35)
 
 
 def _near(spark, d) -> DataFrame:
@@ -406,11 +415,11 @@ def _near(spark, d) -> DataFrame:
     return near.withColumn("same", F.col("ql") == F.col("label")).drop("ql", "label")
 
 
-def _easy(spark, d, near: DataFrame) -> DataFrame:
-    """Easy negatives, of queries without one a random vector: the SQL leaves those queries out."""
+def _easy(spark, d, near: DataFrame, below: float = mining.HARD_LOW) -> DataFrame:
+    """Easy negatives, of queries without one a random vector."""
     v = _vectors(spark, d)
     asked = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("id").alias("source"))
-    return mining.easy_negatives(near, queries=asked, chunks=v.select(F.col("id").alias("doc")))
+    return mining.easy_negatives(near, below, queries=asked, chunks=v.select(F.col("id").alias("doc")))
 
 
 @query(_NEAR + " " + _REL)
@@ -423,11 +432,17 @@ def hard_negatives(spark, d):
     return mining.hard_negatives(_near(spark, d), 0.1, 0.3).select("qid", "doc", "score", "label")
 
 
-@query(_NEAR + " " + _EASY)
+@query(_NEAR + " select * from (" + _EASY + ")")
 def easy_negatives(spark, d):
     return _easy(spark, d, _near(spark, d)).select("qid", "doc", "score", "label")
 
 
+@query(_NEAR + " select * from (" + easy_sql(0.2) + ")")
+def easy_negatives_made_up(spark, d):
+    """A threshold that most neighbours are over, so that queries without an easy negative are among them."""
+    return _easy(spark, d, _near(spark, d), 0.2).select("qid", "doc", "score", "label")
+
+
 @query(f"select a.vec_id as id_a, round(least(1.0, 0.8 + (round({DOT}, 6) - 0.65) * 0.5), 2) as positive_label, round(0.5 + 0.3 * round({DOT}, 6), 2) as related_label from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def pair_labels(spark, d):
     return pair_similarity(spark, d).select("id_a", mining.positive_label(F.col("similarity")).alias("positive_label"), mining.related_label(F.col("similarity")).alias("related_label"))
@@ -458,27 +473,29 @@ from want w join hit h on h.qid = w.qid group by dim, w.qid, w.rel)"""
 def _evaluated(spark, d) -> DataFrame:
     v = _vectors(spark, d)
     ask = v.where("id % 50 = 0")
-    # Relevant rows are joined by label only where they were found; their number comes from counts.
+    hits = search.nearest_by_dims(v, ask, 10, DIMS).join(ask.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid")
+    hits = hits.join(v.select(F.col("id").alias("doc"), "label"), "doc").where("ql = label")
+    # The number of relevant rows comes from counts, not from pairs.
     sizes = v.groupBy("label").agg((F.count("*") - 1).alias("rel"))
-    out = None
-    for n in DIMS:
-        hits = search.nearest(v, ask, 10, dims=n).join(ask.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").join(v.select(F.col("id").alias("doc"), "label"), "doc").where("ql = label")
-        got = hits.groupBy("qid").agg(F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.min("rank").alias("first"), F.count("*").alias("n"))
-        ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("rel"), F.lit(10)).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
-        per = ask.join(sizes, "label").where("rel > 0").select(F.col("id").alias("qid"), "rel").join(got, "qid", "left")
-        row = per.agg(F.lit(n).alias("dim"), F.round(F.avg(F.coalesce(F.col("dcg") / ideal, F.lit(0.0))), 6).alias("ndcg_at_10"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr_at_10"), F.round(F.avg(F.coalesce("n", F.lit(0)) / 10), 6).alias("precision_at_10"), F.round(F.avg(F.coalesce("n", F.lit(0)) / F.col("rel")), 6).alias("recall_at_10"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    wanted = ask.join(sizes, "label").where("rel > 0").select(F.col("id").alias("qid"), "rel").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in DIMS], "dim int")))  # four rows
+    return mining.mean_scores(mining.scores(hits, wanted, 10, ("dim", "qid")), "dim")
 
 
 @query(_EVAL + " select dim, round(avg(ndcg), 6) as ndcg_at_10 from per group by dim")
 def ndcg_at_10_by_dim(spark, d):
-    return _evaluated(spark, d).select("dim", "ndcg_at_10")
+    return _evaluated(spark, d).select("dim", F.col("ndcg").alias("ndcg_at_10"))
 
 
 @query(_EVAL + " select dim, round(avg(mrr), 6) as mrr_at_10, round(avg(n / 10.0), 6) as precision_at_10, round(avg(n / want_rel), 6) as recall_at_10 from per group by dim")
 def mrr(spark, d):
-    return _evaluated(spark, d).select("dim", "mrr_at_10", "precision_at_10", "recall_at_10")
+    return _evaluated(spark, d).select("dim", *[F.col(c).alias(f"{c}_at_10") for c in ("mrr", "precision", "recall")])
+
+
+@query(_EVAL + """, nth as (select dim, qid, rank, row_number() over (partition by dim, qid order by rank) as k from hit where rel),
+ap as (select dim, qid, sum(k / rank) as s from nth group by all)
+select p.dim, round(avg(coalesce(s, 0) / least(want_rel, 10)), 6) as map_at_10, round(avg(case when n > 0 then 1.0 else 0.0 end), 6)::double as accuracy_at_10 from per p left join ap using (dim, qid) group by p.dim""")
+def map_accuracy(spark, d):
+    return _evaluated(spark, d).select("dim", *[F.col(c).alias(f"{c}_at_10") for c in ("map", "accuracy")])
 
 
 @query("""with e as (select event_type, event_id, value, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by event_id) as a from events),
@@ -536,4 +553,4 @@ def sequential_ids(spark, d):
     return mining.sequential_ids(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
 
 
-from . import job_queries  # noqa: E402, F401  registers its queries
+from . import job_queries, made_queries  # noqa: E402, F401  register their queries

@@ -16,13 +16,16 @@ def bounded_history(messages: DataFrame, key: str = "conv_id", order: str = "tur
     """A stream of messages (key, order, role, text) to each conversation's last `most` messages.
 
     State per conversation is at most `most` messages, whatever comes; each batch emits the
-    conversations that changed.
+    conversations that changed. Messages without a turn are left out; a null role or text is kept.
     """
+    first = lambda r: (r[0], *[(x is not None, x or "") for x in r[1:]])  # noqa: E731  nulls before texts
 
     def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns, roles, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
         for frame in frames:
-            rows = sorted(set(zip(turns, roles, texts, strict=True)) | set(zip(frame[order], frame["role"], frame["text"], strict=True)))[-most:]
+            frame = frame[frame[order].notna()]
+            new = zip(frame[order].astype("int64"), *[[None if pd.isna(x) else x for x in frame[c]] for c in ("role", "text")], strict=True)
+            rows = sorted(set(zip(turns, roles, texts, strict=True)) | set(new), key=first)[-most:]
             turns, roles, texts = ([int(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows])
         state.update((turns, roles, texts))
         yield pd.DataFrame({key: [group[0]], "n": [len(turns)], "last_turn": [turns[-1] if turns else None], "turns": [turns], "texts": [texts]})
