@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import answering, blocks, chunking, mining, search, tables
+from .operators import answering, blocks, chunking, index, ivf, mining, search, tables
 from .plans import retrieval
-from .queries import _FOLD, _KIND, _LINES, _NEAR, BM25, STRIP, TOKENS, TOP, WORDS, _hits, _kind, _knn_sql, _lines, _TYPE, _vectors, easy_sql, query, read
+from .queries import _FOLD, _LINES, _NEAR, BM25, SQL, STRIP, TOP, _hits, _kind, _knn_sql, _lines, _TYPE, _vectors, easy_sql, query, read
 from .session import scratch
 from .sources import readers, sinks
 
@@ -113,6 +113,48 @@ def interval_lookup(spark, d):
     return talk.join(held, "conv_id").select("conv_id", "turn", chunking.inside(at, F.col("spans")).alias("inside"), chunking.next_interval(at, F.col("spans"))["start"].alias("next_start"))
 
 
+# --- stored index, inverted lists ------------------------------------------------------------------
+
+
+def _indexed(spark, d) -> str:
+    """The documents in two segments, after texts that are added again and documents that are removed."""
+    docs, path = read(spark, d, "documents").select("doc_id", "text"), _folder(spark, "index")
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    index.add(even.withColumn("text", F.reverse("text")).unionByName(docs.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text").where("doc_id % 2 = 0")), path)
+    index.add(odd.unionByName(even), path)
+    index.remove(spark, path, docs.select((F.col("doc_id") + 10_000_000).alias("doc_id")))
+    return path
+
+
+@query(SQL["bm25_topk"])
+def indexed_bm25(spark, d):
+    return search.top(index.bm25(spark, _indexed(spark, d), read(spark, d, "benchmark"), "item_id", "text"), 10)
+
+
+@query(SQL["phrase_slop"])
+def indexed_phrase(spark, d):
+    return search.top(index.phrase(spark, _indexed(spark, d), read(spark, d, "benchmark"), "item_id", "text"), search.BM25_SIZE)
+
+
+@query("select b as filtered, count(*) filter (vec_id % 50 = 0)::bigint as queries, true as recalled, true as passes from embeddings, (select unnest([false, true]) as b) group by b")
+def knn_inverted_lists(spark, d):
+    """Whether nine tenths of the exact 30 neighbours are found, without and with a filter, and all hits pass it."""
+    v = _vectors(spark, d).withColumn("has_table", F.col("label").isin(1, 3, 5))
+    path, ask = _folder(spark, "cells"), v.where("id % 50 = 0")
+    lists = ivf.train(v)
+    ivf.build(v, lists, path)
+    out = None
+    for wanted in (None, {"has_table": True}):
+        held = search.filters(v, wanted)
+        found = ivf.find(spark, path, lists, ask, 30, wanted).select("qid", "doc", F.lit(True).alias("found"))
+        exact = search.nearest(held, ask, 30).select("qid", "doc")
+        shares = exact.join(found, ["qid", "doc"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("recalled"))
+        passes = found.join(held.select(F.col("id").alias("doc")), "doc", "left_anti").agg((F.count("*") == 0).alias("passes"))
+        row = ask.agg(F.count("*").alias("queries")).crossJoin(shares).crossJoin(passes).withColumn("filtered", F.lit(wanted is not None))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out.select("filtered", "queries", "recalled", "passes")
+
+
 # --- tables ----------------------------------------------------------------------------------------
 
 

@@ -60,31 +60,42 @@ def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, boost: flo
     return scored.groupBy("qid", "doc").agg(F.sum("s").alias("score"))
 
 
-def phrase_scores(docs: DataFrame, stats: DataFrame, questions: DataFrame, qid_col: str, qtext_col: str, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, boost: float = BOOST_PHRASE, fold: bool = False, stem: bool = False) -> DataFrame:
-    """(qid, doc, score) of documents (or tokenised() ones) that hold all terms of a query within `slop` of their order.
+def asked_places(questions: DataFrame, id_col: str, text_col: str, fold: bool = False, stem: bool = False) -> DataFrame:
+    """(qid, qpos, term): every token of the questions at its place."""
+    return questions.select(F.col(id_col).alias("qid"), F.posexplode(tokens(text_col, fold, stem)).alias("qpos", "term"))
+
 
-    Occurrences are joined by term; shifted places (place minus place in the query) of a match lie
-    within `slop` of each other. The score is BM25 of the phrase count with summed idf.
+def phrases(index: DataFrame, asked: DataFrame, stats: DataFrame, slop: int = SLOP, boost: float = BOOST_PHRASE) -> DataFrame:
+    """(qid, doc, score) of documents that hold all terms of a query within `slop` of their order.
+
+    index: term, doc, dl, places of the queries' terms. Occurrences are joined by term, in documents alone
+    that have the query's rarest term; shifted places (place minus place in the query) of a match lie within
+    `slop` of each other. The score is BM25 of the phrase count with summed idf.
     """
-    rows = docs if "ts" in docs.columns else _tokenised(docs, id_col, text_col, fold, stem)
-    asked = questions.select(F.col(qid_col).alias("qid"), F.posexplode(tokens(qtext_col, fold, stem)).alias("qpos", "term"))
     size = asked.groupBy("qid").agg(F.count("*").alias("size"))
-    # Only documents with the rarest term of a query, by postings of query terms, are looked at by place.
-    index = postings(rows).join(asked.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "term", "left").groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     near = index.join(rarest, "term").select("qid", "doc")
-    places = rows.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "dl", F.posexplode("ts").alias("pos", "term"))
+    places = index.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "dl", "term", F.explode("places").alias("pos"))
     hits = places.join(asked, "term").join(near, ["qid", "doc"], "left_semi").withColumn("at", F.col("pos") - F.col("qpos"))
     # Every start of a window of slop + 1 shifts; a match needs all query places in it.
     windows = hits.select("qid", "doc", "dl", "qpos", F.explode(F.sequence(F.col("at") - slop, F.col("at"))).alias("w"))
     found = windows.groupBy("qid", "doc", "dl", "w").agg(F.count_distinct("qpos").alias("got")).join(size, "qid").where("got = size")
     tf = found.groupBy("qid", "doc", "dl").agg(F.ceil(F.count("*") / (slop + 1)).alias("tf"))
-    rare = asked.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("qid").agg(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.first("avgdl").alias("avgdl"))
+    rare = asked.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("qid").agg(F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.first("avgdl").alias("avgdl"))  # stats: one row
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(rare, "qid").select("qid", "doc", (boost * F.col("idf") * weight).alias("score"))
 
 
+def phrase_scores(docs: DataFrame, stats: DataFrame, questions: DataFrame, qid_col: str, qtext_col: str, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, boost: float = BOOST_PHRASE, fold: bool = False, stem: bool = False) -> DataFrame:
+    """phrases() over documents (or tokenised() ones) that no index holds."""
+    rows = docs if "ts" in docs.columns else _tokenised(docs, id_col, text_col, fold, stem)
+    asked = asked_places(questions, qid_col, qtext_col, fold, stem)
+    each = rows.select("doc", "dl", F.posexplode("ts").alias("place", "term")).join(asked.select("term").distinct(), "term", "left_semi")
+    index = each.groupBy("doc", "term").agg(F.first("dl").alias("dl"), F.collect_list("place").alias("places"))
+    return phrases(index, asked, stats, slop, boost)
+
+
 def wants_table(question: Column) -> Column:
     low = F.lower(question)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in TABLE_CUES])

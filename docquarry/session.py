@@ -56,6 +56,11 @@ def _own(spark: SparkSession) -> str:
     return f"{scratch(spark)}/docquarry-{spark.sparkContext.applicationId}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all tables that this application wrote between jobs; call it when results are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
