@@ -121,20 +121,18 @@ def pack_paragraphs(paragraphs: Column, size: int = 1000, overlap: int = 200) ->
     def step(a: Column, p: Column) -> Column:
         n = F.length(p)
 
-        def closed(kept: Column) -> Column:
-            lens = F.concat(F.slice(a["lens"], F.size(a["lens"]) - kept["n"] + 1, kept["n"]), F.array(n))
-            return state(a, a["first"] + F.size(a["lens"]) - kept["n"], lens, kept["total"] + n, F.concat(a["out"], cut(a)))
-
         over = (a["total"] + n > size) & (F.size(a["lens"]) > 0)
-        # An array of one element names the suffix, so it's found once.
-        after = F.get(F.transform(F.array(suffix(a["lens"])), closed), F.lit(0))
+        kept = suffix(a["lens"])
+        lens = F.concat(F.slice(a["lens"], F.size(a["lens"]) - kept["n"] + 1, kept["n"]), F.array(n))
+        after = state(a, a["first"] + F.size(a["lens"]) - kept["n"], lens, kept["total"] + n, F.concat(a["out"], cut(a)))
         return F.when(over, after).otherwise(state(a, a["first"], F.concat(a["lens"], F.array(n)), a["total"] + n, a["out"]))
 
     start = F.struct(paragraphs.alias("ps"), F.lit(0).alias("first"), none.alias("lens"), F.lit(0).alias("total"), cuts.alias("out"))
 
     def finish(a: Column) -> Column:
         every = F.when(F.size(a["lens"]) > 0, F.concat(a["out"], cut(a))).otherwise(a["out"])
-        return F.transform(every, lambda c: F.slice(a["ps"], c["first"] + 1, c["n"]))
+        # Element by element: a slice would walk over the whole array.
+        return F.transform(every, lambda c: F.transform(F.sequence(c["first"], c["first"] + c["n"] - 1), lambda i: F.get(a["ps"], i)))
 
     return F.aggregate(paragraphs, start, step, finish)
 

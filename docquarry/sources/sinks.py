@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders that a dataset's rows are dealt to by key, their column, and the mark of a next state that is whole.
+BUCKETS, PART, READY = 16, "key_bucket", "_READY"
+
+
 def _fs(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -20,30 +23,72 @@ def _places(spark: SparkSession, path: str):
     return fs, place, make(f"{path.rstrip('/')}.next"), make(f"{path.rstrip('/')}.former")
 
 
+def _move(fs, source, target) -> None:
+    try:
+        done = fs.rename(source, target)
+    except Py4JJavaError as e:
+        raise OSError(f"{source} could not be moved to {target}") from e
+    if not done:
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def _parts(fs, place) -> dict[int, object]:
+    """The bucket folders of a dataset, by number."""
+    found = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+    return {int(x.getName().split("=", 1)[1]): x for x in found if x.getName().startswith(f"{PART}=")}
+
+
 def recover(spark: SparkSession, path: str) -> None:
-    """Finish or undo a swap that was cut off; every function here that looks at a dataset calls it first."""
+    """Finish or undo a swap that was cut off. Writers call it; readers only where the dataset is missing."""
     fs, place, after, before = _places(spark, path)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     if not fs.exists(place):
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(after, "_SUCCESS")
-        if fs.exists(done):
-            fs.rename(after, place)
+        if fs.exists(make(after, "_SUCCESS")):
+            _move(fs, after, place)
         elif fs.exists(before):
-            fs.rename(before, place)
+            _move(fs, before, place)
+    elif fs.exists(make(after, READY)):
+        _swap_parts(spark, path)
     for left in (after, before):
         if fs.exists(left):
             fs.delete(left, True)
 
 
+def _swap_parts(spark: SparkSession, path: str) -> None:
+    """Move each bucket of the next state in, and its former one out; may be done over."""
+    fs, place, after, before = _places(spark, path)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(before)
+    for part in _parts(fs, after).values():
+        old = make(place, part.getName())
+        if fs.exists(old):
+            _move(fs, old, make(before, part.getName()))
+        _move(fs, part, old)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    recover(spark, path)
     fs, place = _fs(spark, path)
+    if not fs.exists(place):
+        recover(spark, path)
     return fs.exists(place)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a dataset."""
-    recover(spark, path)
-    return spark.read.parquet(path)
+    """The rows of a dataset: those before a running upsert, or after one whose new buckets are all written.
+
+    It changes nothing while the dataset is there, so a reader never meddles with a writer. A read that was
+    planned before a swap and runs after it may miss files and has to be planned anew.
+    """
+    fs, place, after, _ = _places(spark, path)
+    if not fs.exists(place):
+        recover(spark, path)
+    parts = _parts(fs, place)
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(after, READY)):
+        parts |= _parts(fs, after)
+    if not parts:
+        return spark.read.parquet(path)
+    schema = spark.read.parquet(path).drop(PART).schema
+    return spark.read.schema(schema).parquet(*[x.toString() for x in parts.values()])
 
 
 def create(spark: SparkSession, path: str, schema: str) -> bool:
@@ -65,25 +110,46 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None) -> None:
-    """Full-row upsert by key into a Parquet dataset.
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None, buckets: int = BUCKETS) -> None:
+    """Full-row upsert by key into a Parquet dataset, which lies in folders by a hash of the key.
 
-    Of rows that repeat a key in `new` one stays: the last by `order`, else any. With prune_by (a file
-    or document column), old rows of the groups that `new` has are dropped first, so a file that shrank
-    leaves no stale chunks. The result is written beside the dataset and swapped in. A failed write
-    leaves the old rows, and a crash inside the swap is mended by recover(): old or new rows, never none.
+    Only buckets that new rows or pruned ones fall into are read and written; the others keep their
+    files. Of rows that repeat a key in `new` one stays: the last by `order`, else any. With prune_by (a
+    file or document column), old rows of the groups that `new` has are dropped first, so a file that
+    shrank leaves no stale chunks. New buckets are written beside the dataset and moved in when all are
+    there: a failed write leaves the old rows, and a swap that was cut off is finished by the next writer,
+    while readers see the new state. One writer at a time. New columns rewrite all buckets.
     """
     new = latest(new, key, order) if order else new.dropDuplicates([key])
-    if not exists(spark, path):
-        new.write.parquet(path)
-        return
-    old = spark.read.parquet(path)
-    if prune_by:
-        old = old.join(new.select(prune_by).distinct(), prune_by, "left_anti")
+    place_of = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    recover(spark, path)
     fs, place, after, before = _places(spark, path)
-    merged(old, new, key).write.parquet(after.toString())
-    fs.rename(place, before)
-    fs.rename(after, place)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = lambda df, to: df.withColumn(PART, place_of).write.partitionBy(PART).parquet(to)
+    if not fs.exists(place):
+        store(new, path)
+        return
+    old = current(spark, path)
+    drop = lambda df: df.join(new.select(prune_by).distinct(), prune_by, "left_anti") if prune_by else df
+    wide = set(new.columns) - set(old.columns)
+    if not _parts(fs, place) or wide:
+        store(merged(drop(old), new, key), after.toString())
+        _move(fs, place, before)
+        _move(fs, after, place)
+    else:
+        hit = new.select(place_of.alias("b"))
+        if prune_by:
+            hit = hit.unionByName(old.join(new.select(prune_by).distinct(), prune_by, "left_semi").select(place_of.alias("b")))
+        touched = [r.b for r in hit.distinct().collect()]  # a row a bucket
+        parts = _parts(fs, place)
+        lying = [parts[b].toString() for b in touched if b in parts]
+        held = spark.read.schema(old.schema).parquet(*lying) if lying else spark.createDataFrame([], old.schema)
+        store(merged(drop(held), new, key), after.toString())
+        for b in touched:  # a bucket that lost all rows becomes an empty folder
+            fs.mkdirs(make(after, f"{PART}={b}"))
+        fs.mkdirs(make(after, READY))
+        _swap_parts(spark, path)
+        fs.delete(after, True)
     fs.delete(before, True)
 
 
