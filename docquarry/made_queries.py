@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .job_queries import _HITS
-from .operators import answering, blocks, chunking, history, search
+from .operators import answering, blocks, chunking, history, mining, search
+from .plans import retrieval
 from .queries import _KIND, _PAGE, STRIP, TOP, _bm25_ctes, _hits, _kind, query, read
 
 #: A message, or a line of a report in its place.
@@ -152,3 +153,57 @@ def history_cap(spark, d):
     events = read(spark, d, "events").select("user_id", "event_id", "event_type")
     n = events.groupBy("user_id").agg((F.count("*") > 10).alias("capped"))
     return history.last_messages(events, key="user_id", order="event_id").join(n, "user_id")
+
+
+# --- tables of pages, mended facts, a budget ----------------------------------------------------------
+
+_LONG = "'and a paragraph that follows the table: ' || text || text || text || text"
+
+
+@query(f"""with c as (select *, conv_id % 2 + 2 as nr, conv_id % 3 + 1 as nc from conversations where turn < 2),
+g as (select conv_id, turn, string_agg(line, chr(10) order by r) as body from (select conv_id, turn, r, string_agg('r' || r || 'c' || k, ' | ' order by k) as line from (select conv_id, turn, unnest(range(nr)) as r, nc from c), lateral (select unnest(range(nc)) as k) group by all) group by all),
+b as (select conv_id, turn, 0 as k, 'body' as ty, 'about ' || role as t from c union all select conv_id, turn, 1, 'table', 'Table ' || (turn + 1) || ' Ratings' || chr(10) || body from g join c using (conv_id, turn)
+ union all select conv_id, turn, 2, 'body', {STRIP.format(_LONG)} from c union all select conv_id, turn, 3, 'table', 'Table 9 without cells' from c)
+select conv_id as doc_id, (row_number() over (partition by conv_id order by turn, k) - 1)::int as chunk_index, (turn + 1)::int as page_number, ty as content_type, t as chunk_text from b""")
+def recognised_tables(spark, d):
+    """The first two messages of a conversation as pages of recognised items: grids of 2 or 3 rows by 1 to 3
+    columns, jittered within the tolerances and with gaps, then a long paragraph and a caption alone."""
+    talk = read(spark, d, "conversations").where("turn < 2")
+    box = lambda x, y: F.array(x, y, x + 40, y + 10)
+    item = lambda i, text, bbox: F.struct(i.cast("long").alias("block_idx"), text.alias("text"), bbox.cast("array<int>").alias("bbox"))
+    rows, cols = F.col("conv_id") % 2 + 2, F.col("conv_id") % 3 + 1
+    one = lambda r, c: item(10 + r * 10 + c, F.concat(F.lit("r"), r.cast("string"), F.lit("c"), c.cast("string")), box(c * 100 + (r * 7) % 11, 60 + r * 60 + (c * 5) % 9))
+    cells = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), rows - 1), lambda r: F.transform(F.sequence(F.lit(0).cast("long"), cols - 1), lambda c: one(r, c))))
+    lit = lambda n: F.lit(n)
+    head = F.array(item(lit(0), F.concat(F.lit("about "), "role"), box(lit(0), lit(0))), item(lit(1), F.concat(F.lit("Table "), (F.col("turn") + 1).cast("string"), F.lit(" Ratings")), box(lit(0), lit(30))))
+    tail = F.array(item(lit(90), F.expr(_LONG), box(lit(0), lit(260))), item(lit(91), F.lit("Table 9 without cells"), box(lit(0), lit(300))))
+    pages = talk.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.explode(F.concat(head, cells, tail)).alias("x"))
+    made = retrieval.recognised_chunks(pages.select("doc_id", "page_number", "x.*"), 5000, 0)
+    return made.select("doc_id", "chunk_index", "page_number", "content_type", "chunk_text")
+
+
+def _mending():
+    """A generator that knows no confidence at first, mends that for rows marked a, and never for b."""
+    good = '{"term": "t", "definition": "d", "source": "s", "extraction_confidence": "HIGH"}'
+
+    def reply(texts):
+        sound = [t.startswith("c") or (t.startswith("a") and "extraction_confidence is none" in t) for t in texts]
+        return [good if s else good.replace("HIGH", "SURE") for s in sound]
+
+    return reply
+
+
+@query("""select conv_id, turn, case when turn % 3 = 1 then null else 'HIGH' end as confidence, case when turn % 3 = 1 then 'extraction_confidence is none of the three' end as error, case when turn % 3 = 2 then 1 else 2 end as asked from conversations""")
+def facts_mended(spark, d):
+    """Messages as prompts to a generator that mends some replies when told what is wrong."""
+    mark = F.get(F.array(*map(F.lit, "abc")), F.pmod("turn", F.lit(3)).cast("int"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", mark, "text").alias("p"))
+    found = answering.generate_checked(rows, "p", "facts", lambda: _mending(), lambda block: answering.facts_error(block, "DEFINITION"))
+    return found.select("conv_id", "turn", F.get_json_object("facts", "$.extraction_confidence").alias("confidence"), F.col("facts_error").alias("error"), F.col("facts_asked").alias("asked"))
+
+
+@query("""with n as (select conv_id, count(*) as n from conversations group by 1), s as (select *, sum(n) over (order by (conv_id * 7919 + 45) % 1009, conv_id rows unbounded preceding) as upto from n)
+select conv_id, turn from conversations where conv_id in (select conv_id from s where upto - n < 200)""")
+def pair_budget(spark, d):
+    """Messages as the pairs of conversations, up to the conversation that brings them to 200."""
+    return mining.within_budget(read(spark, d, "conversations"), "conv_id", 200).select("conv_id", "turn")

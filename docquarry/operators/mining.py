@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters, specials, strip, word_count
+from .ranks import running
 
 #: Thresholds and depths of the mining rules, and starts of lines that are no questions.
 VALID, RELATED, HARD_LOW, HARD_HIGH, POOL, DEPTH, EASY_TAIL = 0.65, 0.5, 0.35, 0.55, 5, 15, 10
@@ -96,6 +97,18 @@ def pairs(near: DataFrame, positives: DataFrame | None = None, queries: DataFram
     return out
 
 
+def within_budget(rows: DataFrame, source: str, most: int, seed: int = 45) -> DataFrame:
+    """The pairs of sources in a hashed order, up to and with the source that brings them to `most`.
+
+    So the number passes `most` by what that source has over, as when pairs are made source by source
+    until there are enough. Sums run over ranges of sources, in no single task.
+    """
+    place = F.pmod(F.col(source) * 7919 + seed, F.lit(1009))
+    own = rows.groupBy(source).agg(F.count("*").alias("__n"))
+    summed = running(own.withColumn("__place", place), [], [F.col("__place"), F.col(source)], F.col("__n"), "__upto")
+    return rows.join(summed.where(F.col("__upto") - F.col("__n") < most).select(source), source, "left_semi")
+
+
 def enough(chunks: DataFrame, least: int = MIN_CHUNKS) -> bool:
     """Whether there are chunks enough to mine; reads no more than that many."""
     return chunks.limit(least).count() >= least
@@ -124,14 +137,8 @@ def first_examples(rows: DataFrame, order: str, cut: int = 100) -> DataFrame:
 
 
 def sequential_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """Gapless ids from 0 by a stable key: ranks inside range partitions plus their offsets."""
-    from ..session import materialize
-
-    dealt = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ids")
-    counts = dealt.groupBy("__part").count()  # one row a partition
-    before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).drop("count")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__at", place).join(F.broadcast(before), "__part").withColumn("id", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    """Gapless ids from 0 by a stable key."""
+    return running(rows, [], [F.col(c) for c in order], F.lit(1), "id").withColumn("id", F.col("id") - 1)
 
 
 def split(rows: DataFrame, key: str, test_tenths: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answering, blocks, chunking, mining, search, tables
@@ -62,6 +62,42 @@ def with_tables(parsed: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("block_type", F.when(F.col("block_type") == "table_header", "table").otherwise(F.col("block_type"))).drop("table_data")
 
 
+def page_tables(items: DataFrame) -> DataFrame:
+    """Recognised items to blocks, with the tables of each page put together.
+
+    items: doc_id, page_number, block_idx, text, bbox. A page's items in order are cut at captions; the
+    items after a caption that belong to its region become a grid, and the caption a table block with
+    the grid as text; the others stay. Returns doc_id, page_number, block_idx, text, block_type (table, or null
+    for items to classify), rows and cols. One page's items meet in one row.
+    """
+    order = Window.partitionBy("doc_id", "page_number").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    cut = items.withColumn("__nth", F.sum(blocks.is_caption(F.col("text")).cast("int")).over(order))
+    cell = F.struct("block_idx", "text", "bbox")
+    parts = cut.groupBy("doc_id", "page_number", "__nth").agg(F.sort_array(F.collect_list(cell)).alias("__items"))
+    first = F.get("__items", F.lit(0))
+    rest = F.slice("__items", 2, F.greatest(F.size("__items"), F.lit(1)))
+    cells = F.when(F.col("__nth") > 0, tables.region(rest, F.coalesce(F.get(first["bbox"], F.lit(1)), F.lit(0)))).otherwise(F.slice(rest, 1, 0))
+    found = tables.grid(parts.select("*", F.explode(F.array(cells)).alias("cells")))
+    used = F.transform("cells", lambda c: c["block_idx"])
+    text = F.when(F.size("cells") > 0, tables.table_text(first["text"], F.col("table_data"))).otherwise(first["text"])
+    block = lambda i, text, kind, rows, cols: F.struct(i.alias("block_idx"), text.alias("text"), kind.alias("block_type"), rows.alias("rows"), cols.alias("cols"))
+    none = F.lit(None).cast("int")
+    table = F.array(block(first["block_idx"], text, F.lit("table"), F.col("rows"), F.col("cols")))
+    plain = lambda xs: F.transform(xs, lambda c: block(c["block_idx"], c["text"], F.lit(None).cast("string"), none, none))
+    others = plain(F.filter("__items", lambda c: ~F.array_contains(used, c["block_idx"])))
+    behind = F.filter(others, lambda c: c["block_idx"] != first["block_idx"])
+    out = F.when(F.col("__nth") > 0, F.concat(table, behind)).otherwise(others)
+    return found.select("doc_id", "page_number", F.explode(out).alias("x")).select("doc_id", "page_number", "x.*")
+
+
+def recognised_chunks(items: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Recognised items (see page_tables) to chunks: tables put together, the rest classified, then page by page."""
+    found = page_tables(items)
+    other = blocks.classify(found.where("block_type is null").drop("block_type", "rows", "cols"))
+    whole = found.where("block_type is not null").select("doc_id", "page_number", "block_idx", "text", "block_type", F.lit(None).cast("string").alias("section_number"), F.lit(0).alias("level"))
+    return chunking.chunk_pages(other.select(whole.columns).unionByName(whole), size, overlap)
+
+
 def index_documents(spark: SparkSession, parsed: DataFrame, path: str, make: Callable[[], Embedder], size: int = 1000, overlap: int = 200, by_page: bool = False) -> DataFrame:
     """Blocks to a stored, embedded chunk dataset; returns what was written.
 
@@ -102,12 +138,20 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, make: Callable[[], Em
     return search.final(search.rerank(search.fuse(words, near), scorer), k)
 
 
-def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.Generator], attempts: int = 2, structured: bool = True) -> DataFrame:
+def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.Generator], attempts: int = 2, structured: bool = True, talk: DataFrame | None = None) -> DataFrame:
     """Answer each question from its hits (rank, chunk_text, file_name, page_number, has_table, ...).
 
-    Questions without hits get a fixed answer. A failed extraction falls back to a direct answer, a
-    failed answer to the facts as text; a failed validation adds a warning, never blocks.
+    Questions without hits get a fixed answer. Facts that break their type's schema are asked for again with
+    the fault, `attempts` times in all. A failed extraction falls back to a direct answer, a
+    failed answer to the facts as text; a failed validation adds a warning, never blocks. talk (qid, talk)
+    is what was said before, as history.recent_context() gives it; it goes before the question.
     """
+    if talk is not None:
+        before = talk.select("qid", F.col("talk").alias("__talk"))
+        told = F.concat(F.lit("Before:\n"), F.col("__talk"), F.lit("\nNow: "), F.col("question"))
+        questions = questions.join(before, "qid", "left").withColumn("__told", F.when(F.col("__talk").isNotNull(), told).otherwise(F.col("question"))).drop("__talk")
+    else:
+        questions = questions.withColumn("__told", F.col("question"))
     context = answering.pack_context(hits)
     hint = answering.table_hint(hits) if "table_header" in hits.columns else hits.select("qid").distinct().select("qid", F.lit(False).alias("has_tables"))
     rows = questions.join(context, "qid", "left").join(hint, "qid", "left")
@@ -116,16 +160,11 @@ def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.G
     kinds = found.withColumn("__p", answering.prompt("type", question=F.col("question")))
     kinds = answering.generate(kinds, "__p", "__type", make).withColumn("query_type", answering.replied_type(F.col("__type"), F.col("question")))
     if structured:
-        facts = kinds.withColumn("__p", answering.prompt("facts", question=F.col("question"), query_type=F.col("query_type"), table_hint=said, context=F.col("context")))
-        facts = answering.generate(facts, "__p", "__facts", make, attempts).withColumn("facts", answering.json_block(F.col("__facts")))
-        error = F.lit(None).cast("string")
-        for kind in (*answering.FACTS, "GENERIC"):
-            match = F.col("query_type") == kind if kind in answering.FACTS else ~F.col("query_type").isin(*answering.FACTS)
-            error = F.when(match, answering.facts_error(F.col("facts"), kind)).otherwise(error)
-        facts = facts.withColumn("facts", F.when(error.isNull(), F.col("facts")))
+        facts = kinds.withColumn("__p", answering.prompt("facts", question=F.col("__told"), query_type=F.col("query_type"), table_hint=said, context=F.col("context")))
+        facts = answering.generate_checked(facts, "__p", "facts", make, lambda block: answering.facts_fault(block, F.col("query_type")), attempts)
     else:
         facts = kinds.withColumn("facts", F.lit(None).cast("string"))
-    first = F.when(F.col("facts").isNull(), answering.prompt("direct", question=F.col("question"), context=F.col("context"))).otherwise(answering.prompt("answer", question=F.col("question"), facts=F.col("facts")))
+    first = F.when(F.col("facts").isNull(), answering.prompt("direct", question=F.col("__told"), context=F.col("context"))).otherwise(answering.prompt("answer", question=F.col("__told"), facts=F.col("facts")))
     done = answering.generate(facts.withColumn("__p", first), "__p", "__answer", make)
     done = done.withColumn("answer", F.coalesce("__answer", F.when(F.col("facts").isNotNull(), answering.facts_as_text(F.col("facts"), F.col("query_type")))))
     more = F.when(answering.complement_wanted(F.col("query_type")) & F.col("facts").isNotNull(), answering.prompt("complement", question=F.col("question"), answer=F.col("answer"), context=F.col("context"))).otherwise("")
@@ -140,8 +179,11 @@ def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.G
     return done.unionByName(empty)
 
 
-def mine_pairs(chunks: DataFrame, questions: DataFrame, depth: int = mining.DEPTH) -> DataFrame:
-    """Training pairs from chunks (id, doc, v) and questions (qid, source, sim, v): all four types."""
+def mine_pairs(chunks: DataFrame, questions: DataFrame, depth: int = mining.DEPTH, most: int | None = None) -> DataFrame:
+    """Training pairs from chunks (id, doc, v) and questions (qid, source, sim, v): all four types.
+
+    With `most`, the pairs of chunks in a hashed order up to the chunk that brings them to that number.
+    """
     if not mining.enough(chunks):
         raise ValueError(f"fewer than {mining.MIN_CHUNKS} chunks")
     good = questions.where(F.col("sim") >= mining.VALID)
@@ -153,4 +195,7 @@ def mine_pairs(chunks: DataFrame, questions: DataFrame, depth: int = mining.DEPT
     src = chunks.select(F.col("id").alias("source"), F.col("doc").alias("src_file"))
     near = near.join(home, "doc").join(src, "source").withColumn("same", F.col("file") == F.col("src_file"))
     positives = good.select("qid", F.col("source").alias("doc"), F.col("sim").alias("score"))
-    return mining.pairs(near, positives, good.select("qid", "source"), chunks.select(F.col("id").alias("doc")))
+    every = mining.pairs(near, positives, good.select("qid", "source"), chunks.select(F.col("id").alias("doc")))
+    if most is None:
+        return every
+    return mining.within_budget(every.join(good.select("qid", "source"), "qid"), "source", most).drop("source")

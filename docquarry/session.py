@@ -91,6 +91,29 @@ def short_plans(spark: SparkSession, length: int = 4096) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+#: What queries with transformWithState need of a session: state on disk, memory bounded for all stores of an executor.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
+
+
+@contextmanager
+def session_with(spark: SparkSession, settings: dict[str, str] = STATE_STORE) -> Iterator[None]:
+    """Settings of a session while queries are started; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of tables made by materialize()."""
     for df in tables:

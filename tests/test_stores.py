@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import blocks, chunking, index, ivf, mining, search
+from docquarry.operators import answering, blocks, chunking, history, index, ivf, mining, search
+from docquarry.plans import retrieval
+from docquarry.session import session_with, ship
 from docquarry.sources import sinks
+from docquarry.streaming import live
 
 
 def files(path):
@@ -157,3 +160,73 @@ def test_scores_of_labels_over_zero(spark):
     relevant = spark.createDataFrame([(1, 11, 1.0), (1, 10, 0.0), (2, 5, 1.0)], "qid long, doc long, label double")
     got = {r.qid: r for r in mining.ndcg(hits, relevant).collect()}
     assert got[1].mrr == 0.5 and got[1].map == 0.5 and got[1].recall == 1.0 and got[2].accuracy == 0.0
+
+
+def test_conversation_stream_agrees_with_batch_and_reaches_answers(spark, tmp_path):
+    ship(spark)
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("entities", F.slice(F.split("text", " "), 1, 4)).withColumn("clear", F.lit(None).cast("boolean"))
+    halves = [talk.where("turn < 3"), talk.where("turn >= 3")]
+    told = str(tmp_path / "told")
+    with session_with(spark):
+        for n, half in enumerate(halves):  # two starts on one checkpoint
+            half.write.parquet(str(tmp_path / "in" / str(n)))
+            stream = spark.readStream.schema(talk.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            write = lambda batch, _: sinks.upsert(batch.sparkSession, told, batch, "conv_id")
+            live.conversation(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        got = {r.conv_id: r for r in sinks.current(spark, told).collect()}
+        want = {r.conv_id: r.context for r in history.recent_context(talk, 3).collect()}
+        assert {k: r.context for k, r in got.items()} == want
+        for k, r in got.items():
+            seen = []
+            for row in talk.where(f"conv_id = {k}").orderBy("turn").limit(20).collect() if k % 40 == 0 else []:
+                for x in row.entities:
+                    seen = seen if x in seen else [*seen, x][-20:]
+            assert k % 40 or r.entities == seen
+        spark.createDataFrame([(0, 99, None, None, None, True), (1, None, "user", "no turn", None, None), (0, 100, "user", "anew", ["x"], None)], "conv_id long, turn long, role string, text string, entities array<string>, clear boolean").select(*talk.columns).write.parquet(str(tmp_path / "in" / "2"))
+        stream = spark.readStream.schema(talk.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        live.conversation(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    now = {r.conv_id: r for r in sinks.current(spark, told).collect()}
+    assert (now[0].n, now[0].context, now[0].entities) == (1, "User: anew", ["x"]) and now[1].context == got[1].context
+    hits = spark.createDataFrame([(0, 1, "gold here", "f", 1, False)], "qid long, rank int, chunk_text string, file_name string, page_number int, has_table boolean")
+    asked = spark.createDataFrame([(0, "and its price")], "qid long, question string")
+
+    def echo():
+        return lambda texts: ["it was said" if "User: anew" in texts[0] else "nothing known"]
+
+    said = sinks.current(spark, told).select(F.col("conv_id").alias("qid"), F.col("context").alias("talk"))
+    assert retrieval.answer(asked, hits, echo, structured=False, talk=said).first().answer.startswith("it was said")
+    assert retrieval.answer(asked, hits, echo, structured=False).first().answer.startswith("nothing known")
+
+
+def test_a_mending_generator_asks_only_for_what_is_wrong(spark, tmp_path):
+    log = str(tmp_path / "asked")
+    os.makedirs(log)
+
+    def make():
+        import json
+        import uuid
+
+        def reply(texts):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(texts[0][:1])
+            if texts[0].startswith("x"):
+                raise TimeoutError("late")
+            sure = "HIGH" if "was wrong" in texts[0] or texts[0].startswith("a") else "?"
+            return [json.dumps({"term": "t", "definition": "d", "source": "s", "extraction_confidence": sure})]
+
+        return reply
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "x"), (4, None)], "id int, p string").coalesce(1)
+    check = lambda block: answering.facts_error(block, "DEFINITION")
+    got = {r.id: r for r in answering.generate_checked(rows.where("p is not null"), "p", "facts", make, check, 3).collect()}
+    assert [got[i].facts_asked for i in (1, 2, 3)] == [1, 2, 3] and got[3].facts is None and "late" in got[3].facts_error
+    count = lambda c: sum(open(f"{log}/{f}").read() == c for f in os.listdir(log))
+    assert [count(c) for c in "abx"] == [1, 2, 3]
+
+
+def test_page_tables_leave_other_items_and_empty_pages(spark):
+    rows = [(1, 1, 0, "plain", [0, 0, 5, 5]), (1, 1, 1, "Table 1 A", None), (1, 1, 2, "x", [0, 20, 5, 25]), (1, 1, 3, "no box", None), (1, 1, 4, "y", [50, 21, 55, 26]), (1, 2, 0, None, None)]
+    items = spark.createDataFrame(rows, "doc_id long, page_number int, block_idx long, text string, bbox array<int>")
+    got = sorted((r.page_number, r.block_idx, r.text, r.block_type, r.rows, r.cols) for r in retrieval.page_tables(items).where("text is not null").collect())
+    assert got == [(1, 0, "plain", None, None, None), (1, 1, "Table 1 A\nx | y", "table", 1, 2), (1, 3, "no box", None, None, None)]
+    assert retrieval.page_tables(items.limit(0)).count() == 0
