@@ -10,27 +10,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..session import discard, materialize, scratch
-from .ranks import running
+from ..operators.ranks import running
+from ..session import discard, materialize, scratch, session_with
 
 BATCHES, FIRST_DAY, DAYS, WAIT = 8, 19_723, 160, 5
 #: Clients' rows that a bucket gets on average over all batches, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
-_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
-}
 _FED = "bucket int, tick boolean, client bigint, n bigint, day bigint, change bigint, op string, city string, balance double"
 _OUT = "change_id bigint, client_id bigint, status string, batch int, missed bigint, city string, cents bigint, current boolean, n bigint"
 _HELD = ("day", "change", "op", "city", "balance")
@@ -189,18 +181,6 @@ class Applier(StatefulProcessor):
 # --- the query ------------------------------------------------------------------------------------
 
 
-@contextmanager
-def _session_with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def apply(changes: DataFrame, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """change_id, client_id, status, batch, missed, city, cents, current, n: what became of each change.
 
@@ -232,7 +212,7 @@ def apply(changes: DataFrame, batches: int = BATCHES, buckets: int | None = None
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{base}/in"))
-    with _session_with(spark, _SETTINGS):
+    with session_with(spark):
         for b in range(1, batches + 2):
             if not fs.rename(path(f"{base}/staged/batch={b}"), path(f"{base}/in/b{b}")):
                 raise OSError(f"batch {b} could not be moved to {base}/in")

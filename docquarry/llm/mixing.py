@@ -14,8 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
 from ..session import discard, materialize
-from .ranks import running
 
 #: Weights of the sources in order, repeating; the most copies of a document.
 WEIGHTS, CAP = (5, 2, 1), 3

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
 from ..session import discard, materialize
-from .ranks import running
 from .text import _LOWER, BLOCK_BYTES, blocks, raw, words
 
 BUCKETS = 10_000

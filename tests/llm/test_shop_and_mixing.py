@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import changes, mixing, queries, resampling
-from docquarry.llm.ranks import running
+from docquarry.operators.ranks import running
 
 SF = "/root/testdata/sf0.001"
 CHANGE = "change_id long, client_id long, seq long, op string, valid_at timestamp_ntz, source string, segment string, city string, balance double"
