@@ -159,6 +159,16 @@ def test_topk_by_many_groups_and_blocks(spark, docs):
 # --- op3
 
 
+@pytest.mark.parametrize(("shard", "group", "row"), [(1, 100, 5), (3, 10**6, 4096)])
+def test_topk_by_shards_of_few_blocks(spark, docs, monkeypatch, shard, group, row):
+    """Many shards, and queries that pass them in many groups and packed rows, find what one shard does."""
+    rows = lambda **kw: sorted(map(tuple, topk.search(docs, docs.where("doc_id % 5 = 0"), **kw).collect()))
+    want = rows()
+    monkeypatch.setattr(topk, "SHARD_BLOCKS", shard)
+    monkeypatch.setattr(topk, "ROW_QUERIES", row)
+    assert rows(block_bytes=20_000, group_terms=group) == want
+
+
 def test_chi_square_and_tree():
     assert abs(neighbours.chi_square(neighbours.quantile(0.9, 8), 8) - 0.9) < 1e-9
     assert abs(neighbours.quantile(0.95, 8) - 15.507) < 1e-3
