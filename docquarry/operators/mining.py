@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters, specials, strip, word_count
-from .ranks import running
+from .ranks import running, running_sums
 
 #: Thresholds and depths of the mining rules, and starts of lines that are no questions.
 VALID, RELATED, HARD_LOW, HARD_HIGH, POOL, DEPTH, EASY_TAIL = 0.65, 0.5, 0.35, 0.55, 5, 15, 10
@@ -173,25 +173,28 @@ def ndcg(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return scores(hits.join(relevant, ["qid", "doc"]), relevant.groupBy("qid").agg(F.count("*").alias("rel")), k)
 
 
+def _placed(rows: DataFrame, key: str, order: str, **sums: Column) -> DataFrame:
+    """rows with __n (rows of the key), __at (place from 1) and running sums: by ranges, so few keys don't mean few tasks."""
+    placed = running_sums(rows, [key], [F.col(order)], {"__at": F.lit(1), **sums})
+    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))  # Spark broadcasts it where it is small
+    return placed.join(sizes, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def moving_average(rows: DataFrame, key: str, order: str, value: str, floor: int = 5, share: int = 20) -> DataFrame:
     """Means over a window of max(5, n // 20), for keys of over 20 rows, from the first full window."""
-    n = F.count("*").over(Window.partitionBy(key))
-    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    counted = rows.withColumn("__n", n).withColumn("__at", at).where("__n > 20").withColumn("window", F.greatest(F.lit(floor), F.floor(F.col("__n") / share)))
     # The window's width differs by key, so running sums are subtracted.
-    total = F.sum(F.col(value).cast("decimal(30,8)")).over(Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    run = counted.withColumn("__sum", total)
-    behind = run.select(key, (F.col("__at") + F.col("window")).alias("__at"), F.col("__sum").alias("__old"))
-    joined = run.where(F.col("__at") >= F.col("window")).join(behind, [key, "__at"], "left")
+    run = _placed(rows.select(key, order, value), key, order, __sum=F.col(value).cast("decimal(30,8)")).where("__n > 20")
+    run = run.withColumn("window", F.greatest(F.lit(floor), F.floor(F.col("__n") / share)))
+    behind = run.select(F.col(key).alias("__key"), (F.col("__at") + F.col("window")).alias("__at"), F.col("__sum").alias("__old"))
+    late = run.where(F.col("__at") >= F.col("window")).withColumnRenamed("__at", "__here")
+    joined = late.join(behind, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__here") == F.col("__at")), "left")
     mean = (F.col("__sum") - F.coalesce("__old", F.lit(0))).cast("double") / F.col("window")
     return joined.select(key, order, F.col("window").cast("long").alias("window"), F.round(mean, 6).alias("mean"))
 
 
 def trend(rows: DataFrame, key: str, order: str, value: str, change: float = 0.005) -> DataFrame:
     """First, last, least, reduction, and the last quarter's mean against the quarter before (20 rows or more)."""
-    n = F.count("*").over(Window.partitionBy(key))
-    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    x = rows.withColumn("__n", n).withColumn("__at", at).withColumn("__q", F.floor(F.col("__n") / 4))
+    x = _placed(rows.select(key, order, value), key, order).withColumn("__q", F.floor(F.col("__n") / 4))
     late = F.avg(F.when(F.col("__at") > F.col("__n") - F.col("__q"), F.col(value)))
     early = F.avg(F.when((F.col("__at") > F.col("__n") - 2 * F.col("__q")) & (F.col("__at") <= F.col("__n") - F.col("__q")), F.col(value)))
     out = x.groupBy(key).agg(F.first("__n").alias("n"), F.min_by(value, "__at").alias("first_value"), F.max_by(value, "__at").alias("last_value"), F.min(value).alias("min_value"), F.round(late - early, 6).alias("change"))

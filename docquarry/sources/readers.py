@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.text import file_key, strip
 from ..operators.blocks import parser_block_type, parser_header
 from ..operators.tables import parsed_cells, render_grid
+from ..session import materialize
 
 ITEM = "struct<text:string,confidence:double,bbox:array<int>>"
 PARSED = "item_type string, page_no int, text string, cells array<struct<row:int,col:int,text:string>>"
 
 
-def pdf_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """All PDF files under a path, whatever the case of their ending; an empty result is no error."""
+def pdf_files(spark: SparkSession, path: str, content: bool = False, times: bool = False) -> DataFrame:
+    """All PDF files under a path, whatever the case of their ending; an empty result is no error.
+
+    Without content no file is opened. times adds when each was modified.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     folder = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
-    return files.select("path", file_key("path").alias("file_name"), folder.alias("source_folder"), "length", *["content"] * content)
+    return files.select("path", file_key("path").alias("file_name"), folder.alias("source_folder"), "length", *["content"] * content, *[F.col("modificationTime").alias("modified")] * times)
 
 
 def convert(files: DataFrame, make: Callable[[], Callable[[bytes], list[dict]]], schema: str) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +47,8 @@ def convert(files: DataFrame, make: Callable[[], Callable[[bytes], list[dict]]],
                 out = [{"path": row.path, "file_name": row.file_name, "idx": i, "error": None} | {k: x.get(k) for k in names} for i, x in enumerate(items)]
                 yield pd.DataFrame(out or [{"path": row.path, "file_name": row.file_name, "idx": None, "error": error or ""} | dict.fromkeys(names)])
 
-    done = files.mapInPandas(run, f"path string, file_name string, idx int, error string, {schema}")
+    # Stored once: both results are read from it, and a file is converted once.
+    done = materialize(files.mapInPandas(run, f"path string, file_name string, idx int, error string, {schema}"), "converted")
     return done.where("idx is not null").drop("error"), done.where("idx is null and error <> ''").select("path", F.col("error"))
 
 

@@ -110,13 +110,13 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None, buckets: int = BUCKETS) -> None:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", prune_by: str | None = None, order: str | None = None, buckets: int = BUCKETS, drop: DataFrame | None = None) -> None:
     """Full-row upsert by key into a Parquet dataset, which lies in folders by a hash of the key.
 
     Only buckets that new rows or pruned ones fall into are read and written; the others keep their
     files. Of rows that repeat a key in `new` one stays: the last by `order`, else any. With prune_by (a
     file or document column), old rows of the groups that `new` has are dropped first, so a file that
-    shrank leaves no stale chunks. New buckets are written beside the dataset and moved in when all are
+    shrank leaves no stale chunks; drop (of that column) names more groups to drop. New buckets are written beside the dataset and moved in when all are
     there: a failed write leaves the old rows, and a swap that was cut off is finished by the next writer,
     while readers see the new state. One writer at a time. New columns rewrite all buckets.
     """
@@ -130,21 +130,23 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id"
         store(new, path)
         return
     old = current(spark, path)
-    drop = lambda df: df.join(new.select(prune_by).distinct(), prune_by, "left_anti") if prune_by else df
+    groups = new.select(prune_by) if prune_by else None
+    groups = groups.unionByName(drop.select(prune_by)).distinct() if drop is not None and prune_by else groups
+    kept = lambda df: df.join(groups, prune_by, "left_anti") if prune_by else df
     wide = set(new.columns) - set(old.columns)
     if not _parts(fs, place) or wide:
-        store(merged(drop(old), new, key), after.toString())
+        store(merged(kept(old), new, key), after.toString())
         _move(fs, place, before)
         _move(fs, after, place)
     else:
         hit = new.select(place_of.alias("b"))
         if prune_by:
-            hit = hit.unionByName(old.join(new.select(prune_by).distinct(), prune_by, "left_semi").select(place_of.alias("b")))
+            hit = hit.unionByName(old.join(groups, prune_by, "left_semi").select(place_of.alias("b")))
         touched = [r.b for r in hit.distinct().collect()]  # a row a bucket
         parts = _parts(fs, place)
         lying = [parts[b].toString() for b in touched if b in parts]
         held = spark.read.schema(old.schema).parquet(*lying) if lying else spark.createDataFrame([], old.schema)
-        store(merged(drop(held), new, key), after.toString())
+        store(merged(kept(held), new, key), after.toString())
         for b in touched:  # a bucket that lost all rows becomes an empty folder
             fs.mkdirs(make(after, f"{PART}={b}"))
         fs.mkdirs(make(after, READY))

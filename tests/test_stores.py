@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import answering, blocks, chunking, history, index, ivf, mining, search
-from docquarry.plans import retrieval
+from docquarry.plans import folders, retrieval
 from docquarry.session import session_with, ship
 from docquarry.sources import sinks
 from docquarry.streaming import live
@@ -230,3 +230,54 @@ def test_page_tables_leave_other_items_and_empty_pages(spark):
     got = sorted((r.page_number, r.block_idx, r.text, r.block_type, r.rows, r.cols) for r in retrieval.page_tables(items).where("text is not null").collect())
     assert got == [(1, 0, "plain", None, None, None), (1, 1, "Table 1 A\nx | y", "table", 1, 2), (1, 3, "no box", None, None, None)]
     assert retrieval.page_tables(items.limit(0)).count() == 0
+
+
+def test_a_second_run_over_a_folder_converts_nothing(spark, tmp_path):
+    folder, log = tmp_path / "in", tmp_path / "log"
+    (folder / "sub").mkdir(parents=True)
+    log.mkdir()
+    put = lambda name, text: (folder / name).write_bytes(text.encode())
+    put("a.pdf", "first file with words enough")
+    put("sub/b.PDF", "second file with words enough")
+    put("c.pdf", "bad")
+
+    def make():
+        import uuid
+
+        def read(data):
+            (log / uuid.uuid4().hex).write_bytes(data)
+            if data == b"bad":
+                raise ValueError("broken")
+            return [{"item_type": "text", "page_no": 0, "text": data.decode(), "cells": None}]
+
+        return read
+
+    def run():
+        rows = folders.update(spark, str(folder), str(tmp_path / "set"), str(tmp_path / "ledger"), make).collect()
+        read = sorted(f.read_bytes().decode()[:5] for f in log.iterdir())
+        for f in log.iterdir():
+            f.unlink()
+        texts = sorted(r.chunk_text for r in sinks.current(spark, str(tmp_path / "set")).collect())
+        return {os.path.basename(r.path): r.outcome for r in rows}, read, texts
+
+    outcome, read, texts = run()
+    assert outcome == {"a.pdf": "converted", "b.PDF": "converted", "c.pdf": "failed"} and read == ["bad", "first", "secon"] and len(texts) == 2
+    outcome, read, texts = run()  # what failed is tried again, nothing else
+    assert outcome == {"c.pdf": "failed"} and read == ["bad"] and len(texts) == 2
+    put("c.pdf", "third file, mended by now")
+    os.utime(folder / "a.pdf", (1, 1))  # touched, not changed
+    (folder / "sub" / "b.PDF").unlink()
+    outcome, read, texts = run()
+    assert outcome == {"c.pdf": "converted", "a.pdf": "touched", "b.PDF": "gone"} and read == ["third"]
+    assert texts == ["first file with words enough", "third file, mended by now"]
+    assert run()[:2] == ({}, [])
+
+
+def test_moving_average_and_trend_of_a_hot_key(spark):
+    rows = [("hot", i, (i * 37 % 101) / 10) for i in range(500)] + [("few", i, 1.0) for i in range(9)] + [(None, i, float(i)) for i in range(30)]
+    frame = spark.createDataFrame(rows, "k string, step int, v double").repartition(6)
+    got = {(r.k, r.step): r["mean"] for r in mining.moving_average(frame, "k", "step", "v").collect()}
+    by = {k: [v for x, _, v in rows if x == k] for k in ("hot", None)}
+    want = {(k, i): round(sum(v[i - w + 1 : i + 1]) / w, 6) for k, v in by.items() for w in [max(5, len(v) // 20)] for i in range(w - 1, len(v))}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    assert {r.k: r.n for r in mining.trend(frame, "k", "step", "v").collect()} == {"hot": 500, "few": 9, None: 30}
