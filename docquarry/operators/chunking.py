@@ -10,6 +10,8 @@ from .blocks import parent_section, parent_sections, with_sections
 
 #: Block types that are chunks of their own.
 OWN = ("table", "section_header", "subsection_header", "title")
+#: The largest number of paragraphs of a chunk, as one number holds it.
+MOST = (1 << 31) - 1
 _SECTION = "struct<number:string,title:string,hierarchy:array<string>>"
 _CHUNK = f"array<struct<text:string,type:string,page:int,confidence:double,section:{_SECTION}>>"
 
@@ -102,12 +104,13 @@ def pack_paragraphs(paragraphs: Column, size: int = 1000, overlap: int = 200) ->
     """Arrays of paragraphs, one per chunk: a chunk closes when the next paragraph would pass `size`
     (separators don't count), and its longest suffix of `overlap` characters at most opens the next.
 
-    The fold carries the lengths of one chunk's paragraphs and the places of cuts; texts are cut out
-    at the end, so a step takes time by the chunk, not by the document.
+    The fold carries the lengths of one chunk's paragraphs and, as one number each, the places of cuts,
+    since what it carries is copied at every step. Texts are taken from `paragraphs` at the end, one
+    by one: it should be a column of the rows, not an expression.
     """
-    none, cuts = F.array().cast("array<int>"), F.array().cast("array<struct<first:int,n:int>>")
-    cut = lambda a: F.array(F.struct(a["first"].alias("first"), F.size(a["lens"]).alias("n")))
-    state = lambda a, first, lens, total, out: F.struct(a["ps"].alias("ps"), first.alias("first"), lens.alias("lens"), total.alias("total"), out.alias("out"))
+    none = F.array().cast("array<int>")
+    cut = lambda a: F.array(F.shiftleft(a["first"].cast("bigint"), 31) + F.size(a["lens"]))
+    state = lambda a, first, lens, total, out: F.struct(first.alias("first"), lens.alias("lens"), total.alias("total"), out.alias("out"))
 
     def suffix(lens: Column) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(True).alias("open"))
@@ -127,20 +130,18 @@ def pack_paragraphs(paragraphs: Column, size: int = 1000, overlap: int = 200) ->
         after = state(a, a["first"] + F.size(a["lens"]) - kept["n"], lens, kept["total"] + n, F.concat(a["out"], cut(a)))
         return F.when(over, after).otherwise(state(a, a["first"], F.concat(a["lens"], F.array(n)), a["total"] + n, a["out"]))
 
-    start = F.struct(paragraphs.alias("ps"), F.lit(0).alias("first"), none.alias("lens"), F.lit(0).alias("total"), cuts.alias("out"))
-
-    def finish(a: Column) -> Column:
-        every = F.when(F.size(a["lens"]) > 0, F.concat(a["out"], cut(a))).otherwise(a["out"])
-        # Element by element: a slice would walk over the whole array.
-        return F.transform(every, lambda c: F.transform(F.sequence(c["first"], c["first"] + c["n"] - 1), lambda i: F.get(a["ps"], i)))
-
-    return F.aggregate(paragraphs, start, step, finish)
+    start = F.struct(F.lit(0).alias("first"), none.alias("lens"), F.lit(0).alias("total"), F.array().cast("array<bigint>").alias("out"))
+    cuts = F.aggregate(paragraphs, start, step, lambda a: F.when(F.size(a["lens"]) > 0, F.concat(a["out"], cut(a))).otherwise(a["out"]))
+    first = lambda c: F.shiftright(c, 31).cast("int")
+    return F.transform(cuts, lambda c: F.transform(F.sequence(first(c), first(c) + c.bitwiseAND(F.lit(MOST)).cast("int") - 1), lambda i: F.get(paragraphs, i)))
 
 
 def chunk_paragraphs(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_col: str = "doc_id", text_col: str = "text", separator: str = r"\n\s*\n") -> DataFrame:
     """doc_col, chunk_index, n_paragraphs, chunk_text of the paragraph packer."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), separator), strip), lambda p: p != "")
-    packed = docs.select(doc_col, F.posexplode(pack_paragraphs(parts, size, overlap)).alias("chunk_index", "ps"))
+    # An array of one element makes the paragraphs a column, which is not split again for each of them.
+    held = docs.select(doc_col, F.explode(F.array(parts)).alias("__ps"))
+    packed = held.select(doc_col, F.posexplode(pack_paragraphs(F.col("__ps"), size, overlap)).alias("chunk_index", "ps"))
     return packed.select(doc_col, "chunk_index", F.size("ps").cast("long").alias("n_paragraphs"), F.array_join("ps", "\n\n").alias("chunk_text"))
 
 

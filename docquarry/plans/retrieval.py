@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answering, blocks, chunking, mining, search, tables
-from ..session import wider
+from ..session import discard, materialize, path_exists, wider
 from ..sources import sinks
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -179,6 +179,30 @@ def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.G
     return done.unionByName(empty)
 
 
+def ask_questions(spark: SparkSession, chunks: DataFrame, path: str, make: Callable[[], answering.Generator], make_embedder: Callable[[], Embedder], n: int = 2, parts: int = 8, valid: float = mining.VALID) -> DataFrame:
+    """Questions that a generator writes for chunks (id, text, v): qid, source, question, sim, v.
+
+    Replies are kept under `path`, part by part, so a run that was cut off asks only for chunks without a
+    reply, and failed calls are made again by the next run. Unusable lines go; sim is the inner product of
+    the unit vectors of question and chunk, and questions under `valid` go too.
+    """
+    held = chunks.select(F.col("id").cast("long").alias("id"), "text")
+    for part in range(parts):
+        own = held.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        if path_exists(spark, path):
+            own = own.join(spark.read.parquet(path).select("id"), "id", "left_anti")
+        said = answering.generate(own.withColumn("__p", answering.prompt("questions", n=F.lit(n), passage=F.col("text"))), "__p", "reply", make)
+        replies = materialize(said.select("id", "reply"), "replies")
+        replies.where("reply is not null").write.mode("append").parquet(path)
+        discard(replies)
+    lines = spark.read.parquet(path).dropDuplicates(["id"]).select("id", F.posexplode(mining.questions_of(F.col("reply"), n)).alias("nth", "question"))
+    asked = embed(lines, "question", make_embedder, "v").withColumn("qid", F.col("id") * n + F.col("nth"))
+    unit = lambda v: search.dot(v, v) ** 0.5
+    met = asked.join(chunks.select(F.col("id").cast("long").alias("id"), F.col("v").alias("__v")), "id")
+    sim = F.round(search.dot(F.col("v"), F.col("__v")) / F.greatest(unit(F.col("v")) * unit(F.col("__v")), F.lit(1e-300)), 6)
+    return met.withColumn("sim", sim).where(F.col("sim") >= valid).select("qid", F.col("id").alias("source"), "question", "sim", "v")
+
+
 def mine_pairs(chunks: DataFrame, questions: DataFrame, depth: int = mining.DEPTH, most: int | None = None) -> DataFrame:
     """Training pairs from chunks (id, doc, v) and questions (qid, source, sim, v): all four types.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,11 +43,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for tables written between jobs.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a
-    folder under the warehouse is used.
+    It is the session's spark.checkpoint.dir. Only where that is unset in local mode, as in tests, a
+    folder under the warehouse is used; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -281,3 +281,37 @@ def test_moving_average_and_trend_of_a_hot_key(spark):
     want = {(k, i): round(sum(v[i - w + 1 : i + 1]) / w, 6) for k, v in by.items() for w in [max(5, len(v) // 20)] for i in range(w - 1, len(v))}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
     assert {r.k: r.n for r in mining.trend(frame, "k", "step", "v").collect()} == {"hot": 500, "few": 9, None: 30}
+
+
+def test_questions_are_asked_once_and_failures_again(spark, tmp_path):
+    log, path = tmp_path / "log", str(tmp_path / "replies")
+    log.mkdir()
+    texts = ["copper wires carry current", "gold does not rust", "bad passage here", "silver spoons shine bright"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    chunks = retrieval.embed(frame, "text", retrieval.hash_embedder(32), "v")
+
+    def client(fails):
+        def make():
+            import uuid
+
+            def reply(prompts):
+                passage = prompts[0].split("Passage: ")[1]
+                (log / uuid.uuid4().hex).write_text(passage)
+                if fails and passage.startswith("bad"):
+                    raise TimeoutError("late")
+                return [f"1. what is {passage} about?\nSure, here you go?\n2) zzz qqq unrelated words?"]
+
+            return reply
+
+        return make
+
+    def run(fails):
+        got = retrieval.ask_questions(spark, chunks, path, client(fails), retrieval.hash_embedder(32), parts=2, valid=0.5).collect()
+        asked = sorted(f.read_text()[:4] for f in log.iterdir())
+        for f in log.iterdir():
+            f.unlink()
+        return sorted(r.source for r in got), asked
+
+    assert run(True) == ([0, 1, 3], ["bad ", "copp", "gold", "silv"])
+    assert run(False) == ([0, 1, 2, 3], ["bad "])
+    assert run(False) == ([0, 1, 2, 3], [])
