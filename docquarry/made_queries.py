@@ -157,7 +157,7 @@ def history_cap(spark, d):
 
 # --- tables of pages, mended facts, a budget ----------------------------------------------------------
 
-_LONG = "'and a paragraph that follows the table: ' || text || text || text || text"
+_LONG = "'and a paragraph that follows the table: ' || repeat('with words enough, ', 12) || text"
 
 
 @query(f"""with c as (select *, conv_id % 2 + 2 as nr, conv_id % 3 + 1 as nc from conversations where turn < 2),
