@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import stand_ins
 from .job_queries import _HITS
 from .operators import answering, blocks, chunking, history, mining, search
 from .plans import retrieval
@@ -182,23 +183,12 @@ def recognised_tables(spark, d):
     return made.select("doc_id", "chunk_index", "page_number", "content_type", "chunk_text")
 
 
-def _mending():
-    """A generator that knows no confidence at first, mends that for rows marked a, and never for b."""
-    good = '{"term": "t", "definition": "d", "source": "s", "extraction_confidence": "HIGH"}'
-
-    def reply(texts):
-        sound = [t.startswith("c") or (t.startswith("a") and "extraction_confidence is none" in t) for t in texts]
-        return [good if s else good.replace("HIGH", "SURE") for s in sound]
-
-    return reply
-
-
 @query("""select conv_id, turn, case when turn % 3 = 1 then null else 'HIGH' end as confidence, case when turn % 3 = 1 then 'extraction_confidence is none of the three' end as error, case when turn % 3 = 2 then 1 else 2 end as asked from conversations""")
 def facts_mended(spark, d):
     """Messages as prompts to a generator that mends some replies when told what is wrong."""
     mark = F.get(F.array(*map(F.lit, "abc")), F.pmod("turn", F.lit(3)).cast("int"))
     rows = read(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", mark, "text").alias("p"))
-    found = answering.generate_checked(rows, "p", "facts", lambda: _mending(), lambda block: answering.facts_error(block, "DEFINITION"))
+    found = answering.generate_checked(rows, "p", "facts", stand_ins.mending, lambda block: answering.facts_error(block, "DEFINITION"))
     return found.select("conv_id", "turn", F.get_json_object("facts", "$.extraction_confidence").alias("confidence"), F.col("facts_error").alias("error"), F.col("facts_asked").alias("asked"))
 
 

@@ -102,12 +102,14 @@ def index_documents(spark: SparkSession, parsed: DataFrame, path: str, make: Cal
     """Blocks to a stored, embedded chunk dataset; returns what was written.
 
     parsed: doc_id, page_number, block_idx, text, block_type and, optionally, confidence. Chunks of
-    a document that was stored before are replaced.
+    a document that was stored before are replaced, or go where it has none now.
     """
     chunker = chunking.chunk_pages if by_page else chunking.chunk_documents
     chunks = chunker(parsed, size, overlap)
     ready = embed(chunks.withColumn("embed_text", chunking.embedding_text(chunks)), "embed_text", make).drop("embed_text")
-    sinks.upsert(spark, path, ready, "chunk_id", prune_by="doc_id")
+    ready = materialize(ready, "embedded")  # the upsert reads it more than once, the model runs once
+    sinks.upsert(spark, path, ready, "chunk_id", prune_by="doc_id", drop=parsed.select("doc_id").distinct())
+    discard(ready)
     return sinks.current(spark, path)
 
 
@@ -167,9 +169,9 @@ def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.G
     first = F.when(F.col("facts").isNull(), answering.prompt("direct", question=F.col("__told"), context=F.col("context"))).otherwise(answering.prompt("answer", question=F.col("__told"), facts=F.col("facts")))
     done = answering.generate(facts.withColumn("__p", first), "__p", "__answer", make)
     done = done.withColumn("answer", F.coalesce("__answer", F.when(F.col("facts").isNotNull(), answering.facts_as_text(F.col("facts"), F.col("query_type")))))
-    more = F.when(answering.complement_wanted(F.col("query_type")) & F.col("facts").isNotNull(), answering.prompt("complement", question=F.col("question"), answer=F.col("answer"), context=F.col("context"))).otherwise("")
+    more = F.when(answering.complement_wanted(F.col("query_type")) & F.col("facts").isNotNull(), answering.prompt("complement", question=F.col("question"), answer=F.col("answer"), context=F.col("context")))
     done = answering.generate(done.withColumn("__p", more), "__p", "__more", make)
-    extra = F.when(F.col("__p") != "", answering.complement(F.col("__more")))
+    extra = answering.complement(F.col("__more"))
     done = done.withColumn("answer", F.concat_ws("\n\n", "answer", extra))
     flaw = F.when(F.col("facts").isNotNull(), answering.validation_error(F.col("question"), F.col("answer"), F.col("facts"), F.col("query_type")))
     mode = F.when(F.col("facts").isNotNull(), F.col("query_type")).otherwise("FALLBACK" if structured else "DIRECT")

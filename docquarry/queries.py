@@ -553,4 +553,4 @@ def sequential_ids(spark, d):
     return mining.sequential_ids(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
 
 
-from . import job_queries, made_queries  # noqa: E402, F401  register their queries
+from . import job_queries, made_queries, whole_queries  # noqa: E402, F401  register their queries

@@ -315,3 +315,30 @@ def test_questions_are_asked_once_and_failures_again(spark, tmp_path):
     assert run(True) == ([0, 1, 3], ["bad ", "copp", "gold", "silv"])
     assert run(False) == ([0, 1, 2, 3], ["bad "])
     assert run(False) == ([0, 1, 2, 3], [])
+
+
+def test_a_document_without_chunks_now_leaves_none_behind(spark, tmp_path):
+    path, calls = str(tmp_path / "index"), tmp_path / "calls"
+    calls.mkdir()
+
+    def counting():
+        import uuid
+
+        def embed(texts):
+            (calls / uuid.uuid4().hex).write_text(str(len(texts)))
+            return retrieval.hash_embedder(8)()(texts)
+
+        return embed
+
+    rows = lambda *texts: spark.createDataFrame([(n, 1, 0, t, "body") for n, t in enumerate(texts)], "doc_id long, page_number int, block_idx int, text string, block_type string")
+    long = "words enough for a chunk of its own"
+    retrieval.index_documents(spark, rows(long, long), path, counting)
+    found = retrieval.index_documents(spark, rows("short", long + " anew"), path, counting)
+    assert [(r.doc_id, r.chunk_text) for r in found.collect()] == [(1, long + " anew")]
+    assert sum(int(f.read_text()) for f in calls.iterdir()) == 3  # every chunk met the model once
+
+
+def test_null_prompts_are_not_sent(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "qid long, p string")
+    got = {r.qid: (r.said, r.said_error) for r in answering.generate(rows, "p", "said", lambda: lambda texts: [texts[0] + "!"]).collect()}
+    assert got == {1: ("a!", None), 2: (None, None), 3: ("!", None)}
