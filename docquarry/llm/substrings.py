@@ -11,8 +11,11 @@ Shuffling each edge alone would move several times the corpus, so paths are comp
    the shuffle, so a group of copies sends no more than one piece a block.
 2. Join by anchor. Rows are dealt by anchor and streamed in order (anchor, piece, document): all but
    the smallest document of a piece are repeats as a whole. If an anchor has two or more distinct
-   pieces, the graph branches there, and the pieces' first documents go on to step 3.
-3. Branches. The windows of those pieces are hashed at their source coordinates and joined exactly.
+   pieces, the graph branches there, and the pieces' first documents go on to step 3. A block that has
+   many pieces of one anchor knows that it branches: it sends them to step 3 by their own places, and
+   one mark to the anchor's group. So a hot anchor is spread, and a group gets a bounded number of rows a block.
+3. Branches. The windows of those pieces are hashed at their source coordinates and joined exactly;
+   windows that a smaller document of the same block has are decided before the shuffle.
 4. Verify and cut. Decisions return to the source text by document and place, and the words go.
 
 Edges are compared by two 64-bit hashes. Groups are streamed with bounded state; nothing is collected.
@@ -40,11 +43,15 @@ WINDOW = 13
 ANCHOR = 5
 #: Rows of one anchor that the stream holds back at most.
 HELD = 200_000
+#: Pieces of one anchor that a block sends to the anchor's group at most; with more, the anchor is hot.
+SPREAD = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ROWS = "anchor bigint, piece bigint, doc bigint, place bigint, n bigint"
 _PLACE_BITS = 40
+#: What is added to n of pieces that are known to branch.
+_BRANCHES = 1 << 40
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -92,7 +99,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _pieces(id_col: str, text_col: str, window: int, anchor: int):
+def _own_key(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A key of its own for a row that needs no others."""
+    return T.mix(doc.astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64))
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decided windows, in order of document and place; adjoining ones become one row."""
+    order = np.lexsort((place, doc))
+    doc, place, n = doc[order], place[order], n[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + n[:-1])
+    head = np.flatnonzero(new)
+    return doc[head], place[head], np.add.reduceat(n, head) if len(head) else n
+
+
+def _pieces(id_col: str, text_col: str, window: int, anchor: int, spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches, text_col):
             ids = block.column(id_col).combine_chunks()
@@ -109,18 +131,19 @@ def _pieces(id_col: str, text_col: str, window: int, anchor: int):
             a, p, doc, place, n = (x[order] for x in (a, p, doc, place, n))
             least = _least(a, p, doc)
             repeat = doc > least
-            # Repeats inside the block are decided: adjoining ones become one row, dealt by its place.
-            d, x, k = doc[repeat], place[repeat], n[repeat]
-            order = np.lexsort((x, d))
-            d, x, k = d[order], x[order], k[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1] + k[:-1])
-            head = np.flatnonzero(new)
-            k = np.add.reduceat(k, head) if len(head) else k
-            d, x = d[head], x[head]
-            own = T.mix(d.astype(np.uint64) * np.uint64(_BASE) + x.astype(np.uint64))
-            keep = ~repeat
-            columns = [np.concatenate(c) for c in ((a[keep], own), (p[keep], own), (doc[keep], d), (place[keep], x), (n[keep], -k))]
+            d, x, k = _runs(doc[repeat], place[repeat], n[repeat])
+            a, p, doc, place, n = (c[~repeat] for c in (a, p, doc, place, n))
+            head = np.append(True, a[1:] != a[:-1])[: len(a)]
+            group = np.cumsum(head) - 1
+            hot = (np.bincount(group, head | np.append(True, p[1:] != p[:-1])[: len(a)]) > spread)[group] if len(a) else head
+            marks = a[head & hot]
+            none = np.zeros(len(marks), np.int64)
+            cool = ~hot
+            own, away = _own_key(d, x), _own_key(doc[hot], place[hot])
+            columns = [
+                np.concatenate(c)
+                for c in ((a[cool], own, away, marks), (p[cool], own, away, T.mix(marks)), (doc[cool], d, doc[hot], none), (place[cool], x, place[hot], none), (n[cool], -k, n[hot] + _BRANCHES, none))
+            ]
             table = pa.RecordBatch.from_arrays([_signed(c) for c in columns], ["anchor", "piece", "doc", "place", "n"])
             for i in range(0, table.num_rows, 65536):
                 yield table.slice(i, 65536)
@@ -155,6 +178,10 @@ def _join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if decided.any():
             yield out([c[decided] for c in rows[:4]] + [-rows[4][decided]], 0)
             rows = [c[~decided] for c in rows]
+        direct = rows[4] >= _BRANCHES
+        if direct.any():
+            yield out([c[direct] for c in rows[:4]] + [rows[4][direct] - _BRANCHES], 1)
+            rows = [c[~direct] for c in rows]
         anchor, piece, doc = rows[:3]
         if len(doc):
             repeat = doc > _least(anchor, piece, doc)
@@ -164,7 +191,7 @@ def _join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             anchor, piece = rows[:2]
             group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])) - 1
             kinds = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))
-            multi = (np.bincount(group, kinds) > 1)[group]
+            multi = ((np.bincount(group, kinds) > 1) | (np.bincount(group, rows[4] == 0) > 0))[group]  # n of a mark is 0
             if branched is not None:
                 multi |= anchor == branched
             done = np.ones(len(anchor), bool) if last else anchor != anchor[-1]
@@ -197,40 +224,48 @@ def _windows(window: int, anchor: int):
             starts, ends, first = T.words(data, offsets)
             hashes = T.span_hashes(data, starts, ends)
             edges, check = T.grams(hashes, window), T.grams(hashes, window, 11)
+            parts = []
             for i in range(block.num_rows):
                 own = _print_of(data[offsets[i] : offsets[i + 1]].tobytes())
                 marks = block.column("__marks")[i].values
                 place, n = (marks.field(k).to_numpy() for k in ("place", "n"))
                 mine = place >> _PLACE_BITS == own
                 at = np.unique(T.ragged(place[mine] & (1 << _PLACE_BITS) - 1, n[mine]))
-                if len(at):
-                    doc = np.full(len(at), block.column("__doc")[i].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(edges[first[i] + at]), _signed(check[first[i] + at]), pa.array(doc), pa.array(own << _PLACE_BITS | at), pa.array(np.ones(len(at), np.int64))],
-                        ["anchor", "piece", "doc", "place", "n"],
-                    )
+                parts.append((first[i] + at, np.full(len(at), block.column("__doc")[i].as_py(), np.int64), own << _PLACE_BITS | at))
+            at, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+            a, p = edges[at], check[at]
+            order = np.lexsort((place, doc, p, a))
+            a, p, doc, place = (c[order] for c in (a, p, doc, place))
+            repeat = doc > _least(a, p, doc)
+            d, x, k = _runs(doc[repeat], place[repeat], np.ones(int(repeat.sum()), np.int64))
+            own, stay = _own_key(d, x), ~repeat
+            columns = [np.concatenate(c) for c in ((a[stay], own), (p[stay], own), (doc[stay], d), (place[stay], x), (np.ones(int(stay.sum()), np.int64), -k))]
+            table = pa.RecordBatch.from_arrays([_signed(c) for c in columns], ["anchor", "piece", "doc", "place", "n"])
+            for i in range(0, table.num_rows, 65536):
+                yield table.slice(i, 65536)
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows in order (edge, check, doc): those that a smaller document has too."""
+    """From windows in order (edge, check, doc): those that a smaller document has too, and those decided (n under 0)."""
     edge = check = first = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, p, doc = (batch.column(k).to_numpy() for k in ("anchor", "piece", "doc"))
+        a, p, doc, place, n = (batch.column(k).to_numpy() for k in ("anchor", "piece", "doc", "place", "n"))
         least = _least(a, p, doc).copy()
         if edge is not None:
             least[(a == edge) & (p == check)] = first
         edge, check, first = a[-1], p[-1], least[-1]
-        yield batch.filter(pa.array(doc > least)).select(["doc", "place", "n"])
+        gone = (doc > least) | (n < 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(place[gone]), pa.array(np.abs(n[gone]))], ["doc", "place", "n"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """Documents (__doc, __text), and the repeated edges of each: doc, place, n consecutive windows."""
     rows = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text"))
-    sent = rows.mapInArrow(_pieces("__doc", "__text", window, anchor), _ROWS)
+    sent = rows.mapInArrow(_pieces("__doc", "__text", window, anchor, SPREAD), _ROWS)
     dealt = sent.repartition("anchor").sortWithinPartitions("anchor", "piece", "doc", "place")
     found = materialize(dealt.mapInArrow(_join_anchors, "doc bigint, place bigint, n bigint, anchor bigint, kind int"), "anchors")
     marks = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("__marks"))

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, with edge cases."""
 
+import collections
 import hashlib
 import math
 import random
@@ -595,9 +596,10 @@ def repeated_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("held", [substrings.HELD, 5])
-def test_substrings_against_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, spread", [(substrings.HELD, substrings.SPREAD), (5, 3), (5, 0)])
+def test_substrings_against_brute_force(spark, monkeypatch, held, spread):
     monkeypatch.setattr(substrings, "HELD", held)
+    monkeypatch.setattr(substrings, "SPREAD", spread)
     rows = repeated_rows(random.Random(3))
     got = substrings.cut(spark.createDataFrame(rows, TEXT).repartition(3)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_cut(rows)
@@ -623,6 +625,25 @@ def test_anchor_stream_with_little_memory():
     assert out(1000, 10**6) == out(7, 10**6) == out(7, 3) == out(1, 1)
 
 
+def test_hot_anchors_are_spread_over_tasks(spark):
+    """Of an anchor that most pieces have, a block sends few rows to the anchor's group, however many there are."""
+    import pyarrow as pa
+
+    def sent(hot, spread):
+        texts = [f"a{i} b{i} c{i} d{i} e{i} {hot} f{i} g{i} h{i} i{i} j{i}" for i in range(1000)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], ["id", "text"])
+        out = pa.Table.from_batches(list(substrings._pieces("id", "text", 13, 5, spread)(iter([batch])))).to_pydict()
+        return texts, max(collections.Counter(out["anchor"]).values()), out["n"].count(0)
+
+    hot = max((f"m{k} n o p q" for k in range(60)), key=lambda h: sent(h, 10**9)[1])  # the least hashed
+    assert sent(hot, 10**9)[1] > 900
+    texts, most, marks = sent(hot, 64)
+    assert most <= 64 and marks == 1
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i] + " end") for i in range(0, 1000, 20)]
+    got = substrings.cut(spark.createDataFrame(rows, TEXT).repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_cut(rows)
+
+
 def test_cut_text_keeps_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = spark.createDataFrame([(1, long + "\nend", "x", 3), (2, "start " + long, "y", 4), (3, None, "z", None)], "doc_id long, text string, lang string, n_chars long")
