@@ -690,3 +690,17 @@ def test_training_on_empty_tables(spark, docs):
     assert quality.score(none, quality.train(none, none.select("doc_id", F.lit(1).alias("quality")))).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(vectors, vectors).count() == 0
+
+
+def test_training_on_awkward_rows(spark, docs):
+    """Null and repeated ids, null and empty texts, null labels and clashing columns neither stop the training nor lose a row."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clash = lambda df: df.withColumns({"label": F.lit("x"), "score": F.lit("y"), "text2": F.lit(None).cast("string")})
+    odd = spark.createDataFrame([(None, "the words of no id", "en"), (1, None, "en"), (1, "", None), (2, "the same id again", "fr"), (2, "the same id again", "fr")], "doc_id long, text string, lang string")
+    rows = clash(docs.select("doc_id", "text", "lang").unionByName(odd))
+    n = rows.count()
+    found = language.predict(rows, language.train(rows)).toPandas()
+    assert len(found) == n and found.score.between(0, 1).all() and (found[found.doc_id.isna()].lang_pred != "").all()
+    taught = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 0), (10**12, 1)], "doc_id long, quality int").withColumn("quality", F.col("quality").cast(labels.schema["quality"].dataType)))
+    scored = quality.score(rows, quality.train(rows, taught.withColumn("text", F.lit("clash")))).toPandas()
+    assert len(scored) == n and scored.score.between(0, 1).all() and set(scored.predicted) <= {0, 1}
