@@ -123,10 +123,9 @@ def table_cue_questions(spark, d):
     docs = read(spark, d, "documents")
     ask = read(spark, d, "benchmark").withColumn("text", F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" and its values"))).otherwise(F.col("text")))
     held = search.tokenised(docs)
-    scores = search.bm25_scores(search.postings(held), search.collection(held), search.query_terms(ask, "item_id", "text"), search.BOOST_TEXT)
     asks = ask.where(search.wants_table(F.col("text"))).select(F.col("item_id").alias("qid"))
     tabled = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("doc"))
-    return search.top(search.should(scores, search.table_clause(scores, asks, tabled)), search.BM25_SIZE)
+    return search.bm25_best(held, search.query_terms(ask, "item_id", "text"), search.BM25_SIZE, search.BOOST_TEXT, [search.tables_clause(asks, tabled)])
 
 
 @query(_HITS + " select qid, bool_or(doc % 5 = 0) as has_tables, array_to_string(coalesce(list(source order by rank) filter (doc % 5 = 0), []), ',') as heads from (select h.*, t.doc from h join (" + TOP.format("bm", 10) + ") t using (qid, rank)) group by qid")

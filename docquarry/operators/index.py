@@ -101,6 +101,6 @@ def bm25(spark: SparkSession, path: str, questions: DataFrame, id_col: str, text
 def phrase(spark: SparkSession, path: str, questions: DataFrame, id_col: str, text_col: str, slop: int = search.SLOP, boost: float = search.BOOST_PHRASE, fold: bool = False, stem: bool = False) -> DataFrame:
     """(qid, doc, score) of documents with a question's terms within `slop` of their order, from stored places."""
     terms = search.query_terms(questions, id_col, text_col, fold, stem)
-    held = postings(spark, path, terms)
+    held = postings(spark, path, terms).select("doc", "term", "dl", F.explode("places").alias("place"))
     asked = search.asked_places(questions, id_col, text_col, fold, stem)
-    return search.phrases(held, asked, collection(spark, path), slop, boost)
+    return search.phrases(held, asked, collection(spark, path), slop, boost).select("qid", "doc", "score")

@@ -121,20 +121,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, make: Callable[[], Em
     """
     held = search.filters(chunks, wanted)
     read = search.tokenised(held, id_col, "chunk_text")
-    stats = search.collection(read)
-    clauses = [
-        search.bm25_scores(search.postings(read), stats, search.query_terms(questions, "qid", "question"), search.BOOST_TEXT),
-        search.phrase_scores(read, stats, questions, "qid", "question"),
-    ]
+    stats, terms = search.collection(read), search.query_terms(questions, "qid", "question")
+    clauses = [(search.counted(read, terms), stats, search.BOOST_TEXT)]
     for field, boost in (("section_header", search.BOOST_HEADER), ("table_caption", search.BOOST_CAPTION)):
         if field in held.columns:
             named = search.tokenised(held, id_col, field)
-            clauses.append(search.bm25_scores(search.postings(named), search.collection(named), search.query_terms(questions, "qid", "question"), boost))
+            clauses.append((search.counted(named, terms), search.collection(named), boost))
+    more = [search.phrase_clause(materialize(search.phrase_scores(read, stats, questions, "qid", "question"), "phrases"))]
     if "has_table" in held.columns:
         asks = questions.where(search.wants_table(F.col("question"))).select("qid")
-        tables = held.where("has_table").select(F.col(id_col).alias("doc"))
-        clauses.append(search.table_clause(search.should(*clauses), asks, tables))
-    words = search.top(search.should(*clauses), search.BM25_SIZE)
+        more.append(search.tables_clause(asks, held.where("has_table").select(F.col(id_col).alias("doc"))))
+    words = search.best(clauses, terms, search.BM25_SIZE, more)
     asked = embed(questions, "question", make).select(F.col("qid").alias("id"), F.col("embedding").alias("v"))
     near = search.nearest(held.select(F.col(id_col).alias("id"), F.col("embedding").alias("v")), asked, search.KNN_SIZE, same=True)
     return search.final(search.rerank(search.fuse(words, near), scorer), k)
