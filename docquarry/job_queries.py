@@ -128,7 +128,7 @@ def _indexed(spark, d) -> str:
 
 @query(SQL["bm25_topk"])
 def indexed_bm25(spark, d):
-    return search.top(index.bm25(spark, _indexed(spark, d), read(spark, d, "benchmark"), "item_id", "text"), 10)
+    return index.best(spark, _indexed(spark, d), read(spark, d, "benchmark"), "item_id", "text", 10)
 
 
 @query(SQL["phrase_slop"])

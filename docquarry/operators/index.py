@@ -1,23 +1,68 @@
 """A stored search index: postings with places by term bucket, in segments that are only ever added.
 
 Layout under a folder, all Parquet:
-  postings/segment=<n>/bucket=<b>   term, doc, dl, tf, places, sorted by term
+  postings/segment=<n>/bucket=<b>   term, docs, tfs, places (of all docs in turn), sorted by term
   documents/segment=<n>             doc, dl, size
 A search reads only the buckets of its terms. A document that is added again, or removed, counts by its
-newest segment; older postings of it are passed over.
+newest segment; older postings of it are passed over. A row is a term in BLOCK_DOCS documents at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_exists
-from . import search
+from ..session import materialize, path_exists
+from . import search, shelves
 
-BUCKETS = 64
+BUCKETS, BLOCK_DOCS = 64, 2_500
 _DOCUMENTS = "segment int, doc bigint, dl bigint, gone boolean"
-_POSTINGS = "segment int, bucket int, term string, doc bigint, dl bigint, tf bigint, places array<int>"
+_BLOCK = "term string, docs array<bigint>, tfs array<int>, places array<int>"
+_POSTINGS = f"segment int, bucket int, {_BLOCK}"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of documents (doc, ts) to blocks: a term's documents and places of BLOCK_DOCS documents in one row."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, BLOCK_DOCS):
+            batch = whole.slice(i, BLOCK_DOCS)
+            ts = batch.column("ts")
+            words = pc.list_flatten(ts).dictionary_encode()
+            if not len(words):
+                continue
+            at, code = pc.list_parent_indices(ts).to_numpy(), words.indices.to_numpy()
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            order = np.argsort(code, kind="stable")  # by term, then document, then place
+            at, code, place = at[order], code[order], place[order]
+            own = np.append(shelves.starts(code, at), len(at))
+            term = shelves.starts(code[own[:-1]])
+            rows, tokens = pa.array([*term, len(own) - 1], pa.int32()), pa.array([*own[term], len(at)], pa.int32())
+            lists = [pa.ListArray.from_arrays(rows, c) for c in (pa.array(batch.column("doc").to_numpy()[at[own[:-1]]]), pa.array(np.diff(own), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[own[term]])), *lists, pa.ListArray.from_arrays(tokens, pa.array(place, pa.int32()))], ["term", "docs", "tfs", "places"])
+
+
+def _opened(places: bool):
+    """Blocks to a row a document, with its places or, without, by their number alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                docs, tf = part.column("docs"), pc.list_flatten(part.column("tfs"))
+                row = pc.list_parent_indices(docs)
+                out = [part.column("segment").take(row), part.column("term").take(row), pc.list_flatten(docs), pc.cast(tf, pa.int64())]
+                names = ["segment", "term", "doc", "tf"]
+                if places:
+                    out.append(pa.ListArray.from_arrays(pa.array([0, *np.cumsum(tf.to_numpy())], pa.int32()), pc.list_flatten(part.column("places"))))
+                    names.append("places")
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -47,10 +92,9 @@ def add(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     n = _next(spark, path)
     rows = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.max(text_col).alias("text"))
     held = search.tokenised(rows, "doc", "text", fold, stem)
-    each = held.select("doc", "dl", F.posexplode("ts").alias("place", "term"))
-    # One document's places of a term meet where the document is, before the shuffle.
-    each = each.groupBy("doc", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    dealt = each.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(4)))
+    # Blocks are made where the documents are, before the one shuffle of postings.
+    each = held.where("dl > 0").select("doc", "ts").mapInArrow(_blocks, _BLOCK)
+    dealt = each.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(4)))
     dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={n}")
     held.select("doc", "dl", F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{path}/documents/segment={n}")
     return n
@@ -74,33 +118,52 @@ def collection(spark: SparkSession, path: str) -> DataFrame:
     return newest(spark, path).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def postings(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(term, doc, tf, dl, places) of the query terms (term): their buckets alone are read.
+def postings(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS, places: bool = True) -> DataFrame:
+    """(segment, term, doc, tf, places) of the query terms (term): their buckets alone are read.
 
-    Postings of documents that a later segment holds or removes are left out by an anti-join with
-    those documents, which are few where few are added again.
+    Segments none of whose documents count any more are not read. Of the others all postings come; those of older
+    versions of a document are passed over in the shards, which learn the newest segments from valid().
     """
     asked = terms.select("term").distinct()
     read = [r.bucket for r in asked.select(bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()]  # a row a bucket
     held = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("bucket").isin(read))
-    held = held.join(asked, "term", "left_semi")
-    every = _documents(spark, path)
-    last = every.groupBy("doc").agg(F.max("segment").alias("last"), F.count("*").alias("times"))
-    stale = every.join(last.where("times > 1"), "doc").where("segment < last").select("doc", "segment")
-    known = last.agg(F.max("last").alias("n")).first().n
-    held = held.where(F.col("segment") <= (known if known is not None else -1))
-    return held.join(stale, ["doc", "segment"], "left_anti").select("term", "doc", "tf", "dl", "places")
+    live = [r.segment for r in newest(spark, path).select("segment").distinct().collect()]  # a row a segment
+    held = held.where(F.col("segment").isin(live)).join(asked, "term", "left_semi")
+    columns = ["segment", "term", "docs", "tfs", *(["places"] if places else [])]
+    return held.select(columns).mapInArrow(_opened(places), "segment int, term string, doc bigint, tf bigint" + (", places array<int>" if places else ""))
+
+
+def valid(spark: SparkSession, path: str, length, shards: int) -> DataFrame:
+    """Shelf rows with the newest segment of each document, and length (a column over dl and avgdl)."""
+    rows = newest(spark, path).crossJoin(F.broadcast(collection(spark, path)))  # one row
+    return shelves.pack(rows.select("doc", F.lit(0).cast("long").alias("tid"), F.col("segment").alias("x"), length.alias("y")), shards, kind=shelves.VALID)
+
+
+def _shards(spark: SparkSession, path: str) -> int:
+    row = collection(spark, path).first()  # one row
+    return shelves.shards_of(row.n * (row.avgdl or 0.0))
 
 
 def bm25(spark: SparkSession, path: str, questions: DataFrame, id_col: str, text_col: str, boost: float = 1.0, fold: bool = False, stem: bool = False) -> DataFrame:
-    """(qid, doc, score) from the stored postings."""
+    """(qid, doc, score) from the stored postings: all scored pairs. best() brings the best alone."""
     terms = search.query_terms(questions, id_col, text_col, fold, stem)
-    return search.bm25_scores(postings(spark, path, terms), collection(spark, path), terms, boost)
+    held = postings(spark, path, terms, places=False).join(newest(spark, path), ["doc", "segment"])
+    return search.bm25_scores(held, collection(spark, path), terms, boost)
+
+
+def best(spark: SparkSession, path: str, questions: DataFrame, id_col: str, text_col: str, k: int, boost: float = 1.0, fold: bool = False, stem: bool = False) -> DataFrame:
+    """(qid, doc, score, rank): the k best documents by bm25(), from shards that questions pass."""
+    terms, n, tid = search.query_terms(questions, id_col, text_col, fold, stem), _shards(spark, path), F.xxhash64("term").alias("tid")
+    entries = postings(spark, path, terms, places=False).select("doc", tid, F.col("tf").alias("x"), F.col("segment").alias("y"))
+    shelf = shelves.pack(entries, n).unionByName(valid(spark, path, shelves.norm(F.col("dl"), F.col("avgdl")), n))
+    shelf = materialize(shelf, "shelf")
+    asks = terms.select("qid", tid).join(shelves.frequencies(shelf, n), "tid").crossJoin(F.broadcast(collection(spark, path)))  # one row
+    return search.top(shelves.best(shelf, asks.select("qid", "tid", (boost * search.idf()).alias("x")), n, k), k)
 
 
 def phrase(spark: SparkSession, path: str, questions: DataFrame, id_col: str, text_col: str, slop: int = search.SLOP, boost: float = search.BOOST_PHRASE, fold: bool = False, stem: bool = False) -> DataFrame:
     """(qid, doc, score) of documents with a question's terms within `slop` of their order, from stored places."""
-    terms = search.query_terms(questions, id_col, text_col, fold, stem)
-    held = postings(spark, path, terms).select("doc", "term", "dl", F.explode("places").alias("place"))
-    asked = search.asked_places(questions, id_col, text_col, fold, stem)
-    return search.phrases(held, asked, collection(spark, path), slop, boost).select("qid", "doc", "score")
+    asked, n = search.asked_places(questions, id_col, text_col, fold, stem), _shards(spark, path)
+    entries = postings(spark, path, asked).select("doc", F.xxhash64("term").alias("tid"), F.explode("places").alias("x"), F.col("segment").alias("y"))
+    shelf = shelves.pack(entries, n).unionByName(valid(spark, path, F.col("dl"), n))
+    return search.phrases_of(shelf, n, asked, collection(spark, path), slop, boost).select("qid", "doc", "score")

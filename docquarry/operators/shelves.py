@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Entries of a shard on average, and entries packed at once by a task.
 SHARD_ENTRIES, PACK_ENTRIES = 2_000_000, 400_000
 K1, B = 1.2, 0.75
 #: Stands for a null id inside a shard.
 NO_ID = -(1 << 63)
+#: Kinds of a shard's rows, in the order in which they come.
+VALID, ENTRY, ASK = 0, 1, 2
 _ROW = "shard bigint, ids array<bigint>, tids array<bigint>, xs array<double>, ys array<double>"
 _NAMES = ["shard", "ids", "tids", "xs", "ys"]
 
@@ -37,7 +41,7 @@ def norm(length: Column, mean: Column) -> Column:
     return K1 * (1 - B + B * length / mean)
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
+def starts(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal rows start."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
@@ -55,9 +59,9 @@ def _pack(shards: int, add: bool):
         order = np.lexsort((ids, tids, shard))
         shard, ids, tids, xs, ys = (c[order] for c in (shard, ids, tids, xs, ys))
         if add:
-            new = _starts(ids, tids)
+            new = starts(ids, tids)
             shard, ids, tids, xs, ys = shard[new], ids[new], tids[new], np.add.reduceat(xs, new), ys[new]
-        rows = _starts(shard)
+        rows = starts(shard)
         ends = pa.array([*rows, len(shard)], pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(shard[rows]), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in (ids, tids, xs, ys))], _NAMES)
 
@@ -77,10 +81,23 @@ def _pack(shards: int, add: bool):
     return run
 
 
-def pack(entries: DataFrame, shards: int, add: bool = False) -> DataFrame:
-    """A shelf of entries (doc, tid, x, y). With add, entries of a document's term add up."""
+def pack(entries: DataFrame, shards: int, add: bool = False, kind: int = ENTRY) -> DataFrame:
+    """A shelf of entries (doc, tid, x, y). With add, entries of a document's term add up.
+
+    A shelf may also hold rows of the kind VALID, with a document's version as x and its length or norm as
+    y: entries then have the version as y, those of other versions are passed over, and y comes from here.
+    """
     e = entries.select(known("doc").alias("doc"), "tid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return e.mapInArrow(_pack(shards, add), _ROW)
+    return e.mapInArrow(_pack(shards, add), _ROW).withColumn("kind", F.lit(kind))
+
+
+def _valid(valid: list[tuple[np.ndarray, ...]], ids: np.ndarray, tids: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, ...]:
+    docs, _, version, y = (np.concatenate(c) for c in zip(*valid, strict=True))
+    order = np.argsort(docs, kind="stable")
+    docs, version, y = docs[order], version[order], y[order]
+    at = np.minimum(np.searchsorted(docs, ids), len(docs) - 1)
+    keep = (docs[at] == ids) & (version[at] == ys)
+    return ids[keep], tids[keep], xs[keep], y[at[keep]]
 
 
 class Sums:
@@ -90,10 +107,10 @@ class Sums:
         self.docs, at = np.unique(ids, return_inverse=True)
         order = np.lexsort((at, tids))
         at, tids, xs, ys = at[order], tids[order], xs[order], ys[order]
-        new = _starts(tids, at)
+        new = starts(tids, at)
         tf = np.add.reduceat(xs, new) if len(new) else xs
         self.at, self.gain, tids = at[new], tf * (K1 + 1) / (tf + ys[new]), tids[new]
-        self.first = np.append(_starts(tids), len(tids))
+        self.first = np.append(starts(tids), len(tids))
         self.terms = tids[self.first[:-1]]
 
     def best(self, k: int) -> Callable[[int, np.ndarray, np.ndarray], Iterator[tuple]]:
@@ -122,12 +139,21 @@ class Places:
         self.length = ys[first]
         order = np.lexsort((xs, at, tids))
         tids, self.at, self.place = tids[order], at[order], xs[order].astype(np.int64)
-        self.first = np.append(_starts(tids), len(tids))
+        self.first = np.append(starts(tids), len(tids))
         self.terms = tids[self.first[:-1]]
 
+    def counts(self) -> Iterator[tuple]:
+        """How many documents hold each term, as rows without a question."""
+        for t, a, b in zip(self.terms, self.first[:-1], self.first[1:], strict=True):
+            yield None, int(t), len(starts(self.at[a:b])), 0
+
     def matches(self, slop: int) -> Callable[[int, np.ndarray, np.ndarray], Iterator[tuple]]:
+        first = list(self.counts())
+
         def find(qid: int, tids: np.ndarray, qpos: np.ndarray) -> Iterator[tuple]:
             """Windows of slop + 1 shifts (place minus place in the question) with all places of the question."""
+            yield from first
+            first.clear()
             i = np.searchsorted(self.terms, tids)
             if (i >= len(self.terms)).any() or (self.terms[i] != tids).any():
                 return
@@ -144,8 +170,8 @@ class Places:
             keys = []
             for j, q in zip(i, qpos.astype(np.int64), strict=True):
                 at, place = held[int(j)]
-                starts = (place - q)[:, None] - np.arange(slop + 1) - low
-                keys.append(np.unique(at[:, None] * span + starts))
+                windows = (place - q)[:, None] - np.arange(slop + 1) - low
+                keys.append(np.unique(at[:, None] * span + windows))
             key, got = np.unique(np.concatenate(keys), return_counts=True)
             at, n = np.unique(key[got == len(qpos)] // span, return_counts=True)
             for d, c in zip(at, n, strict=True):
@@ -167,20 +193,22 @@ def _stream(build: Callable, find: Callable, kinds: dict[str, pa.DataType]):
     """Shards come sorted, entries before questions; one shard is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, own = None, [], None
+        shard, parts, own = None, {}, None
         for batch in batches:
-            key, ask, out = batch.column("shard").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False), []
+            key, kind, out = batch.column("shard").to_numpy(), batch.column("kind").to_numpy(), []
             for r in range(len(key)):
                 if key[r] != shard:
-                    shard, parts, own = key[r], [], None
-                if not ask[r]:
-                    parts.append(tuple(np.array(_values(batch, c, r)) for c in _NAMES[1:]))
+                    shard, parts, own = key[r], {VALID: [], ENTRY: []}, None
+                if kind[r] != ASK:
+                    parts[kind[r]].append(tuple(np.array(_values(batch, c, r)) for c in _NAMES[1:]))
                     continue
                 if own is None:
-                    if not parts:
+                    if not parts[ENTRY]:
                         continue
-                    whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                    parts, own = [], find(build(*whole))
+                    whole = [np.concatenate(c) for c in zip(*parts[ENTRY], strict=True)]
+                    if parts[VALID]:
+                        whole = _valid(parts[VALID], *whole)
+                    parts, own = {VALID: [], ENTRY: []}, find(build(*whole))
                     del whole
                 out.extend(own(int(_values(batch, "ids", r)[0]), _values(batch, "tids", r), _values(batch, "xs", r)))
             if out:
@@ -193,10 +221,10 @@ def _pass(shelf: DataFrame, asks: DataFrame, shards: int, build: Callable, find:
     """Questions (qid, tid, x) past every shard of a shelf."""
     own = asks.groupBy(known("qid").alias("qid")).agg(F.collect_list(F.struct("tid", F.col("x").cast("double").alias("x"))).alias("a"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    ask = own.select(each, F.lit(True).alias("ask"), F.array("qid").alias("ids"), F.col("a.tid").alias("tids"), F.col("a.x").alias("xs"), F.array().cast("array<double>").alias("ys"))
-    both = shelf.withColumn("ask", F.lit(False)).select(ask.columns).unionByName(ask)
+    ask = own.select(each, F.lit(ASK).alias("kind"), F.array("qid").alias("ids"), F.col("a.tid").alias("tids"), F.col("a.x").alias("xs"), F.array().cast("array<double>").alias("ys"))
+    both = shelf.select(ask.columns).unionByName(ask)
     ddl = ", ".join(f"{c} {'double' if t == pa.float64() else 'bigint'}" for c, t in kinds.items())
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "ask")
+    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     return dealt.mapInArrow(_stream(build, find, kinds), ddl)
 
 
@@ -222,7 +250,12 @@ def best(shelf: DataFrame, asks: DataFrame, shards: int, k: int) -> DataFrame:
     return found.select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("qid", "doc")], "score")
 
 
-def matches(shelf: DataFrame, asks: DataFrame, shards: int, slop: int) -> DataFrame:
-    """(qid, doc, tf, dl): documents with all terms of a question (qid, tid, x: place) within slop of their order."""
-    found = _pass(shelf, asks, shards, Places, lambda own: own.matches(slop), _MATCHES)
-    return found.select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("qid", "doc")], "tf", "dl")
+def matches(shelf: DataFrame, asks: DataFrame, shards: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """(qid, doc, tf, dl): documents with all terms of a question (qid, tid, x: place) within slop of their order.
+
+    And (tid, df), how many documents hold a term: both come from one pass, which is run once.
+    """
+    found = materialize(_pass(shelf, asks, shards, Places, lambda own: own.matches(slop), _MATCHES), "matches")
+    df = found.where("qid is null").groupBy(F.col("doc").alias("tid")).agg(F.sum("tf").alias("df"))
+    hits = found.where("qid is not null")
+    return hits.select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("qid", "doc")], "tf", "dl"), df

@@ -4,6 +4,7 @@ import os
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +343,26 @@ def test_null_prompts_are_not_sent(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "qid long, p string")
     got = {r.qid: (r.said, r.said_error) for r in answering.generate(rows, "p", "said", lambda: lambda texts: [texts[0] + "!"]).collect()}
     assert got == {1: ("a!", None), 2: (None, None), 3: ("!", None)}
+
+
+def test_index_keeps_a_frequent_term_in_few_rows_and_cuts_blocks(spark, tmp_path, monkeypatch):
+    docs = spark.range(120).selectExpr("id as doc_id", "concat('the w', id % 7, ' the') as text").unionByName(spark.createDataFrame([(200, None), (201, "")], "doc_id long, text string"))
+    path, ask = str(tmp_path / "index"), spark.createDataFrame([(0, "the w3"), (1, "w5 the")], "qid long, question string")
+    index.add(docs, path)
+    assert spark.read.parquet(f"{path}/postings").where("term = 'the'").count() < 30  # not a row a document
+    index.add(docs.where("doc_id % 3 = 0").selectExpr("doc_id", "concat(text, ' w3') as text"), path)
+    now = docs.selectExpr("doc_id", "case when doc_id % 3 = 0 then concat(text, ' w3') else text end as text")
+    held, terms = search.tokenised(now), search.query_terms(ask, "qid", "question")
+    rows = lambda df: sorted((r.qid, r.doc, round(r.score, 6)) for r in df.collect())
+    assert rows(index.best(spark, path, ask, "qid", "question", 9)) == rows(search.bm25_best(held, terms, 9))
+    got = rows(index.phrase(spark, path, ask, "qid", "question"))
+    assert got and got == rows(search.phrase_scores(held, search.collection(held), ask, "qid", "question"))
+
+
+def test_blocks_of_few_documents_open_to_the_same_postings(monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_DOCS", 2)
+    ts = pa.array([["a", "b", "a"], None, ["b"], [], ["a", "c"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), ts], ["doc", "ts"])
+    blocks = [b.append_column("segment", pa.array([0] * b.num_rows, pa.int32())) for b in index._blocks(iter([batch]))]
+    found = [r for b in index._opened(True)(iter(blocks)) for r in b.to_pylist()]
+    assert sorted((r["doc"], r["term"], r["tf"], r["places"]) for r in found) == [(1, "a", 2, [0, 2]), (1, "b", 1, [1]), (3, "b", 1, [0]), (5, "a", 1, [0]), (5, "c", 1, [1])]
