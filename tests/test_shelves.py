@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import queries
 from docquarry.operators import search, shelves
 
 WORDS = [f"w{i}" for i in range(30)] + ["the"] * 15
@@ -69,3 +70,9 @@ def test_phrases_equal_windows_by_hand(monkeypatch, tables, entries):
     held = search.tokenised(docs)
     got = search.phrase_scores(held, search.collection(held), ask, "qid", "question").select("qid", "doc", "tf").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_neighbour_blocks_stay_small_and_pairs_search_once(spark):
+    assert search.SHARD_ROWS * search.QUERY_ROWS * 8 <= 16 << 20  # bytes of a block of scores
+    plan = queries.QUERIES["pair_statistics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
