@@ -153,7 +153,8 @@ def answer(questions: DataFrame, hits: DataFrame, make: Callable[[], answering.G
         questions = questions.withColumn("__told", F.col("question"))
     context = answering.pack_context(hits)
     hint = answering.table_hint(hits) if "table_header" in hits.columns else hits.select("qid").distinct().select("qid", F.lit(False).alias("has_tables"))
-    rows = questions.join(context, "qid", "left").join(hint, "qid", "left")
+    # One row a question: contexts are packed once, whatever the number of steps that read them.
+    rows = materialize(questions.join(context, "qid", "left").join(hint, "qid", "left"), "asked")
     found, none = rows.where("context is not null"), rows.where("context is null")
     said = F.when(F.coalesce("has_tables", F.lit(False)), "Some sources are tables; keep their rows and columns.").otherwise("")
     kinds = found.withColumn("__p", answering.prompt("type", question=F.col("question")))

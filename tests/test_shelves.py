@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry import queries
+from docquarry import queries, stand_ins
 from docquarry.operators import search, shelves
+from docquarry.plans import retrieval
 
 WORDS = [f"w{i}" for i in range(30)] + ["the"] * 15
 
@@ -76,3 +77,11 @@ def test_neighbour_blocks_stay_small_and_pairs_search_once(spark):
     assert search.SHARD_ROWS * search.QUERY_ROWS * 8 <= 16 << 20  # bytes of a block of scores
     plan = queries.QUERIES["pair_statistics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_answers_pack_their_contexts_once(spark):
+    ask = spark.createDataFrame([(1, "[[0]] what is it?")], "qid long, question string")
+    hits = spark.createDataFrame([(1, 1, "It is.", "f", 1, False)], "qid long, rank int, chunk_text string, file_name string, page_number int, has_table boolean")
+    done = retrieval.answer(ask, hits, stand_ins.replies)
+    assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [r.answer for r in done.collect()] == ["The term is known."]
