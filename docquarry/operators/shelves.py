@@ -2,9 +2,10 @@
 
 An entry (doc, tid, x, y) is one term of one document: for sums x is the term's count and y the
 document's length norm, for phrases x is the term's place and y the document's length. Entries travel
-packed, many in a row of arrays; a shard is held whole, questions pass it one by one and bring only
-their best documents (or matches) back. So what is shuffled grows with the texts, not with documents
-times questions, and memory is bounded by SHARD_ENTRIES. Terms go by 64-bit hashes of themselves.
+packed, many in a row of arrays that names each document and each term once; a shard is held whole,
+questions pass it one by one and bring only their best documents (or matches) back. So what is shuffled
+grows with the texts, not with documents times questions, and memory is bounded by SHARD_ENTRIES. Terms
+go by 64-bit hashes of themselves.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Entries of a shard on average, and entries packed at once by a task.
-SHARD_ENTRIES, PACK_ENTRIES = 2_000_000, 400_000
+SHARD_ENTRIES, PACK_ENTRIES = 2_000_000, 1_000_000
 K1, B = 1.2, 0.75
 #: Stands for a null id inside a shard.
 NO_ID = -(1 << 63)
 #: Kinds of a shard's rows, in the order in which they come.
 VALID, ENTRY, ASK = 0, 1, 2
-_ROW = "shard bigint, ids array<bigint>, tids array<bigint>, xs array<double>, ys array<double>"
-_NAMES = ["shard", "ids", "tids", "xs", "ys"]
+#: Documents (ids, ys), terms (tids) with their numbers of entries (ns), and of each entry its document's place in ids (at)
+#: and x, as unsigned integers as wide as the row's largest.
+_ROW = "shard bigint, ids array<bigint>, ys array<double>, tids array<bigint>, ns array<int>, at binary, xs binary"
+_NAMES = ["shard", "ids", "ys", "tids", "ns", "at", "xs"]
 
 
 def shards_of(entries: int | None) -> int:
@@ -50,6 +53,10 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _narrow(whole: np.ndarray) -> bytes:
+    return whole.astype(np.min_scalar_type(whole.max())).tobytes()
+
+
 def _pack(shards: int, add: bool):
     """Entries to rows of arrays, one a shard and PACK_ENTRIES entries; with add, counts of a document's term are summed."""
 
@@ -61,16 +68,25 @@ def _pack(shards: int, add: bool):
         if add:
             new = starts(ids, tids)
             shard, ids, tids, xs, ys = shard[new], ids[new], tids[new], np.add.reduceat(xs, new), ys[new]
-        rows = starts(shard)
-        ends = pa.array([*rows, len(shard)], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(shard[rows]), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in (ids, tids, xs, ys))], _NAMES)
+        rows, terms = starts(shard), starts(shard, tids)
+        by = np.lexsort((ys, ids, shard))
+        docs = starts(shard[by], ids[by], ys[by])
+        at = np.empty(len(by), np.int64)
+        at[by] = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(by))))
+        docs = by[docs]
+        first = np.searchsorted(shard[docs], shard[rows])
+        at -= np.repeat(first, np.diff(np.append(rows, len(shard))))
+        lists = [(pa.array([*first, len(docs)], pa.int32()), (ids[docs], ys[docs]))]
+        lists += [(pa.array([*np.searchsorted(terms, rows), len(terms)], pa.int32()), (tids[terms], np.diff(np.append(terms, len(shard))).astype(np.int32)))]
+        narrow = [pa.array([_narrow(c) for c in np.split(column, rows[1:])], pa.binary()) for column in (at, xs)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[rows]), *(pa.ListArray.from_arrays(ends, pa.array(c)) for ends, own in lists for c in own), *narrow], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             if batch.num_rows:
                 # Copies, so that no batch is kept.
-                parts.append(tuple(np.array(batch.column(i), t) for i, t in enumerate((np.int64, np.int64, np.float64, np.float64))))
+                parts.append(tuple(np.array(batch.column(i), t) for i, t in enumerate((np.int64, np.int64, np.int64, np.float64))))
                 held += batch.num_rows
             if held >= PACK_ENTRIES:
                 yield cut(parts)
@@ -82,15 +98,25 @@ def _pack(shards: int, add: bool):
 
 
 def pack(entries: DataFrame, shards: int, add: bool = False, kind: int = ENTRY) -> DataFrame:
-    """A shelf of entries (doc, tid, x, y). With add, entries of a document's term add up.
+    """A shelf of entries (doc, tid, x, y); x is a whole number, 0 or more. With add, entries of a document's term add up.
 
     A shelf may also hold rows of the kind VALID, with a document's version as x and its length or norm as
     y: entries then have the version as y, those of other versions are passed over, and y comes from here.
     """
-    e = entries.select(known("doc").alias("doc"), "tid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    e = entries.select(known("doc").alias("doc"), "tid", F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y"))
     return e.mapInArrow(_pack(shards, add), _ROW).withColumn("kind", F.lit(kind))
 
 
+def joined(shelf: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """A written shelf, and in how many shards, with neighbouring shards joined up to SHARD_ENTRIES.
+
+    Shards are dealt before it is known how few entries the questions' terms have and how many add up.
+    """
+    held = shelf.agg(F.sum(F.aggregate("ns", F.lit(0), lambda a, b: a + b)).alias("n")).first().n  # one row
+    each = min(shards, max(1, SHARD_ENTRIES * shards // max(1, held or 0)))
+    return shelf.withColumn("shard", F.floor(F.col("shard") / each)), -(-shards // each)
+
+
 def _valid(valid: list[tuple[np.ndarray, ...]], ids: np.ndarray, tids: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, ...]:
     docs, _, version, y = (np.concatenate(c) for c in zip(*valid, strict=True))
     order = np.argsort(docs, kind="stable")
@@ -189,6 +215,14 @@ def _values(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy()
 
 
+def _entries(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
+    """(ids, tids, xs, ys) of a packed row, as copies, so that no batch is kept."""
+    ids, ys, tids, ns = (_values(batch, c, row) for c in _NAMES[1:5])
+    n = int(ns.sum())
+    at, xs = (np.frombuffer(own, f"u{len(own) // n}") for own in (batch.column(c)[row].as_py() for c in _NAMES[5:]))
+    return ids[at], np.repeat(tids, ns), xs.astype(np.float64), ys[at]
+
+
 def _stream(build: Callable, find: Callable, kinds: dict[str, pa.DataType]):
     """Shards come sorted, entries before questions; one shard is held at a time."""
 
@@ -200,7 +234,7 @@ def _stream(build: Callable, find: Callable, kinds: dict[str, pa.DataType]):
                 if key[r] != shard:
                     shard, parts, own = key[r], {VALID: [], ENTRY: []}, None
                 if kind[r] != ASK:
-                    parts[kind[r]].append(tuple(np.array(_values(batch, c, r)) for c in _NAMES[1:]))
+                    parts[kind[r]].append(_entries(batch, r))
                     continue
                 if own is None:
                     if not parts[ENTRY]:
@@ -210,7 +244,7 @@ def _stream(build: Callable, find: Callable, kinds: dict[str, pa.DataType]):
                         whole = _valid(parts[VALID], *whole)
                     parts, own = {VALID: [], ENTRY: []}, find(build(*whole))
                     del whole
-                out.extend(own(int(_values(batch, "ids", r)[0]), _values(batch, "tids", r), _values(batch, "xs", r)))
+                out.extend(own(int(_values(batch, "ids", r)[0]), _values(batch, "tids", r), _values(batch, "ys", r)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
@@ -221,7 +255,8 @@ def _pass(shelf: DataFrame, asks: DataFrame, shards: int, build: Callable, find:
     """Questions (qid, tid, x) past every shard of a shelf."""
     own = asks.groupBy(known("qid").alias("qid")).agg(F.collect_list(F.struct("tid", F.col("x").cast("double").alias("x"))).alias("a"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    ask = own.select(each, F.lit(ASK).alias("kind"), F.array("qid").alias("ids"), F.col("a.tid").alias("tids"), F.col("a.x").alias("xs"), F.array().cast("array<double>").alias("ys"))
+    none = [F.array().cast("array<int>").alias("ns"), *[F.lit(b"").alias(c) for c in _NAMES[5:]]]
+    ask = own.select(each, F.lit(ASK).alias("kind"), F.array("qid").alias("ids"), F.col("a.x").alias("ys"), F.col("a.tid").alias("tids"), *none)
     both = shelf.select(ask.columns).unionByName(ask)
     ddl = ", ".join(f"{c} {'double' if t == pa.float64() else 'bigint'}" for c, t in kinds.items())
     dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")

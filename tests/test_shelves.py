@@ -85,3 +85,40 @@ def test_answers_pack_their_contexts_once(spark):
     done = retrieval.answer(ask, hits, stand_ins.replies)
     assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
     assert [r.answer for r in done.collect()] == ["The term is known."]
+
+
+def test_a_packed_entry_stays_small_however_many_shards(tables):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    docs, terms = np.divmod(np.arange(60_000), 100)  # 600 documents of 100 terms
+    y = rnd.random(600)[docs]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs), pa.array(terms * 7919), pa.array(rnd.integers(1, 9, 60_000)), pa.array(y)], ["doc", "tid", "x", "y"])
+    for shards in (1, 8, 40):
+        (made,) = shelves._pack(shards, False)(iter([batch]))
+        assert made.num_rows == shards
+        assert made.nbytes <= 5 * 60_000  # 32 bytes an entry before
+        got = np.concatenate([np.stack(shelves._entries(made, r)) for r in range(shards)], axis=1)
+        want = np.stack([docs, terms * 7919, batch.column("x").to_numpy(), y])
+        assert (got[:, np.lexsort(got[:2])] == want[:, np.lexsort(want[:2])]).all()
+
+
+def test_an_entry_keeps_its_number_however_wide(spark):
+    rows = [(1, 5, 0, 0.5), (1, 5, 255, 0.5), (1, 6, 256, 2.5), (2, 5, 70_000, None), (None, 9, 1 << 33, float("nan"))]
+    shelf = shelves.pack(spark.createDataFrame(rows, "doc long, tid long, x long, y double").coalesce(1), 1).drop("kind").toArrow().combine_chunks()
+    ids, tids, xs, ys = shelves._entries(shelf.to_batches()[0], 0)
+    got = sorted(zip(ids, tids, xs, map(str, ys), strict=True))
+    assert got == [(shelves.NO_ID, 9, 1 << 33, "nan"), (1, 5, 0, "0.5"), (1, 5, 255, "0.5"), (1, 6, 256, "2.5"), (2, 5, 70_000, "nan")]
+
+
+def test_shards_follow_entries_that_questions_need(monkeypatch, spark):
+    monkeypatch.setattr(shelves, "SHARD_ENTRIES", 100)
+    docs = spark.createDataFrame([(i, "w1 w1 w2 " + "other " * 50) for i in range(60)], "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "w1"), (2, "w2 w1")], "qid long, question string")
+    used, best = [], shelves.best
+    monkeypatch.setattr(shelves, "best", lambda shelf, asks, shards, k: used.append(shards) or best(shelf, asks, shards, k))
+    held, terms = search.tokenised(docs), search.query_terms(ask, "qid", "question")
+    got = search.bm25_best(held, terms, 70)
+    assert used[0] <= 4  # 120 entries; by tokens, as before, 32
+    assert rows(got) == rows(search.top(search.bm25_scores(search.postings(held), search.collection(held), terms), 70).select("qid", "doc", "score", "rank"))
