@@ -5,7 +5,7 @@ document's length norm, for phrases x is the term's place and y the document's l
 packed, many in a row of arrays that names each document and each term once; a shard is held whole,
 questions pass it one by one and bring only their best documents (or matches) back. So what is shuffled
 grows with the texts, not with documents times questions, and memory is bounded by SHARD_ENTRIES. Terms
-go by 64-bit hashes of themselves.
+go by numbers or by 64-bit hashes of themselves; rows of small numbers are smaller.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ NO_ID = -(1 << 63)
 #: Kinds of a shard's rows, in the order in which they come.
 VALID, ENTRY, ASK = 0, 1, 2
 #: Documents (ids, ys), terms (tids) with their numbers of entries (ns), and of each entry its document's place in ids (at)
-#: and x, as unsigned integers as wide as the row's largest.
-_ROW = "shard bigint, ids array<bigint>, ys array<double>, tids array<bigint>, ns array<int>, at binary, xs binary"
-_NAMES = ["shard", "ids", "ys", "tids", "ns", "at", "xs"]
+#: and x; how many terms and entries. Binary columns are unsigned integers as wide as the row's largest.
+_ROW = "shard bigint, ids array<bigint>, ys array<double>, terms int, entries int, tids binary, ns binary, at binary, xs binary"
+_NAMES = ["shard", "ids", "ys", "terms", "entries", "tids", "ns", "at", "xs"]
 
 
 def shards_of(entries: int | None) -> int:
@@ -54,9 +54,14 @@ def starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _narrow(whole: np.ndarray) -> bytes:
+    whole = whole.view(np.uint64)
     return whole.astype(np.min_scalar_type(whole.max())).tobytes()
 
 
+def _wide(own: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(own, f"u{len(own) // n}").astype(np.int64)
+
+
 def _pack(shards: int, add: bool):
     """Entries to rows of arrays, one a shard and PACK_ENTRIES entries; with add, counts of a document's term are summed."""
 
@@ -74,12 +79,13 @@ def _pack(shards: int, add: bool):
         at = np.empty(len(by), np.int64)
         at[by] = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(by))))
         docs = by[docs]
-        first = np.searchsorted(shard[docs], shard[rows])
+        first, own = np.searchsorted(shard[docs], shard[rows]), np.searchsorted(terms, rows)
         at -= np.repeat(first, np.diff(np.append(rows, len(shard))))
-        lists = [(pa.array([*first, len(docs)], pa.int32()), (ids[docs], ys[docs]))]
-        lists += [(pa.array([*np.searchsorted(terms, rows), len(terms)], pa.int32()), (tids[terms], np.diff(np.append(terms, len(shard))).astype(np.int32)))]
-        narrow = [pa.array([_narrow(c) for c in np.split(column, rows[1:])], pa.binary()) for column in (at, xs)]
-        return pa.RecordBatch.from_arrays([pa.array(shard[rows]), *(pa.ListArray.from_arrays(ends, pa.array(c)) for ends, own in lists for c in own), *narrow], _NAMES)
+        ends = pa.array([*first, len(docs)], pa.int32())
+        held = [pa.array(shard[rows]), *(pa.ListArray.from_arrays(ends, pa.array(c[docs])) for c in (ids, ys)), *(pa.array(np.diff(c), pa.int32()) for c in ([*own, len(terms)], [*rows, len(shard)]))]
+        ns = np.diff(np.append(terms, len(shard)))
+        narrow = [pa.array([_narrow(c) for c in np.split(column, cuts[1:])], pa.binary()) for column, cuts in ((tids[terms], own), (ns, own), (at, rows), (xs, rows))]
+        return pa.RecordBatch.from_arrays([*held, *narrow], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -112,7 +118,7 @@ def joined(shelf: DataFrame, shards: int) -> tuple[DataFrame, int]:
 
     Shards are dealt before it is known how few entries the questions' terms have and how many add up.
     """
-    held = shelf.agg(F.sum(F.aggregate("ns", F.lit(0), lambda a, b: a + b)).alias("n")).first().n  # one row
+    held = shelf.agg(F.sum("entries").alias("n")).first().n  # one row
     each = min(shards, max(1, SHARD_ENTRIES * shards // max(1, held or 0)))
     return shelf.withColumn("shard", F.floor(F.col("shard") / each)), -(-shards // each)
 
@@ -217,9 +223,9 @@ def _values(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
 
 def _entries(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
     """(ids, tids, xs, ys) of a packed row, as copies, so that no batch is kept."""
-    ids, ys, tids, ns = (_values(batch, c, row) for c in _NAMES[1:5])
-    n = int(ns.sum())
-    at, xs = (np.frombuffer(own, f"u{len(own) // n}") for own in (batch.column(c)[row].as_py() for c in _NAMES[5:]))
+    ids, ys = _values(batch, "ids", row), _values(batch, "ys", row)
+    terms, entries, *narrow = (batch.column(c)[row].as_py() for c in _NAMES[3:])
+    tids, ns, at, xs = (_wide(own, n) for own, n in zip(narrow, (terms, terms, entries, entries), strict=True))
     return ids[at], np.repeat(tids, ns), xs.astype(np.float64), ys[at]
 
 
@@ -244,7 +250,8 @@ def _stream(build: Callable, find: Callable, kinds: dict[str, pa.DataType]):
                         whole = _valid(parts[VALID], *whole)
                     parts, own = {VALID: [], ENTRY: []}, find(build(*whole))
                     del whole
-                out.extend(own(int(_values(batch, "ids", r)[0]), _values(batch, "tids", r), _values(batch, "ys", r)))
+                ids = _values(batch, "ids", r)
+                out.extend(own(int(ids[0]), ids[1:], _values(batch, "ys", r)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
@@ -255,8 +262,8 @@ def _pass(shelf: DataFrame, asks: DataFrame, shards: int, build: Callable, find:
     """Questions (qid, tid, x) past every shard of a shelf."""
     own = asks.groupBy(known("qid").alias("qid")).agg(F.collect_list(F.struct("tid", F.col("x").cast("double").alias("x"))).alias("a"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    none = [F.array().cast("array<int>").alias("ns"), *[F.lit(b"").alias(c) for c in _NAMES[5:]]]
-    ask = own.select(each, F.lit(ASK).alias("kind"), F.array("qid").alias("ids"), F.col("a.x").alias("ys"), F.col("a.tid").alias("tids"), *none)
+    none = [F.lit(0).alias("terms"), F.lit(0).alias("entries"), *[F.lit(b"").alias(c) for c in _NAMES[5:]]]
+    ask = own.select(each, F.lit(ASK).alias("kind"), F.concat(F.array("qid"), "a.tid").alias("ids"), F.col("a.x").alias("ys"), *none)
     both = shelf.select(ask.columns).unionByName(ask)
     ddl = ", ".join(f"{c} {'double' if t == pa.float64() else 'bigint'}" for c, t in kinds.items())
     dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")

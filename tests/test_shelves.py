@@ -122,3 +122,9 @@ def test_shards_follow_entries_that_questions_need(monkeypatch, spark):
     got = search.bm25_best(held, terms, 70)
     assert used[0] <= 4  # 120 entries; by tokens, as before, 32
     assert rows(got) == rows(search.top(search.bm25_scores(search.postings(held), search.collection(held), terms), 70).select("qid", "doc", "score", "rank"))
+
+
+def test_terms_have_small_numbers_of_their_own(spark):
+    terms = spark.createDataFrame([(q, f"w{i}") for i in range(500) for q in (1, 2)], "qid long, term string")
+    got = [r.number for r in search.numbered(terms).select("number").collect()]
+    assert len(got) == 500 == len(set(got)) and min(got) >= 1 and max(got) < 1 << 16  # two bytes of a packed row, a hash takes eight
