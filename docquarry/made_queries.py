@@ -122,7 +122,7 @@ def table_cue_questions(spark, d):
     """Every second question asks for values; every seventh document counts as a table."""
     docs = read(spark, d, "documents")
     ask = read(spark, d, "benchmark").withColumn("text", F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" and its values"))).otherwise(F.col("text")))
-    held = search.tokenised(docs)
+    held = search.analysed(docs)
     asks = ask.where(search.wants_table(F.col("text"))).select(F.col("item_id").alias("qid"))
     tabled = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("doc"))
     return search.bm25_best(held, search.query_terms(ask, "item_id", "text"), search.BM25_SIZE, search.BOOST_TEXT, [search.tables_clause(asks, tabled)])

@@ -128,3 +128,20 @@ def test_terms_have_small_numbers_of_their_own(spark):
     terms = spark.createDataFrame([(q, f"w{i}") for i in range(500) for q in (1, 2)], "qid long, term string")
     got = [r.number for r in search.numbered(terms).select("number").collect()]
     assert len(got) == 500 == len(set(got)) and min(got) >= 1 and max(got) < 1 << 16  # two bytes of a packed row, a hash takes eight
+
+
+@pytest.mark.parametrize("name", ["table_hints"])
+def test_tokens_of_the_texts_are_not_written(monkeypatch, spark, name):
+    written, real = [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, step="step": written.append((step, real(df, step))) or written[-1][1])
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert "ts" not in {c for _, df in written for c in df.columns}  # more bytes than the texts
+    assert sorted(step for step, _ in written) == ["best", "shelf", "terms"]
+
+
+def test_texts_read_anew_give_the_same_best(tables):
+    docs, ask = tables
+    terms = search.query_terms(ask, "qid", "question")
+    got, want = (rows(search.bm25_best(of(docs), terms, 5).select("qid", "doc", "score", "rank")) for of in (search.analysed, search.tokenised))
+    assert got and got == want
+    assert not search.bm25_best(search.analysed(docs.where("doc_id < 0")), terms, 5).count()  # no row: the mean length is null
