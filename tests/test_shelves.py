@@ -130,7 +130,7 @@ def test_terms_have_small_numbers_of_their_own(spark):
     assert len(got) == 500 == len(set(got)) and min(got) >= 1 and max(got) < 1 << 16  # two bytes of a packed row, a hash takes eight
 
 
-@pytest.mark.parametrize("name", ["table_hints"])
+@pytest.mark.parametrize("name", ["table_hints", "context_pack_topk"])
 def test_tokens_of_the_texts_are_not_written(monkeypatch, spark, name):
     written, real = [], search.materialize
     monkeypatch.setattr(search, "materialize", lambda df, step="step": written.append((step, real(df, step))) or written[-1][1])
