@@ -62,12 +62,16 @@ def _wide(own: bytes, n: int) -> np.ndarray:
     return np.frombuffer(own, f"u{len(own) // n}").astype(np.int64)
 
 
-def _pack(shards: int, add: bool):
-    """Entries to rows of arrays, one a shard and PACK_ENTRIES entries; with add, counts of a document's term are summed."""
+def _pack(shards: int, add: bool, block: int = 1):
+    """Entries to rows of arrays, one a shard and PACK_ENTRIES entries; with add, counts of a document's term are summed.
+
+    Each block of ids goes to one shard. A table in the order of its ids then has few shards among PACK_ENTRIES
+    entries, so rows stay long and rarely repeat a term, however many shards there are.
+    """
 
     def cut(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         ids, tids, xs, ys = (np.concatenate(c) for c in zip(*parts, strict=True))
-        shard = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        shard = ((ids.view(np.uint64) // np.uint64(block) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((ids, tids, shard))
         shard, ids, tids, xs, ys = (c[order] for c in (shard, ids, tids, xs, ys))
         if add:
@@ -103,14 +107,16 @@ def _pack(shards: int, add: bool):
     return run
 
 
-def pack(entries: DataFrame, shards: int, add: bool = False, kind: int = ENTRY) -> DataFrame:
+def pack(entries: DataFrame, shards: int, add: bool = False, kind: int = ENTRY, block: int = 1) -> DataFrame:
     """A shelf of entries (doc, tid, x, y); x is a whole number, 0 or more. With add, entries of a document's term add up.
 
+    Shelves that are read together have the same number of shards and the same block of ids.
+
     A shelf may also hold rows of the kind VALID, with a document's version as x and its length or norm as
     y: entries then have the version as y, those of other versions are passed over, and y comes from here.
     """
     e = entries.select(known("doc").alias("doc"), "tid", F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y"))
-    return e.mapInArrow(_pack(shards, add), _ROW).withColumn("kind", F.lit(kind))
+    return e.mapInArrow(_pack(shards, add, block), _ROW).withColumn("kind", F.lit(kind))
 
 
 def joined(shelf: DataFrame, shards: int) -> tuple[DataFrame, int]:

@@ -145,3 +145,16 @@ def test_texts_read_anew_give_the_same_best(tables):
     got, want = (rows(search.bm25_best(of(docs), terms, 5).select("qid", "doc", "score", "rank")) for of in (search.analysed, search.tokenised))
     assert got and got == want
     assert not search.bm25_best(search.analysed(docs.where("doc_id < 0")), terms, 5).count()  # no row: the mean length is null
+
+
+def test_packed_rows_stay_long_however_many_shards(monkeypatch, spark):
+    docs = spark.range(0, 600, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("w1 w2 w1 w"), F.col("id") % 9).alias("text"))
+    ask = spark.createDataFrame([(1, "w1 w3"), (2, "w2 w8 w1")], "qid long, question string")
+    terms, joined, made, best = search.query_terms(ask, "qid", "question"), shelves.joined, [], []
+    monkeypatch.setattr(shelves, "joined", lambda shelf, n: made.append((n, shelf.count())) or joined(shelf, n))
+    for entries in (10**6, 60):
+        monkeypatch.setattr(shelves, "SHARD_ENTRIES", entries)
+        best.append(rows(search.bm25_best(search.analysed(docs), terms, 7).select("qid", "doc", "score", "rank")))
+    assert [n for n, _ in made] == [1, 40]
+    assert made[1][1] <= 2 * 2  # 600 documents lie in three blocks; 40 rows before
+    assert best[0] and best[0] == best[1]
