@@ -160,6 +160,31 @@ def test_topk_by_many_groups_and_blocks(spark, docs):
 # --- op3
 
 
+@pytest.mark.parametrize(("shards", "rows"), [(2, 1), (3, 2), (200, 32)])
+def test_topk_by_waves_of_shards_and_queries(spark, docs, monkeypatch, shards, rows):
+    found = lambda: sorted(map(tuple, topk.search(docs, docs.where("doc_id % 5 = 0"), block_bytes=20_000).collect()))
+    whole = found()
+    for name, value in {"SHARD_BLOCKS": 1, "ROW_QUERIES": 9, "WAVE_SHARDS": shards, "WAVE_ROWS": rows}.items():
+        monkeypatch.setattr(topk, name, value)
+    met, seen = topk._met, []
+    monkeypatch.setattr(topk, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    assert found() == whole
+    assert (len(seen) > 1) == (rows < 32)
+
+
+def test_topk_shards_are_partitions_written_without_gathering(spark):
+    # Spark gathers rows in memory before it writes a shuffle of more than 200 partitions; two shards in one task are searched one after another.
+    placed = spark.createDataFrame([(i % 7, *[b"x"] * 6) for i in range(50)], "shard int, " + ", ".join(f"{c} binary" for c in topk._LISTS))
+    packed = spark.createDataFrame([tuple([b"y"] * 5)] * 3, ", ".join(f"{c} binary" for c in topk._PACKED))
+    met = topk._met(placed, packed, 2, 6)
+    parts = met.rdd.glom().collect()
+    assert len(parts) == 4 <= topk.WAVE_SHARDS <= 200
+    for shard, own in enumerate(parts, 2):
+        assert {r.shard for r in own} == {shard}
+        assert [r.ask for r in own] == sorted(r.ask for r in own) and sum(r.ask for r in own) == 3
+
+
+
 @pytest.mark.parametrize(("shard", "group", "row"), [(1, 100, 5), (3, 10**6, 4096)])
 def test_topk_by_shards_of_few_blocks(spark, docs, monkeypatch, shard, group, row):
     """Many shards, and queries that pass them in many groups and packed rows, find what one shard does."""
