@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import queries
 from docquarry.operators import answering, blocks, chunking, history, index, ivf, mining, search
 from docquarry.plans import folders, retrieval
 from docquarry.session import session_with, ship
@@ -67,6 +68,31 @@ def test_nearest_cuts_by_the_rounded_score(spark):
     assert [(r.doc, r.score, r["rank"]) for r in got] == [(1, 0.9, 1)]
 
 
+def test_ndcg_asks_every_vector(spark, tmp_path):
+    """Vectors whose id isn't divisible by 50 have other neighbours than those whose id is."""
+    rows = [(i, [1.0, 0.0] if i % 50 == 0 else [0.0, 1.0], 0 if i % 50 == 0 else i % 2) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.dim: r.ndcg_at_10 for r in queries.ndcg_at_10_by_dim(spark, str(tmp_path)).collect()}
+    gain = [1 / np.log2(r + 2) for r in range(10)]
+    scores = []
+    for q, v, label in rows:
+        order = sorted((-float(np.dot(v, w)), i, own) for i, w, own in rows if i != q)[:10]
+        wanted = sum(own == label for _, _, own in rows) - 1
+        scores.append(sum(g for g, (_, _, own) in zip(gain, order, strict=True) if own == label) / sum(gain[: min(wanted, 10)]))
+    assert got == pytest.approx({d: np.mean(scores) for d in queries.DIMS}, abs=1e-6)
+
+
+def test_nearest_to_all_equals_the_search_by_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8)]) for i in range(150)] + [(i, [1.0] * 8) for i in range(150, 190)] + [(190, [0.0] * 8), (191, None)]  # ties, copies
+    frame = spark.createDataFrame(rows, "id bigint, v array<float>").repartition(3)
+    want = sorted(map(tuple, search.nearest_by_dims(frame, frame, 5, (8, 3)).select("dim", "qid", "rank", "doc", "score").collect()))
+    for name, value in {"GROUP_ROWS": 40, "LEAST_ROWS": 30, "TILE": 16, "CHUNK": 20}.items():
+        monkeypatch.setattr(search, name, value)
+    assert sorted(map(tuple, search.nearest_to_all(frame, 5, (8, 3)).select("dim", "qid", "rank", "doc", "score").collect())) == want
+    assert search.nearest_to_all(frame.limit(3), 5).count() == 6 and search.nearest_to_all(frame.limit(0), 5).count() == 0
+
+
 def test_nearest_by_dims_equals_each_alone(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 30)
     monkeypatch.setattr(search, "QUERY_ROWS", 7)
