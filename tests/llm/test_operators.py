@@ -11,11 +11,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, jaccard, language, linear, neighbours, packing, quality, secrets, sharding, substrings, topk
 from docquarry.llm.graph import components
+from docquarry.session import materialize
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -172,6 +174,13 @@ def test_topk_by_waves_of_shards_and_queries(spark, docs, monkeypatch, shards, r
     assert (len(seen) > 1) == (rows < 32)
 
 
+def test_topk_writes_large_rows_in_small_row_groups(spark):
+    table = materialize(spark.range(10).coalesce(1), "rows", topk.LARGE_ROWS)
+    (path,) = table.inputFiles()
+    assert pq.ParquetFile(path.removeprefix("file:")).metadata.num_row_groups == 3
+    assert table.count() == 10
+
+
 def test_topk_shards_are_partitions_written_without_gathering(spark):
     # Spark gathers rows in memory before it writes a shuffle of more than 200 partitions; two shards in one task are searched one after another.
     placed = spark.createDataFrame([(i % 7, *[b"x"] * 6) for i in range(50)], "shard int, " + ", ".join(f"{c} binary" for c in topk._LISTS))
